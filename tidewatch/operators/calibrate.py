@@ -161,11 +161,19 @@ def tune_wk(calib: DataFrame, score: str, cfg: AuditConfig, keys: Sequence[str]
 
 
 def tau_policies(calib: DataFrame, score: str, cfg: AuditConfig, keys: Sequence[str] = ()) -> DataFrame:
-    """Fixed and budget threshold, and the capped one derived from both."""
+    """Fixed and budget threshold, the capped one derived from both, and W and K.
+
+    With tuning on, every key gets the W and K that suit it.
+    """
     keys = list(keys)
     fixed = fixed_tau(calib, score, cfg.threshold_q, keys)
-    budget = budget_tau(calib, score, cfg, keys).select(*keys, "tau_budget")
-    return capped(attach(fixed, budget, keys), cfg.cap_ratio)
+    chosen = (tune_wk if cfg.auto_tune else budget_tau)(calib, score, cfg, keys)
+    return capped(attach(fixed, chosen.select(*keys, "tau_budget", "w", "k"), keys), cfg.cap_ratio)
+
+
+def w_values(cfg: AuditConfig) -> list[int]:
+    """Every W a series may have been given."""
+    return sorted({cfg.w, *cfg.w_grid})
 
 
 def capped(taus: DataFrame, cap_ratio: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidewatch.config import AuditConfig
 from tidewatch.operators.sweep import budget_tau as window_tau
-from tidewatch.operators.calibrate import CANDIDATES, capped
+from tidewatch.operators.calibrate import CANDIDATES, capped, w_values
 from tidewatch.operators.flags import flag_streams
 from tidewatch.operators.score import lookup_mean_std, mean_std_tables, zscore
 from tidewatch.operators.sequence import BLOCK_ROWS, attach
@@ -26,12 +26,29 @@ def test_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return attach(d, start, list(keys)).withColumn("row_no", F.col("row_no") - F.col("_s")).drop("_s")
 
 
-def zscore_flags(df: DataFrame, y: str, cfg: AuditConfig, keys: Sequence[str] = (), rows: int = BLOCK_ROWS) -> DataFrame:
-    """The plain three-sigma detector, over calibration and test."""
+def zscore_flags(
+    df: DataFrame,
+    y: str,
+    cfg: AuditConfig,
+    keys: Sequence[str] = (),
+    rows: int = BLOCK_ROWS,
+    taus: DataFrame | None = None,
+) -> DataFrame:
+    """The plain three-sigma detector, over calibration and test.
+
+    W and K come from ``taus`` when given (tuned per key), else from ``cfg``.
+    """
     tables = mean_std_tables(df, y, cfg.season, cfg.fallback, cfg.min_n, keys)
     d = lookup_mean_std(df, tables, cfg.season, cfg.fallback, keys)
     d = d.withColumn("z", zscore(F.col(y), F.col("mu"), F.col("sd")))
-    return flag_streams(d, {"outlier": ("z", cfg.z_threshold)}, cfg.w, cfg.k, cfg.low_ratio, keys, rows)
+    w, k = cfg.w, cfg.k
+    if taus is not None:
+        d = attach(d, taus.select(*keys, F.col("w").alias("_w"), F.col("k").alias("_k")), list(keys))
+        w, k = "_w", "_k"
+    d = flag_streams(
+        d, {"outlier": ("z", cfg.z_threshold)}, w, k, cfg.low_ratio, keys, rows, w_grid=w_values(cfg)
+    )
+    return d.drop("_w", "_k")
 
 
 def decide_frozen(
@@ -39,16 +56,17 @@ def decide_frozen(
 ) -> DataFrame:
     """Constant thresholds over the test period."""
     keys = list(keys)
-    cols = ["tau_fixed", "tau_budget", "tau_sci", "tau_cap_hit"]
+    cols = ["tau_fixed", "tau_budget", "tau_sci", "tau_cap_hit", "w", "k"]
     d = attach(test_rows(df, keys), taus.select(*keys, *cols), keys)
     return flag_streams(
         d,
         {"flag_budget": ("score", "tau_budget"), "flag_sci": ("score", "tau_sci")},
-        cfg.w,
-        cfg.k,
+        "w",
+        "k",
         cfg.low_ratio,
         keys,
         rows,
+        w_grid=w_values(cfg),
     )
 
 
@@ -72,7 +90,7 @@ def decide_rolling(
     start = test.groupBy(*keys).agg(
         F.min(sec).alias("_t0"), F.max(sec).alias("_t1"), F.min("row_no").alias("_r0")
     )
-    base = taus.select(*keys, "tau_fixed", F.col("tau_budget").alias("_tau0"))
+    base = taus.select(*keys, "tau_fixed", F.col("tau_budget").alias("_tau0"), "w", "k")
     rows_in = attach(attach(df.where(F.col("period") != "fit"), start, keys), base, keys)
     rows_in = rows_in.where(sec >= F.col("_t0") - window)
     rows_in = rows_in.withColumn("_d", F.floor((sec - F.col("_t0")) / block))
@@ -95,8 +113,8 @@ def decide_rolling(
             tau = window_tau(
                 kept["score"].to_numpy(dtype=float),
                 qs,
-                cfg.w,
-                cfg.k,
+                int(kept["w"].iloc[0]),
+                int(kept["k"].iloc[0]),
                 cfg.low_ratio,
                 cfg.events_per_period,
                 cfg.rows_per_period,
@@ -114,14 +132,14 @@ def decide_rolling(
 
     excluded, window_taus = None, None
     while True:
-        marked = rows_in.select(*keys, "row_no", "ts", "score", "_t0", "_t1")
+        marked = rows_in.select(*keys, "row_no", "ts", "score", "w", "k", "_t0", "_t1")
         if excluded is None:
             marked = marked.withColumn("_x", F.lit(0))
         else:
             marked = marked.join(excluded.select(*keys, "row_no", "_x"), [*keys, "row_no"], "left")
             marked = marked.withColumn("_x", F.coalesce("_x", F.lit(0)))
         looked = marked.select(
-            *keys, "row_no", "score", "_x", F.explode(targets).alias("_d")
+            *keys, "row_no", "score", "w", "k", "_x", F.explode(targets).alias("_d")
         )
         if excluded is not None:
             dirty = (
@@ -144,11 +162,12 @@ def decide_rolling(
         flagged = flag_streams(
             d,
             {"flag_budget": ("score", "tau_budget"), "flag_sci": ("score", "tau_sci")},
-            cfg.w,
-            cfg.k,
+            "w",
+            "k",
             cfg.low_ratio,
             keys,
             rows,
+            w_grid=w_values(cfg),
         )
         flagged = flagged.withColumn(
             "_x", F.greatest(F.col("flag_sci"), F.col("tau_cap_hit"))

@@ -21,13 +21,17 @@ def rollup(
     agg: str = "sum",
     keys: Sequence[str] = (),
     out: str = "y",
+    scale: int = 6,
 ) -> DataFrame:
-    """One row per key and time step.  Sums run in decimal, so order cannot matter."""
+    """One row per key and time step.
+
+    Sums run in decimal with ``scale`` places, so their order cannot matter.
+    """
+    exact = F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double")
     at = F.date_trunc(every, F.col(ts).cast("timestamp")).alias("ts")
     if agg == "sum":
-        y = F.sum(F.col(value).cast("decimal(18,2)")).cast("double")
+        y = exact
     elif agg == "avg":
-        exact = F.sum(F.col(value).cast("decimal(18,2)")).cast("double")
         y = exact / F.count(F.col(value))
     elif agg == "count":
         y = F.count(F.col(value)).cast("double")

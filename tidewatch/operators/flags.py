@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,22 +27,26 @@ def trigger(score: Column, tau: Column, low_ratio: float) -> Column:
 def flag_streams(
     df: DataFrame,
     streams: dict[str, tuple[str, str | float]],
-    w: int,
-    k: int,
+    w: int | str,
+    k: int | str,
     low_ratio: float,
     keys: Sequence[str] = (),
     rows: int = BLOCK_ROWS,
     keep: Sequence[str] = (),
+    w_grid: Sequence[int] = (),
 ) -> DataFrame:
     """Flag one or more scores: ``{"name": (score column, tau column or number)}``.
 
     Adds ``name`` (0/1 after hysteresis and K-of-W), and ``name_raw`` (hysteresis
     only) and ``name_edge`` (rising edges) when listed in ``keep``.  Needs
     ``row_no``.  A block starts from the last trigger before it, which comes from a
-    one-row-per-block table, and from a halo of ``w`` rows.
+    one-row-per-block table, and from a halo of ``w`` rows.  W and K may be columns
+    that differ between series; ``w_grid`` then lists the values W takes.
     """
     keys = list(keys)
-    rows = max(rows, w + 1)
+    grid = [w] if isinstance(w, int) else sorted(set(w_grid))
+    halo = max(grid)
+    rows = max(rows, halo + 1)
     col = lambda c: F.col(c) if isinstance(c, str) else F.lit(float(c))
     d = df.withColumns(
         {f"_t_{n}": trigger(col(s), col(t), low_ratio) for n, (s, t) in streams.items()}
@@ -53,7 +56,7 @@ def flag_streams(
         F.when(F.col(f"_t_{n}").isNotNull(), F.struct(F.col("row_no"), F.col(f"_t_{n}").alias("t")))
     ).alias(f"_l_{n}")
     carry = (
-        d.groupBy(*keys, F.floor((F.col("row_no") + w) / rows).alias("_blk"))
+        d.groupBy(*keys, F.floor((F.col("row_no") + halo) / rows).alias("_blk"))
         .agg(*[last(n) for n in streams])
         .select(
             *keys,
@@ -64,21 +67,24 @@ def flag_streams(
             ],
         )
     )
-    d = blocked(d, rows, w).join(carry, [*keys, "_blk"])
+    d = blocked(d, rows, halo).join(carry, [*keys, "_blk"])
     win = block_window(keys)
     upto = win.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns(
         {f"{n}_raw": F.coalesce(F.last(f"_t_{n}", True).over(upto), F.col(f"_c_{n}")) for n in streams}
     )
-    now, prev = win.rowsBetween(-(w - 1), 0), win.rowsBetween(-w, -1)
-    d = d.withColumns({n: (F.sum(f"{n}_raw").over(now) >= k).cast("int") for n in streams})
+    need = F.col(k) if isinstance(k, str) else F.lit(k)
+
+    def rolled(n: str, back: int) -> Column:
+        """Sum of the last W raw states, ``back`` rows ago."""
+        sums = [F.sum(f"{n}_raw").over(win.rowsBetween(-(x - 1) - back, -back)) for x in grid]
+        if isinstance(w, int):
+            return F.coalesce(sums[0], F.lit(0))
+        return F.coalesce(*[F.when(F.col(w) == x, s) for x, s in zip(grid, sums)], F.lit(0))
+
+    d = d.withColumns({n: (rolled(n, 0) >= need).cast("int") for n in streams})
     d = d.withColumns(
-        {
-            f"{n}_edge": (
-                (F.col(n) == 1) & (F.coalesce(F.sum(f"{n}_raw").over(prev), F.lit(0)) < k)
-            ).cast("int")
-            for n in streams
-        }
+        {f"{n}_edge": ((F.col(n) == 1) & (rolled(n, 1) < need)).cast("int") for n in streams}
     )
     drop = [f"{p}_{n}" for n in streams for p in ("_t", "_c")]
     drop += [f"{n}_{x}" for n in streams for x in ("raw", "edge") if f"{n}_{x}" not in keep]
