@@ -51,21 +51,22 @@ def table_digest(
     df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = (), out: str = "table_sha"
 ) -> DataFrame:
     """One digest per key (or table): contents, row count, columns, types, nulls."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), digest_agg(df, cols, keys).alias(out))
+
+
+def digest_agg(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = ()) -> Column:
+    """The digest of ``table_digest`` as an aggregate, to go with others in one scan."""
     cols = [c for c in (cols or df.columns) if c in df.columns and c not in keys]
     types = json.dumps([[c, df.schema[c].dataType.simpleString()] for c in cols], separators=(",", ":"))
     sums = lane_sums(row_text(cols))
     nulls = [F.count_if(F.col(c).isNull()).cast("string") for c in cols]
-    agg = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sha2(
-            F.concat_ws(
-                "|",
-                F.count(F.lit(1)).cast("string"),
-                *[F.coalesce(s.cast("string"), F.lit("0")) for s in sums],
-                F.lit(types),
-                *nulls,
-            ),
-            256,
-        ).alias(out),
+    return F.sha2(
+        F.concat_ws(
+            "|",
+            F.count(F.lit(1)).cast("string"),
+            *[F.coalesce(s.cast("string"), F.lit("0")) for s in sums],
+            F.lit(types),
+            *nulls,
+        ),
+        256,
     )
-    return agg

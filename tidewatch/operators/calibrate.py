@@ -14,6 +14,7 @@ from tidewatch.config import AuditConfig
 from tidewatch.operators.quantile import exact_quantiles
 from tidewatch.operators.sequence import BLOCK_ROWS, attach, blocked
 from tidewatch.operators.sweep import sweep
+from tidewatch.session import spread
 
 # The candidate quantiles of the budget search.
 CANDIDATES = [float(q) for q in np.linspace(0.90, 0.999, 200)]
@@ -80,6 +81,7 @@ def candidate_events(
             ]
         )
 
+    d, blocks = spread(d, *by), spread(blocks, *by)
     per_block = d.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(evaluate, schema)
     # one row per block and candidate; the entry state is the last state left before it
     flat = per_block.select(

@@ -16,7 +16,7 @@ from tidewatch.operators.calibrate import CANDIDATES, capped, w_values
 from tidewatch.operators.flags import flag_streams
 from tidewatch.operators.score import lookup_mean_std, mean_std_tables, zscore
 from tidewatch.operators.sequence import BLOCK_ROWS, attach
-from tidewatch.session import stage_table
+from tidewatch.session import spread, stage_table
 
 
 def test_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -148,11 +148,11 @@ def decide_rolling(
                 .distinct()
             )
             fresh = looked.join(dirty, on, "left_semi")
-            fresh = fresh.groupBy(*on).applyInPandas(calibrate, schema)
+            fresh = spread(fresh, *on).groupBy(*on).applyInPandas(calibrate, schema)
             kept = window_taus.join(dirty, on, "left_anti")
             solved = kept.unionByName(fresh)
         else:
-            solved = looked.groupBy(*on).applyInPandas(calibrate, schema)
+            solved = spread(looked, *on).groupBy(*on).applyInPandas(calibrate, schema)
         window_taus = stage_table(solved, "rolling-windows")
         by_block = all_blocks.join(window_taus, on, "left").select(
             *on, F.coalesce(F.last("_tau", True).over(backwards), F.col("_tau0")).alias("tau_budget")

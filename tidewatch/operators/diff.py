@@ -222,14 +222,22 @@ def token_reasons(diff: DataFrame, threshold: float) -> DataFrame:
 
 
 def blank_count(lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return lines.groupBy(*by).agg(F.coalesce(F.sum(blank_pairs(F.col("line"))), F.lit(0)).alias("blank_fields"))
+    return lines.groupBy(*by).agg(blank_fields().alias("blank_fields"))
+
+
+def blank_fields() -> Column:
+    return F.coalesce(F.sum(blank_pairs(F.col("line"))), F.lit(0))
+
+
+def header_count(sep: str = ",") -> Column:
+    first = F.min(F.when(has_number(F.col("line"), sep), F.col("line_no")))
+    return F.coalesce(first, F.max("line_no") + 1)
 
 
 def header_lines(lines: DataFrame, by: Sequence[str] = (), sep: str = ",") -> DataFrame:
     """``header_count, n_lines``: the header ends at the first line with a number."""
-    first = F.min(F.when(has_number(F.col("line"), sep), F.col("line_no")))
     return lines.groupBy(*by).agg(
-        F.coalesce(first, F.max("line_no") + 1).alias("header_count"), F.count(F.lit(1)).alias("n_lines")
+        header_count(sep).alias("header_count"), F.count(F.lit(1)).alias("n_lines")
     )
 
 
@@ -239,13 +247,15 @@ def split_header(lines: DataFrame, by: Sequence[str] = (), sep: str = ",") -> tu
     return d.where("line_no < header_count"), body.withColumn("row_no", F.col("line_no") - F.col("header_count"))
 
 
-def header_digest(lines: DataFrame, by: Sequence[str] = (), sep: str = ",") -> DataFrame:
+def header_digest(
+    lines: DataFrame, by: Sequence[str] = (), sep: str = ",", header: DataFrame | None = None
+) -> DataFrame:
     """SHA-256 of the right-trimmed header lines, joined and trimmed.
 
     A text without any number is all header, so lines are digested in chunks of
     4096 and, only when there is more than one, the chunk digests once more.
     """
-    header, _ = split_header(lines, by, sep)
+    header = split_header(lines, by, sep)[0] if header is None else header
     text = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["t"]), "\n")
     chunks = header.groupBy(*by, F.floor(F.col("line_no") / LINES_PER_CHUNK).alias("_chunk")).agg(
         text(F.struct("line_no", F.rtrim("line").alias("t"))).alias("_text")

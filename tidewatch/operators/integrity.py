@@ -14,17 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import __version__
-from tidewatch.functions.digest import table_digest
+from tidewatch.functions.digest import digest_agg, table_digest
 from tidewatch.operators.certificate import environment
 from tidewatch.operators.diff import (
-    blank_count,
+    blank_fields,
     column_diff,
     column_reasons,
     contract_diff,
+    header_count,
     header_digest,
-    header_lines,
     profile,
-    split_header,
     token_diff,
     token_reasons,
 )
@@ -67,27 +66,24 @@ class Measured:
     def body_rows(self) -> int:
         return self.n_lines - self.header_count
 
+    def body(self) -> DataFrame:
+        rows = self.lines.where(F.col("line_no") >= self.header_count)
+        return rows.withColumn("row_no", F.col("line_no") - self.header_count)
+
 
 def measure(lines: DataFrame, name: str) -> Measured:
     lines = stage_table(lines.select("line_no", "line"), f"lines-{name}")
-    counts = header_lines(lines)
-    head = header_digest(lines)
-    row = (
-        table_digest(lines)
-        .select(
-            "table_sha",
-            counts.select(F.struct("header_count", "n_lines")).scalar().alias("h"),
-            head.select("header_sha").scalar().alias("header_sha"),
-            blank_count(lines).select("blank_fields").scalar().alias("blanks"),
-        )
-        .first()
-    )
-    count = row["h"]["header_count"]
-    last = lines.where(F.col("line_no") == max(count - 1, 0)).select("line").first()
-    names = [c.strip() for c in last["line"].split(",")] if last and count else []
-    return Measured(
-        lines, row["table_sha"], count, row["h"]["n_lines"], row["header_sha"], row["blanks"], names
-    )
+    row = lines.agg(
+        digest_agg(lines).alias("sha"),
+        header_count().alias("head"),
+        F.count(F.lit(1)).alias("n"),
+        blank_fields().alias("blanks"),
+    ).first()
+    header = lines.where(F.col("line_no") < row["head"])
+    sha = header_digest(lines, header=header).first()["header_sha"]
+    last = header.where(F.col("line_no") == row["head"] - 1).select("line").first()
+    names = [c.strip() for c in last["line"].split(",")] if last else []
+    return Measured(lines, row["sha"], row["head"], row["n"], sha, row["blanks"], names)
 
 
 class IntegrityAudit:
@@ -108,9 +104,13 @@ class IntegrityAudit:
             self.profiles[name] = stage_table(profile(self.tables[name].drop("row_no")), "profile")
         return self.tables[name]
 
-    def run(self, current: dict[str, DataFrame], cfg: dict, run_id: str) -> tuple[DataFrame, DataFrame]:
+    def run(
+        self, current: dict[str, DataFrame | Measured], cfg: dict, run_id: str
+    ) -> tuple[DataFrame, DataFrame]:
         """``(reasons, certificate)``.  Only datasets whose digest changed are compared."""
-        now = {n: measure(current[n], n) for n in self.base}
+        now = {
+            n: current[n] if isinstance(current[n], Measured) else measure(current[n], n) for n in self.base
+        }
         found: list[tuple] = []
         add = lambda ds, code, rule, metric=None, value=None, thr=None, col=None, detail=None: found.append(
             (ds, code, rule, metric, None if value is None else float(value), thr, col, detail)
@@ -134,8 +134,7 @@ class IntegrityAudit:
         broken = m.header_sha != b.header_sha
         if broken:
             add(n, "LAYER_B", "data_contract_violation", detail="header signature")
-        _, base_body = split_header(b.lines)
-        _, body = split_header(m.lines)
+        base_body, body = b.body(), m.body()
         if m.blanks > b.blanks:
             add(n, "LAYER_B", "missing_injection_detected", "blank_fields_added", m.blanks - b.blanks)
         moved = circular_shift(base_body, body).first()

@@ -12,13 +12,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.sequence import attach
-from tidewatch.session import stage_table
+from tidewatch.session import spread, stage_table
 
 
 def _pass(df: DataFrame, keys: list[str], length: int, turn: int, cols: list[str]) -> DataFrame:
@@ -30,20 +30,21 @@ def _pass(df: DataFrame, keys: list[str], length: int, turn: int, cols: list[str
         + [T.StructField(c, T.DoubleType()) for c in parts]
     )
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf["p"].to_numpy()
-        g = int(pdf["g"].iloc[0])
+    def transform(rows: pa.Table) -> pa.Table:
+        at = rows["p"].to_numpy()
+        g = rows["g"][0].as_py()
         spin = np.exp(-2j * np.pi * g * np.arange(length) / turn) if turn else 1.0
-        out = {k: [pdf[k].iloc[0]] * length for k in keys}
-        out.update(g=np.full(length, g), p=np.arange(length))
+        out = {k: pa.repeat(rows[k][0], length) for k in keys}
+        out["g"], out["p"] = np.full(length, g), np.arange(length)
         for c in cols:
             z = np.zeros(length, dtype=complex)
-            z[at] = pdf[f"{c}_re"].to_numpy() + 1j * pdf[f"{c}_im"].to_numpy()
+            z[at] = rows[f"{c}_re"].to_numpy() + 1j * rows[f"{c}_im"].to_numpy()
             z = np.fft.fft(z) * spin
             out[f"{c}_re"], out[f"{c}_im"] = z.real, z.imag
-        return pd.DataFrame(out)[[f.name for f in schema.fields]]
+        return pa.table(out)
 
-    return df.select(*keys, "g", "p", *parts).groupBy(*keys, "g").applyInPandas(transform, schema)
+    d = spread(df.select(*keys, "g", "p", *parts), *keys, "g")
+    return d.groupBy(*keys, "g").applyInArrow(transform, schema)
 
 
 def _transform(df: DataFrame, keys: list[str], n1: int, n2: int, cols: list[str]) -> DataFrame:
@@ -136,14 +137,14 @@ def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", orde
     spark = base.sparkSession
     schema = "shift bigint"
     number = (F.pmod(F.xxhash64(line), F.lit(65536)) - 32768).cast("double")
-    a = stage_table(base.select(F.col(order).alias("j"), F.col(line).alias("x"), number.alias("v")), "rotate-a")
-    b = stage_table(current.select(F.col(order).alias("j"), F.col(line).alias("y"), number.alias("v")), "rotate-b")
-    n = a.count()
-    if n < 2 or n != b.count():
-        return spark.createDataFrame([], schema)
-    energy = a.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
-    if energy != b.agg(F.sum(F.col("v") * F.col("v"))).first()[0]:
+    a = base.select(F.col(order).alias("j"), F.col(line).alias("x"), number.alias("v"))
+    b = current.select(F.col(order).alias("j"), F.col(line).alias("y"), number.alias("v"))
+    # whole numbers below 2**53: the sums are exact in any order
+    total = lambda d: d.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.col("v") * F.col("v"))).first()
+    n, _, energy = mine = total(a)
+    if n < 2 or mine != total(b):
         return spark.createDataFrame([], schema)
+    a, b = stage_table(a, "rotate-a"), stage_table(b, "rotate-b")
     twice = b.select(F.explode(F.array(F.col("j"), F.col("j") + n)).alias("j"), F.col("v").alias("a"))
     pairs = twice.join(a.select("j", F.col("v").alias("b")), "j", "left").na.fill(0.0, ["b"])
     corr = correlate(pairs, 2 * n)

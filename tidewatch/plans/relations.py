@@ -13,6 +13,7 @@ from tidewatch.operators.score import audit_rows, score
 from tidewatch.operators.sequence import index_grid
 from tidewatch.operators.split import assign_period, split_spec
 from tidewatch.session import prepare, stage_table
+from tidewatch.sources.lines import table_lines
 
 DK = ["l_returnflag", "l_linestatus"]
 HK = ["event_type"]
@@ -29,11 +30,11 @@ def clear() -> None:
     _staged.clear()
 
 
-def _once(name: str, spark: SparkSession, sf: str, keys: list[str], make) -> DataFrame:
-    """Stage a derived series once per session; later queries read the files."""
+def once(name: str, spark: SparkSession, sf: str, keys: list[str], make, stage: bool = True):
+    """Stage a derived table once per session; later queries read the files."""
     at = (spark.sparkContext.applicationId, name, sf, *keys)
     if at not in _staged:
-        _staged[at] = stage_table(make(), name)
+        _staged[at] = stage_table(make(), name) if stage else make()
     return _staged[at]
 
 
@@ -44,7 +45,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def hourly(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     rolled = lambda: rollup(table(spark, sf, "events"), "ts", "value", "hour", "sum", keys)
-    return _once("hourly", spark, sf, keys, lambda: densify(rolled(), "hour", keys))
+    return once("hourly", spark, sf, keys, lambda: densify(rolled(), "hour", keys))
 
 
 def daily(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def daily(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFr
     rolled = lambda: rollup(
         table(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "day", "sum", keys
     )
-    return _once("daily", spark, sf, keys, lambda: densify(rolled(), "day", keys))
+    return once("daily", spark, sf, keys, lambda: densify(rolled(), "day", keys))
 
 
 def split_series(series: DataFrame, cfg: AuditConfig, keys: list[str], step: int) -> DataFrame:
@@ -75,19 +76,19 @@ def scored(audit: DataFrame, cfg: AuditConfig, keys: list[str], pred: str = "pre
 def daily_split(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     make = lambda: split_series(daily(spark, sf, keys), DAILY, keys, 86400)
-    return _once("daily-split", spark, sf, keys, make)
+    return once("daily-split", spark, sf, keys, make)
 
 
 def daily_audit(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     make = lambda: with_naive(daily_split(spark, sf, keys), DAILY, keys)
-    return _once("daily-audit", spark, sf, keys, make)
+    return once("daily-audit", spark, sf, keys, make)
 
 
 def daily_scored(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     make = lambda: scored(daily_audit(spark, sf, keys), DAILY, keys)
-    return _once("daily-scored", spark, sf, keys, make)
+    return once("daily-scored", spark, sf, keys, make)
 
 
 def hourly_banded(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def hourly_banded(spark: SparkSession, sf: str, keys: list[str] | None = None) -
         split = stage_table(split_series(hourly(spark, sf, keys), BANDED, keys, 3600), "hourly-split")
         return scored(stage_table(with_naive(split, BANDED, keys), "hourly-audit"), BANDED, keys)
 
-    return _once("hourly-scored", spark, sf, keys, make)
+    return once("hourly-scored", spark, sf, keys, make)
 
 
 def indexed_hourly(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,3 +113,24 @@ def ntz(df: DataFrame) -> DataFrame:
         if f.dataType.typeName() == "timestamp"
     }
     return df.withColumns(cols) if cols else df
+
+
+def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``orders`` as a CSV text with a header line."""
+    cols = {
+        "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"),
+        "o_custkey": F.col("o_custkey"),
+        "o_orderkey": F.col("o_orderkey"),
+        "o_orderpriority": F.col("o_orderpriority"),
+    }
+    return table_lines(table(spark, sf, "orders"), cols, "o_orderkey")
+
+
+def customer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    cols = {
+        "c_name": F.col("c_name"),
+        "c_acctbal": F.col("c_acctbal").cast("decimal(18,2)"),
+        "c_custkey": F.col("c_custkey"),
+    }
+    return table_lines(table(spark, sf, "customer"), cols, "c_custkey")
