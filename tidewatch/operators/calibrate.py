@@ -34,7 +34,7 @@ def candidate_events(
     qs: Sequence[float] = CANDIDATES,
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``keys, n, cand, tau, w, k, events``: event count of every candidate threshold.
+    """``keys, n, cand, tau, w_rows, k_hits, events``: event count of every candidate threshold.
 
     Rows are shuffled once, by block, next to one row with the candidates of their
     key.  A block is evaluated for both states it may be entered in, and the blocks
@@ -98,15 +98,15 @@ def candidate_events(
     chosen = F.when(F.col("_in") == 1, F.col("_e1")).otherwise(F.col("_e0"))
     counts = flat.select(*keys, "cand", F.posexplode(chosen).alias("_i", "_e"))
     counts = counts.groupBy(*keys, "cand", "_i").agg(F.sum("_e").alias("events"))
-    pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in settings])
+    pairs = F.array(*[F.struct(F.lit(w).alias("w_rows"), F.lit(k).alias("k_hits")) for w, k in settings])
     counts = attach(counts, cands, keys)
     return counts.select(
         *keys,
         "n",
         "cand",
         F.col("quantiles")[F.col("cand")].alias("tau"),
-        pairs[F.col("_i")]["w"].alias("w"),
-        pairs[F.col("_i")]["k"].alias("k"),
+        pairs[F.col("_i")]["w_rows"].alias("w_rows"),
+        pairs[F.col("_i")]["k_hits"].alias("k_hits"),
         "events",
     )
 
@@ -117,13 +117,13 @@ def _pick(counts: DataFrame, calib: DataFrame, score: str, cfg: AuditConfig, key
         F.col("n") / F.lit(float(cfg.rows_per_period)), F.lit(1e-9)
     )
     fit = F.when(F.col("events") <= allowed, F.struct("cand", "tau", "events"))
-    best = counts.groupBy(*keys, "w", "k").agg(F.max("n").alias("n"), F.max(fit).alias("_b"))
+    best = counts.groupBy(*keys, "w_rows", "k_hits").agg(F.max("n").alias("n"), F.max(fit).alias("_b"))
     top = calib.groupBy(*keys).agg(F.max(score).alias("_top"))
     return attach(best, top, keys).select(
         *keys,
         "n",
-        "w",
-        "k",
+        "w_rows",
+        "k_hits",
         F.coalesce(F.col("_b.tau"), F.col("_top")).alias("tau_budget"),
         F.coalesce(F.col("_b.events"), F.lit(0)).alias("events"),
     )
@@ -153,13 +153,13 @@ def tune_wk(calib: DataFrame, score: str, cfg: AuditConfig, keys: Sequence[str]
     rank = F.struct(
         F.when(ok, 0).otherwise(1).alias("not_ok"),
         F.when(ok, F.col("tau_budget")).otherwise(F.col("events").cast("double")).alias("cost"),
-        "w",
-        "k",
+        "w_rows",
+        "k_hits",
         "tau_budget",
         "events",
     )
     best = each.groupBy(*keys).agg(F.min(rank).alias("_b"))
-    return best.select(*keys, "_b.w", "_b.k", "_b.tau_budget", "_b.events")
+    return best.select(*keys, "_b.w_rows", "_b.k_hits", "_b.tau_budget", "_b.events")
 
 
 def tau_policies(calib: DataFrame, score: str, cfg: AuditConfig, keys: Sequence[str] = ()) -> DataFrame:
@@ -170,7 +170,7 @@ def tau_policies(calib: DataFrame, score: str, cfg: AuditConfig, keys: Sequence[
     keys = list(keys)
     fixed = fixed_tau(calib, score, cfg.threshold_q, keys)
     chosen = (tune_wk if cfg.auto_tune else budget_tau)(calib, score, cfg, keys)
-    return capped(attach(fixed, chosen.select(*keys, "tau_budget", "w", "k"), keys), cfg.cap_ratio)
+    return capped(attach(fixed, chosen.select(*keys, "tau_budget", "w_rows", "k_hits"), keys), cfg.cap_ratio)
 
 
 def w_values(cfg: AuditConfig) -> list[int]:

@@ -110,9 +110,10 @@ def certificate(
     spans = ranges.groupBy(*keys).agg(period("calib").alias("calib_range"), period("test").alias("test_range"))
     m = [c for c in metrics.columns if c not in keys]
     texts = ["verdict", "verdict_reason", "one_liner", "next_action", "badge"]
-    d = metrics.select(
-        *keys, F.struct(*[c for c in m if c not in texts]).alias("metrics"), *texts
-    )
+    # nine places: sums of squares differ in their last bits with the partitioning
+    kind = {f.name: f.dataType.typeName() for f in metrics.schema.fields}
+    shown = [F.round(c, 9).alias(c) if kind[c] == "double" else F.col(c) for c in m if c not in texts]
+    d = metrics.select(*keys, F.struct(*shown).alias("metrics"), *texts)
     d = attach(attach(d, spans, keys), shas, keys)
     best = top.select(*keys, F.struct("reason_major", "action", "peak_score").alias("top_reason"))
     if keys:

@@ -43,7 +43,7 @@ def zscore_flags(
     d = d.withColumn("z", zscore(F.col(y), F.col("mu"), F.col("sd")))
     w, k = cfg.w, cfg.k
     if taus is not None:
-        d = attach(d, taus.select(*keys, F.col("w").alias("_w"), F.col("k").alias("_k")), list(keys))
+        d = attach(d, taus.select(*keys, F.col("w_rows").alias("_w"), F.col("k_hits").alias("_k")), list(keys))
         w, k = "_w", "_k"
     d = flag_streams(
         d, {"outlier": ("z", cfg.z_threshold)}, w, k, cfg.low_ratio, keys, rows, w_grid=w_values(cfg)
@@ -56,13 +56,13 @@ def decide_frozen(
 ) -> DataFrame:
     """Constant thresholds over the test period."""
     keys = list(keys)
-    cols = ["tau_fixed", "tau_budget", "tau_sci", "tau_cap_hit", "w", "k"]
+    cols = ["tau_fixed", "tau_budget", "tau_sci", "tau_cap_hit", "w_rows", "k_hits"]
     d = attach(test_rows(df, keys), taus.select(*keys, *cols), keys)
     return flag_streams(
         d,
         {"flag_budget": ("score", "tau_budget"), "flag_sci": ("score", "tau_sci")},
-        "w",
-        "k",
+        "w_rows",
+        "k_hits",
         cfg.low_ratio,
         keys,
         rows,
@@ -90,7 +90,7 @@ def decide_rolling(
     start = test.groupBy(*keys).agg(
         F.min(sec).alias("_t0"), F.max(sec).alias("_t1"), F.min("row_no").alias("_r0")
     )
-    base = taus.select(*keys, "tau_fixed", F.col("tau_budget").alias("_tau0"), "w", "k")
+    base = taus.select(*keys, "tau_fixed", F.col("tau_budget").alias("_tau0"), "w_rows", "k_hits")
     rows_in = attach(attach(df.where(F.col("period") != "fit"), start, keys), base, keys)
     rows_in = rows_in.where(sec >= F.col("_t0") - window)
     rows_in = rows_in.withColumn("_d", F.floor((sec - F.col("_t0")) / block))
@@ -113,8 +113,8 @@ def decide_rolling(
             tau = window_tau(
                 kept["score"].to_numpy(dtype=float),
                 qs,
-                int(kept["w"].iloc[0]),
-                int(kept["k"].iloc[0]),
+                int(kept["w_rows"].iloc[0]),
+                int(kept["k_hits"].iloc[0]),
                 cfg.low_ratio,
                 cfg.events_per_period,
                 cfg.rows_per_period,
@@ -132,14 +132,14 @@ def decide_rolling(
 
     excluded, window_taus = None, None
     while True:
-        marked = rows_in.select(*keys, "row_no", "ts", "score", "w", "k", "_t0", "_t1")
+        marked = rows_in.select(*keys, "row_no", "ts", "score", "w_rows", "k_hits", "_t0", "_t1")
         if excluded is None:
             marked = marked.withColumn("_x", F.lit(0))
         else:
             marked = marked.join(excluded.select(*keys, "row_no", "_x"), [*keys, "row_no"], "left")
             marked = marked.withColumn("_x", F.coalesce("_x", F.lit(0)))
         looked = marked.select(
-            *keys, "row_no", "score", "w", "k", "_x", F.explode(targets).alias("_d")
+            *keys, "row_no", "score", "w_rows", "k_hits", "_x", F.explode(targets).alias("_d")
         )
         if excluded is not None:
             dirty = (
@@ -162,8 +162,8 @@ def decide_rolling(
         flagged = flag_streams(
             d,
             {"flag_budget": ("score", "tau_budget"), "flag_sci": ("score", "tau_sci")},
-            "w",
-            "k",
+            "w_rows",
+            "k_hits",
             cfg.low_ratio,
             keys,
             rows,

@@ -14,7 +14,7 @@ from tidewatch.operators.flags import rising_edges
 from tidewatch.operators.quantile import exact_quantiles
 from tidewatch.operators.sequence import attach
 
-TEST = F.col("period") == "test"
+TEST = "period = 'test'"
 
 
 def rmse(y: str, pred: str, where: Column | None = None) -> Column:
@@ -31,7 +31,7 @@ def _recent_mark(df: DataFrame, days: float, keys: list[str]) -> DataFrame:
     last = df.where(TEST).groupBy(*keys).agg(F.max(F.unix_seconds("ts")).alias("_b"))
     d = attach(df, last, keys)
     return d.withColumn(
-        "_recent", TEST & (F.unix_seconds("ts") >= F.col("_b") - int(days * 86400))
+        "_recent", F.expr(TEST) & (F.unix_seconds("ts") >= F.col("_b") - int(days * 86400))
     ).drop("_b")
 
 

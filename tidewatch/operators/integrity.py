@@ -160,7 +160,7 @@ class IntegrityAudit:
         if self.numeric[n]:
             col = self.numeric[n][0]
             lag = xcorr_lag(base_table.select("row_no", col), table.select("row_no", col), col).first()
-            if lag and lag["shift"] is not None and lag["shift"] != 0:
+            if lag and lag["shift"] != 0:
                 add(n, "LAYER_B", "time_shift_detected", "lag", lag["shift"], None, col)
 
     def _material(self, data: dict[str, str], cfg: str, evidence: str, verdict: str) -> dict[str, str]:

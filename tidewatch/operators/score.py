@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.exact import exact_avg
 from tidewatch.functions.labels import LEVEL, SHAPE
 from tidewatch.operators.predict import CALIB
 from tidewatch.operators.quantile import exact_quantiles, quantile_columns
@@ -195,7 +196,7 @@ def mean_std_tables(
 
     def level(by: list[str], floor: bool) -> DataFrame:
         t = calib.groupBy(*keys, *by).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(y).alias("mu"), F.stddev_pop(y).alias("sd")
+            F.count(F.lit(1)).alias("n"), exact_avg(y).alias("mu"), F.stddev_pop(y).alias("sd")
         )
         if floor:
             return t.withColumn(

@@ -124,7 +124,7 @@ def xcorr_lag(
     best = corr.groupBy(*keys).agg(F.max("corr").alias("_max"))
     near = attach(corr, best, keys).where(F.col("corr") >= F.col("_max") - tie * F.col("_norm"))
     out = near.groupBy(*keys).agg(F.min("lag").alias("shift"), F.max("corr").alias("corr"))
-    return out
+    return out.where(F.col("shift").isNotNull())
 
 
 def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", order: str = "row_no") -> DataFrame:

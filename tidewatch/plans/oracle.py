@@ -395,7 +395,7 @@ count(*) AS n_lines FROM l GROUP BY doc_id"""
 hl AS (SELECT doc_id, string_agg(rtrim(line, ' '), chr(10) ORDER BY line_no) FILTER (line_no < c) AS t FROM l JOIN hc USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, sha256(regexp_replace(coalesce(t, ''), '^\\s+|\\s+$', '', 'g')) AS header_sha FROM hl"""
     q["number_tokens"] = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s'), lambda x: regexp_matches(trim(x), '{num}')) AS v FROM documents)
-SELECT doc_id, len(v)::BIGINT AS numbers, round(coalesce(list_sum(list_transform(v, lambda x: round(x::DOUBLE, 3))), 0), 3) AS total FROM w"""
+SELECT doc_id, len(v)::BIGINT AS numbers, round(coalesce(list_sum(list_transform(v, lambda x: log10(abs(x::DOUBLE) + 1))), 0), 6) AS magnitude FROM w"""
     fld = lambda c: f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
     row = " || '|' || ".join(fld(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     q["row_digest"] = f"SELECT o_orderkey, sha256({row}) AS sha FROM orders"

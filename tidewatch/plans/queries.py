@@ -328,7 +328,7 @@ def candidate_counts(spark, sf):
     c = calibrate.candidate_events(
         _calib(spark, sf), "score", calibrate.settings_grid(DAILY), DAILY.low_ratio, DK
     )
-    return c.groupBy(*DK, "w", "k").agg(
+    return c.groupBy(*DK, F.col("w_rows").alias("w"), F.col("k_hits").alias("k")).agg(
         F.sum("events").cast("bigint").alias("sum_events"),
         F.max("events").cast("bigint").alias("max_events"),
         F.count_if(F.col("events") > 0).alias("firing"),
@@ -344,7 +344,9 @@ def tau_budget(spark, sf):
 @query
 def tune_wk(spark, sf):
     t = calibrate.tune_wk(_calib(spark, sf), "score", BUDGET, DK)
-    return t.select(*DK, "w", "k", F.round("tau_budget", 6).alias("tau_budget"))
+    return t.select(
+        *DK, F.col("w_rows").alias("w"), F.col("k_hits").alias("k"), F.round("tau_budget", 6).alias("tau_budget")
+    )
 
 
 @query
@@ -541,13 +543,13 @@ def header_digest(spark, sf):
 
 @query
 def number_tokens(spark, sf):
-    """Numbers among the words of each document."""
+    """Numbers among the words of each document, and the sum of their magnitudes."""
     d = table(spark, sf, "documents").select(
         "doc_id", F.transform(tokens(F.col("text"), r"\s"), float_token).alias("v")
     )
     num = F.filter("v", lambda x: x.isNotNull())
-    total = F.aggregate(num, F.lit(0.0), lambda a, x: a + F.round(x, 3))
-    return d.select("doc_id", F.size(num).cast("bigint").alias("numbers"), F.round(total, 3).alias("total"))
+    total = F.aggregate(num, F.lit(0.0), lambda a, x: a + F.log10(F.abs(x) + 1))
+    return d.select("doc_id", F.size(num).cast("bigint").alias("numbers"), F.round(total, 6).alias("magnitude"))
 
 
 @query
@@ -683,7 +685,7 @@ def stream_decide(spark, sf):
     """The rolling decision on a replayed stream."""
     s = daily_scored(spark, sf, DK)
     taus = calibrate.tau_policies(s.where("period = 'calib'"), "score", ROLLING, DK)
-    d = attach(s, taus, DK).select(*DK, "ts", "score", "period", "tau_fixed", "tau_budget", "w", "k")
+    d = attach(s, taus, DK).select(*DK, "ts", "score", "period", "tau_fixed", "tau_budget", "w_rows", "k_hits")
     out = replay(d, ["2000-09-01", "2001-03-01"], lambda x: decide_stream(x, ROLLING, DK), "stream-decide")
     cols = ["tau_budget", "tau_sci"]
     return out.select(

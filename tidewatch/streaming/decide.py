@@ -87,7 +87,7 @@ def decide_stream(
 ) -> DataFrame:
     """Rolling recalibration: thresholds are learned again at every block.
 
-    ``stream``: ``keys, ts, score, period`` and ``tau_fixed, tau_budget, w, k`` as
+    ``stream``: ``keys, ts, score, period`` and ``tau_fixed, tau_budget, w_rows, k_hits`` as
     learned on the calibration period.  State per key: rows of one calibration
     window, two hysteresis states and the current threshold.
     """
@@ -124,7 +124,7 @@ def decide_stream(
         newest = secs[-1] if secs else -(2**62)
         pdf = pdf[(pdf["sec"] > newest) & ~pdf["sec"].duplicated()]
         cap = float(pdf["tau_fixed"].iloc[0]) * ratio if len(pdf) else 0.0
-        w, k = (int(pdf["w"].iloc[0]), int(pdf["k"].iloc[0])) if len(pdf) else (1, 1)
+        w, k = (int(pdf["w_rows"].iloc[0]), int(pdf["k_hits"].iloc[0])) if len(pdf) else (1, 1)
         done = []
         before = pdf[pdf["period"] != "test"]
         secs += before["sec"].tolist()
@@ -196,8 +196,8 @@ def decide_stream(
         "period",
         "tau_fixed",
         "tau_budget",
-        "w",
-        "k",
+        "w_rows",
+        "k_hits",
     )
     return rows.groupBy(*keys).applyInPandasWithState(
         step, out, state_schema, "append", GroupStateTimeout.NoTimeout
