@@ -54,6 +54,8 @@ def candidate_events(
         [calib.schema[k] for k in keys]
         + [
             T.StructField("_blk", T.LongType()),
+            T.StructField("n", T.LongType()),
+            T.StructField("taus", T.ArrayType(T.DoubleType())),
             T.StructField("last", T.ArrayType(T.LongType())),
             T.StructField("e0", T.ArrayType(T.ArrayType(T.LongType()))),
             T.StructField("e1", T.ArrayType(T.ArrayType(T.LongType()))),
@@ -74,6 +76,8 @@ def candidate_events(
                 {
                     **head,
                     "_blk": cand["_blk"].iloc[0],
+                    "n": cand["n"].iloc[0],
+                    "taus": taus.tolist(),
                     "last": last.tolist(),
                     "e0": edges[0].tolist(),
                     "e1": edges[1].tolist(),
@@ -85,10 +89,12 @@ def candidate_events(
     per_block = d.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(evaluate, schema)
     # one row per block and candidate; the entry state is the last state left before it
     flat = per_block.select(
-        *by, F.posexplode(F.arrays_zip("last")).alias("cand", "_l"), "e0", "e1"
+        *by, "n", F.posexplode(F.arrays_zip("taus", "last")).alias("cand", "_l"), "e0", "e1"
     ).select(
         *by,
+        "n",
         "cand",
+        F.col("_l.taus").alias("tau"),
         F.nullif(F.col("_l.last"), F.lit(-1)).alias("_last"),
         F.transform("e0", lambda a: a[F.col("cand")]).alias("_e0"),
         F.transform("e1", lambda a: a[F.col("cand")]).alias("_e1"),
@@ -96,15 +102,14 @@ def candidate_events(
     chain = Window.partitionBy(*keys, "cand").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     flat = flat.withColumn("_in", F.coalesce(F.last("_last", True).over(chain), F.lit(0)))
     chosen = F.when(F.col("_in") == 1, F.col("_e1")).otherwise(F.col("_e0"))
-    counts = flat.select(*keys, "cand", F.posexplode(chosen).alias("_i", "_e"))
-    counts = counts.groupBy(*keys, "cand", "_i").agg(F.sum("_e").alias("events"))
+    counts = flat.select(*keys, "n", "cand", "tau", F.posexplode(chosen).alias("_i", "_e"))
+    counts = counts.groupBy(*keys, "n", "cand", "tau", "_i").agg(F.sum("_e").alias("events"))
     pairs = F.array(*[F.struct(F.lit(w).alias("w_rows"), F.lit(k).alias("k_hits")) for w, k in settings])
-    counts = attach(counts, cands, keys)
     return counts.select(
         *keys,
         "n",
         "cand",
-        F.col("quantiles")[F.col("cand")].alias("tau"),
+        "tau",
         pairs[F.col("_i")]["w_rows"].alias("w_rows"),
         pairs[F.col("_i")]["k_hits"].alias("k_hits"),
         "events",

@@ -115,7 +115,6 @@ def threshold_tables(
     )
     thr = [f"thr_{v}" for v in values]
     types = {c: df.schema[c].dataType for c in [*season, fallback]}
-    wide = stage_table(wide, "thresholds")
     t1 = wide.where("lv = 1").select(
         *keys,
         *[F.col(f"g{i}").cast(types[c]).alias(c) for i, c in enumerate(season)],

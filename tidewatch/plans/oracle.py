@@ -236,6 +236,14 @@ def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
+def shown(*names: str) -> str:
+    return ", ".join(big(n, n) for n in names)
+
+
+def big(expr: str, name: str) -> str:
+    return f"CASE WHEN abs({expr}) < 1e6 THEN round({expr}, 6) ELSE round({expr} / 1e6::DOUBLE, 3) * 1e6::DOUBLE END AS {name}"
+
+
 def oracle() -> dict[str, str]:
     k = ", ".join(DK)
     q: dict[str, str] = {}
@@ -286,14 +294,13 @@ TIMESTAMP '1999-01-01' AS calib_start, TIMESTAMP '2000-06-01' AS test_start, cou
     q["split_periods"] = f"WITH {prepared('d', DK, (1, 7, 28))} SELECT {k}, period, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM pp GROUP BY {k}, period"
     d = scored("d", DK)
     q["seasonal_naive"] = f"WITH {d} SELECT {k}, ts, period, {r6('pred_naive')} FROM nv"
-    q["level_residual"] = f"WITH {d} SELECT {k}, ts, {r6('res')}, round(res, 6) AS res_naive FROM r"
-    q["gradient_residual"] = f"WITH {d} SELECT {k}, ts, {r6('grad_res')} FROM r"
-    thr = "round(q1, 6) AS thr_res, round(q2, 6) AS thr_grad_res"
-    q["threshold_table"] = f"""WITH {d} SELECT {k}, 1 AS lv, month, is_weekend, n, CASE WHEN n >= 6 THEN round(q1, 6) END AS thr_res,
-CASE WHEN n >= 6 THEN round(q2, 6) END AS thr_grad_res FROM t1
+    q["level_residual"] = f"WITH {d} SELECT {k}, ts, {shown('res')}, {big('res', 'res_naive')} FROM r"
+    q["gradient_residual"] = f"WITH {d} SELECT {k}, ts, {shown('grad_res')} FROM r"
+    thr = f"{big('q1', 'thr_res')}, {big('q2', 'thr_grad_res')}"
+    q["threshold_table"] = f"""WITH {d} SELECT {k}, 1 AS lv, month, is_weekend, n, {thr} FROM (SELECT * REPLACE (CASE WHEN n >= 6 THEN q1 END AS q1, CASE WHEN n >= 6 THEN q2 END AS q2) FROM t1)
 UNION ALL SELECT {k}, 2, month, NULL, n, {thr} FROM t2 UNION ALL SELECT {k}, 3, NULL, NULL, n, {thr} FROM t3"""
-    q["threshold_lookup"] = f"WITH {scored('h', [])} SELECT ts, thr_level, {r6('thr_res', 'thr_grad_res')} FROM l"
-    q["scores"] = f"WITH {d} SELECT {k}, ts, reason, {r6('s_res', 's_grad', 'score')} FROM sc"
+    q["threshold_lookup"] = f"WITH {scored('h', [])} SELECT ts, thr_level, {shown('thr_res', 'thr_grad_res')} FROM l"
+    q["scores"] = f"WITH {d} SELECT {k}, ts, reason, {shown('s_res', 's_grad', 'score')} FROM sc"
     q["zscore_reference"] = f"WITH {d}, {zscores()} SELECT {k}, ts, outlier, {r6('mu', 'sd', 'z')} FROM zf"
     q["hysteresis"] = f"WITH {flagged(DK)} SELECT {k}, ts, flag_raw::INT AS raw FROM f"
     q["persistence"] = f"WITH {flagged(DK)} SELECT {k}, ts, flag FROM f"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.config import DAILY, AuditConfig
@@ -58,6 +58,14 @@ def r6(*cols: str) -> dict[str, object]:
     return {c: F.round(c, 6) for c in cols}
 
 
+def shown(*cols: str) -> list[Column]:
+    """Six places; three places of a million for residuals over a floor near zero."""
+    small = lambda c: F.abs(c) < 1e6
+    return [
+        F.when(small(c), F.round(c, 6)).otherwise(F.round(F.col(c) / 1e6, 3) * 1e6).alias(c) for c in cols
+    ]
+
+
 def flag_tau(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Scored rows with the 0.9 quantile of the calibration scores as ``tau``."""
     calib = scored.where("period = 'calib'")
@@ -222,13 +230,13 @@ def seasonal_naive(spark, sf):
 @query
 def level_residual(spark, sf):
     d = scoring.residuals(daily_audit(spark, sf, DK), "y", "pred_naive", "pred_naive", DK)
-    return d.select(*DK, "ts", F.round("res", 6).alias("res"), F.round("res_naive", 6).alias("res_naive"))
+    return d.select(*DK, "ts", *shown("res", "res_naive"))
 
 
 @query
 def gradient_residual(spark, sf):
     d = scoring.residuals(daily_audit(spark, sf, DK), "y", "pred_naive", "pred_naive", DK)
-    return d.select(*DK, "ts", F.round("grad_res", 6).alias("grad_res"))
+    return d.select(*DK, "ts", *shown("grad_res"))
 
 
 @query
@@ -243,19 +251,19 @@ def threshold_table(spark, sf):
     ]
     cols = [*DK, "lv", "month", "is_weekend", "n", "thr_res", "thr_grad_res"]
     out = parts[0].select(cols).unionByName(parts[1].select(cols)).unionByName(parts[2].select(cols))
-    return out.withColumns(r6("thr_res", "thr_grad_res"))
+    return out.select(*cols[:-2], *shown("thr_res", "thr_grad_res"))
 
 
 @query
 def threshold_lookup(spark, sf):
     d = hourly_banded(spark, sf)
-    return d.select("ts", "thr_level", F.round("thr_res", 6).alias("thr_res"), F.round("thr_grad_res", 6).alias("thr_grad_res"))
+    return d.select("ts", "thr_level", *shown("thr_res", "thr_grad_res"))
 
 
 @query
 def scores(spark, sf):
     d = daily_scored(spark, sf, DK)
-    return d.select(*DK, "ts", "reason", *[F.round(c, 6).alias(c) for c in ("s_res", "s_grad", "score")])
+    return d.select(*DK, "ts", "reason", *shown("s_res", "s_grad", "score"))
 
 
 @query

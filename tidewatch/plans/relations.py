@@ -124,7 +124,8 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey": F.col("o_orderkey"),
         "o_orderpriority": F.col("o_orderpriority"),
     }
-    return table_lines(table(spark, sf, "orders"), cols, "o_orderkey")
+    make = lambda: table_lines(table(spark, sf, "orders"), cols, "o_orderkey")
+    return once("order-lines", spark, sf, [], make)
 
 
 def customer_lines(spark: SparkSession, sf: str) -> DataFrame:
