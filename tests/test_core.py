@@ -156,8 +156,8 @@ def test_budget_and_tuner_match_loop(spark):
     assert (3, 4) in calibrate.settings_grid(cfg.with_(allow_unsatisfiable=True))
 
 
-@pytest.mark.parametrize("cap", [1.5, 0.95])
-def test_rolling_matches_loop(spark, cap):
+@pytest.mark.parametrize("cap,span", [(1.5, 512), (1.5, 2), (0.95, 5)])
+def test_rolling_matches_loop(spark, cap, span):
     pdf, df = frame(spark, 200, 8, keys=("a", "b"), hot=2)
     cfg = AuditConfig(
         rolling_days=3, block_days=1, min_rolling_rows=20, events_per_period=1.0, rows_per_period=24, cap_ratio=cap
@@ -168,7 +168,7 @@ def test_rolling_matches_loop(spark, cap):
     taus = spark.createDataFrame(
         [("a", 1.1, 1.2, 5, 3), ("b", 1.0, 0.9, 3, 2)], "key string, tau_fixed double, tau_budget double, w_rows int, k_hits int"
     )
-    got = decide.decide_rolling(df, taus, cfg, ["key"], rows=32).toPandas().sort_values(["key", "row_no"])
+    got = decide.decide_rolling(df, taus, cfg, ["key"], span_blocks=span).toPandas().sort_values(["key", "row_no"])
     for key, fixed, first, w, k in (("a", 1.1, 1.2, 5, 3), ("b", 1.0, 0.9, 3, 2)):
         part = pdf[(pdf.k == key) & (pdf.row_no >= 40)].reset_index(drop=True)
         want = rolling(part["sec"].tolist(), part["score"].tolist(), 60, fixed, first, w, k, cfg)

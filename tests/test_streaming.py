@@ -6,7 +6,8 @@ from tidewatch.config import AuditConfig
 from tidewatch.operators import decide
 from tidewatch.operators.flags import flag_streams
 from tidewatch.plans.queries import replay
-from tidewatch.streaming.decide import decide_stream, flag_stream, step_flags
+from tidewatch.operators.sweep import step_flags
+from tidewatch.streaming.decide import decide_stream, flag_stream
 
 CUTS = ["2024-01-05", "2024-01-11"]
 

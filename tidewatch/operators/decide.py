@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.config import AuditConfig
-from tidewatch.operators.sweep import budget_tau as window_tau
-from tidewatch.operators.calibrate import CANDIDATES, capped, w_values
+from tidewatch.operators.sweep import Carry, Rules, roll
+from tidewatch.operators.calibrate import CANDIDATES, w_values
 from tidewatch.operators.flags import flag_streams
 from tidewatch.operators.score import lookup_mean_std, mean_std_tables, zscore
 from tidewatch.operators.sequence import BLOCK_ROWS, attach
@@ -70,117 +69,189 @@ def decide_frozen(
     )
 
 
+def rules_of(cfg: AuditConfig) -> Rules:
+    return Rules(
+        int(cfg.block_days * 86400),
+        int(cfg.rolling_days * 86400),
+        cfg.min_rolling_rows,
+        cfg.low_ratio,
+        cfg.events_per_period,
+        cfg.rows_per_period,
+        tuple(CANDIDATES),
+    )
+
+
 def decide_rolling(
-    df: DataFrame, taus: DataFrame, cfg: AuditConfig, keys: Sequence[str] = (), rows: int = BLOCK_ROWS
+    df: DataFrame, taus: DataFrame, cfg: AuditConfig, keys: Sequence[str] = (), span_blocks: int = 512
 ) -> DataFrame:
     """Before every block, learn the budget threshold again from the rows before it.
 
     Rows already flagged or under a touched cap are left out of that window, so a
-    block depends on earlier flags.  Instead of walking a series in one task, all
-    blocks are solved at once against the exclusions known so far, and again until
-    the exclusions stop changing.  A block only looks back, so round ``r`` has the
-    first ``r`` blocks right whatever the others hold, and a round that changes
-    nothing is the exact answer.  Later rounds only recompute the windows in which
-    an exclusion changed.
+    block depends on earlier flags.  A series is cut into spans of blocks, and all
+    spans of all series are solved at once from what is known at their start: the
+    exclusions in the window before them and the state carried in.  Spans whose
+    start turns out different are solved again until none is.  A span only looks
+    back, so round ``r`` has the first ``r`` spans right whatever the others hold,
+    and a round without changes is the exact answer.  Series of one span need no
+    second round.
     """
     keys = list(keys)
-    block, window = int(cfg.block_days * 86400), int(cfg.rolling_days * 86400)
+    rules = rules_of(cfg)
+    span = rules.block * span_blocks
     sec = F.unix_seconds("ts")
     test = df.where(F.col("period") == "test")
-    start = test.groupBy(*keys).agg(
+    ends = test.groupBy(*keys).agg(
         F.min(sec).alias("_t0"), F.max(sec).alias("_t1"), F.min("row_no").alias("_r0")
     )
     base = taus.select(*keys, "tau_fixed", F.col("tau_budget").alias("_tau0"), "w_rows", "k_hits")
-    rows_in = attach(attach(df.where(F.col("period") != "fit"), start, keys), base, keys)
-    rows_in = rows_in.where(sec >= F.col("_t0") - window)
-    rows_in = rows_in.withColumn("_d", F.floor((sec - F.col("_t0")) / block))
+    ends = attach(ends, base, keys).withColumn("_last", F.floor((F.col("_t1") - F.col("_t0")) / span))
+    rows_in = attach(df.where(F.col("period") != "fit"), ends, keys)
+    since = sec - F.col("_t0")
+    rows_in = rows_in.where(since >= -rules.window).withColumn("_span", F.floor(since / span))
     rows_in = stage_table(rows_in, "rolling-input")
-    ends = attach(start, base, keys).withColumn(
-        "_last", F.floor((F.col("_t1") - F.col("_t0")) / block)
+    initial = F.struct(
+        F.col("_tau0").alias("tau"),
+        F.lit(0).alias("on_b"),
+        F.array().cast("array<int>").alias("tail_b"),
+        F.lit(0).alias("on_s"),
+        F.array().cast("array<int>").alias("tail_s"),
+    )
+    spans = stage_table(
+        ends.select(
+            *keys,
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("_span"),
+            initial.alias("_start"),
+            "_t0",
+            "_t1",
+            (F.col("tau_fixed") * F.lit(cfg.cap_ratio)).alias("_cap"),
+            "w_rows",
+            "k_hits",
+        ),
+        "rolling-spans",
+    )
+    on = [*keys, "_span"]
+    # the spans in whose first window a row lies
+    leads = F.sequence(
+        F.greatest(F.floor(since / span) + 1, F.lit(0)),
+        F.least(F.floor((since + rules.window) / span), F.col("_last")),
+    )
+    leads = F.when(
+        F.greatest(F.floor(since / span) + 1, F.lit(0))
+        <= F.least(F.floor((since + rules.window) / span), F.col("_last")),
+        leads,
+    ).otherwise(F.array().cast("array<bigint>"))
+    carry_type = T.StructType(
+        [
+            T.StructField("tau", T.DoubleType()),
+            T.StructField("on_b", T.IntegerType()),
+            T.StructField("tail_b", T.ArrayType(T.IntegerType())),
+            T.StructField("on_s", T.IntegerType()),
+            T.StructField("tail_s", T.ArrayType(T.IntegerType())),
+        ]
     )
-    all_blocks = ends.select(*keys, "_tau0", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_d"))
+    decided = {
+        "tau_budget": T.DoubleType(),
+        "tau_sci": T.DoubleType(),
+        "tau_cap_hit": T.IntegerType(),
+        "flag_budget": T.IntegerType(),
+        "flag_sci": T.IntegerType(),
+        "excluded": T.IntegerType(),
+    }
     schema = T.StructType(
-        [df.schema[k] for k in keys]
-        + [T.StructField("_d", T.LongType()), T.StructField("_tau", T.DoubleType())]
+        [df.schema[c] for c in keys]
+        + [T.StructField("_span", T.LongType()), T.StructField("row_no", T.LongType())]
+        + [T.StructField(c, t) for c, t in decided.items()]
+        + list(carry_type.fields)
     )
-    qs = np.asarray(CANDIDATES)
-
-    def calibrate(pdf: pd.DataFrame) -> pd.DataFrame:
-        # at most one window of rows: window length over the step of the series
-        kept = pdf[pdf["_x"] == 0].sort_values("row_no")
-        tau = None
-        if len(kept) >= cfg.min_rolling_rows:
-            tau = window_tau(
-                kept["score"].to_numpy(dtype=float),
-                qs,
-                int(kept["w_rows"].iloc[0]),
-                int(kept["k_hits"].iloc[0]),
-                cfg.low_ratio,
-                cfg.events_per_period,
-                cfg.rows_per_period,
-            )
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "_d": pdf["_d"].iloc[0], "_tau": tau}])
+    names = [f.name for f in schema.fields]
 
-    since = sec - F.col("_t0")
-    first = F.greatest(F.floor(since / block) + 1, F.lit(0))
-    final = F.least(
-        F.floor((since + window) / block), F.floor((F.col("_t1") - F.col("_t0")) / block)
-    )
-    targets = F.when(first <= final, F.sequence(first, final))
-    on = [*keys, "_d"]
-    backwards = Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-
-    excluded, window_taus = None, None
-    while True:
-        marked = rows_in.select(*keys, "row_no", "ts", "score", "w_rows", "k_hits", "_t0", "_t1")
-        if excluded is None:
-            marked = marked.withColumn("_x", F.lit(0))
-        else:
-            marked = marked.join(excluded.select(*keys, "row_no", "_x"), [*keys, "row_no"], "left")
-            marked = marked.withColumn("_x", F.coalesce("_x", F.lit(0)))
-        looked = marked.select(
-            *keys, "row_no", "score", "w_rows", "k_hits", "_x", F.explode(targets).alias("_d")
+    def solve(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        """One span: its rows and one window of rows before it."""
+        if not len(start):
+            return pd.DataFrame(columns=names)
+        s = start.iloc[0]
+        rows = rows.sort_values("row_no")
+        lead, own = rows[rows["_lead"]], rows[~rows["_lead"]]
+        carry = Carry(s["tau"], int(s["on_b"]), list(s["tail_b"]), int(s["on_s"]), list(s["tail_s"]))
+        first = int(s["_span"]) * span_blocks
+        last = min(first + span_blocks - 1, int((s["_t1"] - s["_t0"]) // rules.block))
+        got = roll(
+            (lead["sec"].to_numpy(), lead["score"].to_numpy(dtype=float), lead["_x"].to_numpy()),
+            own["sec"].to_numpy(),
+            own["score"].to_numpy(dtype=float),
+            int(s["_t0"]),
+            (first, last),
+            float(s["_cap"]),
+            int(s["w_rows"]),
+            int(s["k_hits"]),
+            carry,
+            rules,
         )
-        if excluded is not None:
-            dirty = (
-                rows_in.join(excluded.where("_changed"), [*keys, "row_no"], "left_semi")
-                .select(*keys, F.explode(targets).alias("_d"))
-                .distinct()
-            )
-            fresh = looked.join(dirty, on, "left_semi")
-            fresh = spread(fresh, *on).groupBy(*on).applyInPandas(calibrate, schema)
-            kept = window_taus.join(dirty, on, "left_anti")
-            solved = kept.unionByName(fresh)
+        # the rows of the span, and one more row with what it leaves behind
+        left = vars(carry)
+        n = len(own)
+        cols = {c: [s[c]] * (n + 1) for c in on}
+        cols["row_no"] = [*own["row_no"].tolist(), None]
+        cols.update({c: [*got[c].tolist(), None] for c in decided})
+        cols.update({c: [*[None] * n, left[c]] for c in left})
+        return pd.DataFrame(cols, dtype=object)[names]
+
+    def evaluate(which: DataFrame, solved: DataFrame | None) -> DataFrame:
+        """Solve the spans of ``which`` (``keys, _span, _start, ...``)."""
+        known = rows_in
+        if solved is None:
+            known = known.withColumn("_x", F.lit(0))
         else:
-            solved = spread(looked, *on).groupBy(*on).applyInPandas(calibrate, schema)
-        window_taus = stage_table(solved, "rolling-windows")
-        by_block = all_blocks.join(window_taus, on, "left").select(
-            *on, F.coalesce(F.last("_tau", True).over(backwards), F.col("_tau0")).alias("tau_budget")
+            marks = solved.where(F.col("row_no").isNotNull()).select(*keys, "row_no", F.col("excluded").alias("_x"))
+            known = known.join(marks, [*keys, "row_no"], "left").withColumn("_x", F.coalesce("_x", F.lit(0)))
+        own = F.when(
+            F.col("period") == "test", F.array(F.struct(F.col("_span").alias("s"), F.lit(False).alias("l")))
+        ).otherwise(F.array().cast("array<struct<s:bigint,l:boolean>>"))
+        ahead = F.transform(leads, lambda t: F.struct(t.alias("s"), F.lit(True).alias("l")))
+        parts = known.select(
+            *keys, "row_no", sec.alias("sec"), "score", "_x", F.explode(F.concat(own, ahead)).alias("_to")
         )
-        d = rows_in.where(F.col("period") == "test").join(by_block, on)
-        d = capped(d.withColumn("row_no", F.col("row_no") - F.col("_r0")), cfg.cap_ratio)
-        flagged = flag_streams(
-            d,
-            {"flag_budget": ("score", "tau_budget"), "flag_sci": ("score", "tau_sci")},
-            "w_rows",
-            "k_hits",
-            cfg.low_ratio,
-            keys,
-            rows,
-            w_grid=w_values(cfg),
+        parts = parts.select(
+            *keys, F.col("_to.s").alias("_span"), F.col("_to.l").alias("_lead"), "row_no", "sec", "score", "_x"
+        )
+        if solved is not None:
+            parts = parts.join(which.select(*on), on, "left_semi")
+        starts = which.select(*on, "_t0", "_t1", "_cap", "w_rows", "k_hits", "_start.*")
+        starts = starts.select(*[F.col(c).alias(c) for c in starts.columns])
+        a, b = spread(parts, *on), spread(starts, *on)
+        return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(solve, schema)
+
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    solved = stage_table(evaluate(spans, None), "rolling-round")
+    starts, marks_before = spans, None
+    longest = spans.agg(F.max("_span")).first()[0]
+    while longest:
+        ended = solved.where(F.col("row_no").isNull()).select(
+            *on, F.struct(*[f.name for f in carry_type.fields]).alias("_end")
         )
-        flagged = flagged.withColumn(
-            "_x", F.greatest(F.col("flag_sci"), F.col("tau_cap_hit"))
-        ).withColumn("row_no", F.col("row_no") + F.col("_r0"))
-        if excluded is None:
-            flagged = flagged.withColumn("_changed", F.col("_x") == 1)
+        now = spans.join(ended, on, "left").withColumn(
+            "_start", F.coalesce(F.last("_end", True).over(before), F.col("_start"))
+        )
+        now = stage_table(now.drop("_end"), "rolling-starts")
+        was = starts.select(*on, F.col("_start").alias("_was"))
+        moved = now.join(was, on).where(~F.col("_start").eqNullSafe(F.col("_was"))).select(*on)
+        marks = solved.where(F.col("row_no").isNotNull()).select(*keys, "row_no", "excluded")
+        if marks_before is None:
+            flipped = marks.where(F.col("excluded") == 1)
         else:
-            before = excluded.select(*keys, "row_no", F.col("_x").alias("_was"))
-            flagged = flagged.join(before, [*keys, "row_no"]).withColumn(
-                "_changed", F.col("_x") != F.col("_was")
-            ).drop("_was")
-        excluded = stage_table(flagged, "rolling-round")
-        if excluded.where("_changed").isEmpty():
+            old = marks_before.select(*keys, "row_no", F.col("excluded").alias("_old"))
+            flipped = marks.join(old, [*keys, "row_no"]).where(F.col("excluded") != F.col("_old"))
+        touched = rows_in.join(flipped.select(*keys, "row_no"), [*keys, "row_no"], "left_semi").select(
+            *keys, F.explode(leads).alias("_span")
+        )
+        dirty = stage_table(moved.unionByName(touched).distinct(), "rolling-dirty")
+        if dirty.isEmpty():
             break
-    out = excluded.withColumn("row_no", F.col("row_no") - F.col("_r0"))
-    return out.drop("_t0", "_t1", "_r0", "_d", "_tau0", "_x", "_changed")
+        again = evaluate(now.join(dirty, on, "left_semi"), solved)
+        kept = solved.join(dirty, on, "left_anti").select(names)
+        starts, marks_before = now, marks
+        solved = stage_table(kept.unionByName(again.select(names)), "rolling-round")
+    flags = solved.where(F.col("row_no").isNotNull()).select(*keys, "row_no", *[c for c in decided if c != "excluded"])
+    out = rows_in.where(F.col("period") == "test").join(flags, [*keys, "row_no"])
+    out = out.withColumn("row_no", F.col("row_no") - F.col("_r0"))
+    return out.drop("_t0", "_t1", "_r0", "_span", "_last", "_tau0")

@@ -1,7 +1,9 @@
-"""Event counts of one run of scores under many thresholds at once (numpy, per task)."""
+"""Numpy steps that run inside tasks, on one bounded run of scores at a time."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 
 
@@ -53,3 +55,104 @@ def budget_tau(
     allowed = per_period * max(max(len(scores), 1) / rows_per_period, 1e-9)
     fits = np.flatnonzero(edges[0, 0] <= allowed)
     return float(taus[fits[-1]]) if len(fits) else float(np.max(scores))
+
+
+def step_flags(
+    scores: np.ndarray, tau: float, w: int, k: int, low_ratio: float, on: int, tail: list[int]
+) -> tuple[np.ndarray, int, list[int]]:
+    """Flags of the next rows of a series, given the state and the last raw states."""
+    n = len(scores)
+    up, down = scores > tau, scores < tau * low_ratio
+    at = np.maximum.accumulate(np.where(up | down, np.arange(n), -1))
+    raw = np.where(at >= 0, up[np.maximum(at, 0)], bool(on)).astype(int)
+    both = np.concatenate([np.asarray(tail, dtype=int), raw])
+    total = np.concatenate([[0], np.cumsum(both)])
+    end = np.arange(len(tail) + 1, len(both) + 1)
+    flags = (total[end] - total[np.maximum(end - w, 0)] >= k).astype(int)
+    keep = both[max(0, len(both) - (w - 1)) :] if w > 1 else both[:0]
+    return flags, int(raw[-1]) if n else on, keep.tolist()
+
+
+@dataclass
+class Carry:
+    """What a series takes from one run of blocks into the next."""
+
+    tau: float
+    on_b: int = 0
+    tail_b: list[int] = field(default_factory=list)
+    on_s: int = 0
+    tail_s: list[int] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Settings of a rolling decision; times in seconds."""
+
+    block: int
+    window: int
+    min_rows: int
+    low_ratio: float
+    per_period: float
+    rows_per_period: int
+    qs: tuple[float, ...]
+
+
+def roll(
+    past: tuple[np.ndarray, np.ndarray, np.ndarray],
+    sec: np.ndarray,
+    score: np.ndarray,
+    t0: int,
+    blocks: tuple[int, int],
+    cap: float,
+    w: int,
+    k: int,
+    carry: Carry,
+    rules: Rules,
+) -> dict[str, np.ndarray]:
+    """Decide rows block after block; ``carry`` is moved along.
+
+    ``past``: time, score and exclusion of the rows before, at least one window of
+    them.  The threshold is learned again at the start of every block of ``blocks``
+    (first, last), also of blocks without rows.  Rows of earlier blocks belong to a
+    block that was opened before and keep its threshold.
+    """
+    m, n = len(past[0]), len(sec)
+    all_sec = np.concatenate([past[0], sec])
+    all_score = np.concatenate([past[1], score])
+    out_x = np.concatenate([past[2], np.zeros(n, dtype=int)])
+    of = (sec - t0) // rules.block
+    out = {
+        "tau_budget": np.zeros(n),
+        "tau_sci": np.zeros(n),
+        "tau_cap_hit": np.zeros(n, dtype=int),
+        "flag_budget": np.zeros(n, dtype=int),
+        "flag_sci": np.zeros(n, dtype=int),
+    }
+    qs = np.asarray(rules.qs)
+
+    def apply(lo: int, hi: int) -> None:
+        if lo >= hi:
+            return
+        sci, hit = min(carry.tau, cap), int(carry.tau > cap)
+        x = score[lo:hi]
+        f_b, carry.on_b, carry.tail_b = step_flags(x, carry.tau, w, k, rules.low_ratio, carry.on_b, carry.tail_b)
+        f_s, carry.on_s, carry.tail_s = step_flags(x, sci, w, k, rules.low_ratio, carry.on_s, carry.tail_s)
+        for name, v in zip(out, (carry.tau, sci, hit, f_b, f_s)):
+            out[name][lo:hi] = v
+        out_x[m + lo : m + hi] = np.maximum(f_s, hit)
+
+    first, last = blocks
+    at = int(np.searchsorted(of, first))
+    apply(0, at)
+    for d in range(first, last + 1):
+        end = t0 + d * rules.block
+        a, b = np.searchsorted(all_sec, [end - rules.window, end])
+        if b - a >= rules.min_rows:
+            kept = all_score[a:b][out_x[a:b] == 0]
+            if len(kept) >= rules.min_rows:
+                carry.tau = budget_tau(kept, qs, w, k, rules.low_ratio, rules.per_period, rules.rows_per_period)
+        upto = int(np.searchsorted(of, d, side="right"))
+        apply(at, upto)
+        at = upto
+    out["excluded"] = out_x[m:]
+    return out

@@ -12,24 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidewatch.config import AuditConfig
-from tidewatch.operators.calibrate import CANDIDATES
-from tidewatch.operators.sweep import budget_tau
-
-
-def step_flags(
-    scores: np.ndarray, tau: float, w: int, k: int, low_ratio: float, on: int, tail: list[int]
-) -> tuple[np.ndarray, int, list[int]]:
-    """Flags of the next rows of a series, given the state and the last raw states."""
-    n = len(scores)
-    up, down = scores > tau, scores < tau * low_ratio
-    at = np.maximum.accumulate(np.where(up | down, np.arange(n), -1))
-    raw = np.where(at >= 0, up[np.maximum(at, 0)], bool(on)).astype(int)
-    both = np.concatenate([np.asarray(tail, dtype=int), raw])
-    total = np.concatenate([[0], np.cumsum(both)])
-    end = np.arange(len(tail) + 1, len(both) + 1)
-    flags = (total[end] - total[np.maximum(end - w, 0)] >= k).astype(int)
-    keep = both[max(0, len(both) - (w - 1)) :] if w > 1 else both[:0]
-    return flags, int(raw[-1]) if n else on, keep.tolist()
+from tidewatch.operators.decide import rules_of
+from tidewatch.operators.sweep import Carry, roll, step_flags
 
 
 def flag_stream(
@@ -92,10 +76,7 @@ def decide_stream(
     window, two hysteresis states and the current threshold.
     """
     keys = list(keys)
-    block, window = int(cfg.block_days * 86400), int(cfg.rolling_days * 86400)
-    low, ratio = cfg.low_ratio, cfg.cap_ratio
-    per, rows_per, min_rows = cfg.events_per_period, cfg.rows_per_period, cfg.min_rolling_rows
-    qs = np.asarray(CANDIDATES)
+    rules, ratio = rules_of(cfg), cfg.cap_ratio
     out = T.StructType(
         [stream.schema[c] for c in keys]
         + [
@@ -125,52 +106,27 @@ def decide_stream(
         pdf = pdf[(pdf["sec"] > newest) & ~pdf["sec"].duplicated()]
         cap = float(pdf["tau_fixed"].iloc[0]) * ratio if len(pdf) else 0.0
         w, k = (int(pdf["w_rows"].iloc[0]), int(pdf["k_hits"].iloc[0])) if len(pdf) else (1, 1)
-        done = []
-        before = pdf[pdf["period"] != "test"]
-        secs += before["sec"].tolist()
-        scores += before["score"].tolist()
-        excluded += [0] * len(before)
+        past = pdf[pdf["period"] != "test"]
+        secs += past["sec"].tolist()
+        scores += past["score"].tolist()
+        excluded += [0] * len(past)
         test = pdf[pdf["period"] == "test"]
-        if len(test) and t0 < 0:
-            t0 = int(test["sec"].iloc[0])
-        blocks = (test["sec"].to_numpy() - t0) // block
-        for b in np.unique(blocks):
-            # a silent block still recalibrates while its window holds enough rows
-            for d in range(int(at) + 1, int(b) + 1):
-                end = t0 + d * block
-                s, e = np.asarray(secs, dtype=np.int64), np.asarray(excluded)
-                inside = (s >= end - window) & (s < end) & (e == 0)
-                if inside.sum() >= min_rows:
-                    tau = budget_tau(np.asarray(scores, dtype=float)[inside], qs, w, k, low, per, rows_per)
-                elif len(s) == 0 or s[-1] < end - window:
-                    break
-            at = int(b)
-            sci, hit = min(tau, cap), int(tau > cap)
-            part = test[blocks == b]
-            x = part["score"].to_numpy(dtype=float)
-            f_b, on_b, tail_b = step_flags(x, tau, w, k, low, on_b, list(tail_b))
-            f_s, on_s, tail_s = step_flags(x, sci, w, k, low, on_s, list(tail_s))
-            secs += part["sec"].tolist()
-            scores += x.tolist()
-            excluded += np.maximum(f_s, hit).tolist()
-            done.append(
-                pd.DataFrame(
-                    {
-                        **{c: [v] * len(part) for c, v in zip(keys, key)},
-                        "ts": pd.to_datetime(part["sec"].to_numpy(), unit="s", utc=True),
-                        "score": x,
-                        "tau_budget": tau,
-                        "tau_sci": sci,
-                        "tau_cap_hit": hit,
-                        "flag_budget": f_b,
-                        "flag_sci": f_s,
-                    }
-                )
-            )
+        got = None
+        if len(test):
+            sec, score = test["sec"].to_numpy(), test["score"].to_numpy(dtype=float)
+            t0 = int(sec[0]) if t0 < 0 else t0
+            last = int((sec[-1] - t0) // rules.block)
+            carry = Carry(tau, on_b, list(tail_b), on_s, list(tail_s))
+            known = (np.asarray(secs, dtype=np.int64), np.asarray(scores, dtype=float), np.asarray(excluded, dtype=int))
+            got = roll(known, sec, score, t0, (int(at) + 1, last), cap, w, k, carry, rules)
+            at, tau, on_b, tail_b, on_s, tail_s = last, carry.tau, carry.on_b, carry.tail_b, carry.on_s, carry.tail_s
+            secs += sec.tolist()
+            scores += score.tolist()
+            excluded += got.pop("excluded").tolist()
         if secs:
             # rows older than one window before the newest row are never read again,
             # except that the next block may start up to one block earlier
-            first = np.searchsorted(np.asarray(secs), secs[-1] - window - block)
+            first = np.searchsorted(np.asarray(secs), secs[-1] - rules.window - rules.block)
             secs, scores, excluded = secs[first:], scores[first:], excluded[first:]
         state.update(
             (
@@ -186,8 +142,10 @@ def decide_stream(
                 [int(v) for v in excluded],
             )
         )
-        if done:
-            yield pd.concat(done)
+        if got is not None:
+            head = {c: [v] * len(test) for c, v in zip(keys, key)}
+            ts = pd.to_datetime(sec, unit="s", utc=True)
+            yield pd.DataFrame({**head, "ts": ts, "score": score, **got})
 
     rows = stream.select(
         *keys,
