@@ -179,10 +179,9 @@ def token_diff(
     """
     b = base.select(*on, F.col("line").alias("_b"))
     d = b.join(current.select(*on, F.col("line").alias("_c")), list(on))
-    pairs = F.explode(F.arrays_zip(tokens(F.col("_b"), sep).alias("x"), tokens(F.col("_c"), sep).alias("y")))
-    d = d.select(*by, pairs.alias("_p")).select(
-        *by, float_token(F.col("_p.x")).alias("x"), float_token(F.col("_p.y")).alias("y")
-    )
+    numbers = lambda c: F.transform(tokens(F.col(c), sep), float_token)
+    pairs = F.explode(F.arrays_zip(numbers("_b").alias("x"), numbers("_c").alias("y")))
+    d = d.select(*by, pairs.alias("_p")).select(*by, "_p.x", "_p.y")
     d = d.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     delta = F.abs(F.col("y") - F.col("x"))
     rel = F.when(F.abs("x") < 1e-9, delta).otherwise(delta / F.abs("x"))
