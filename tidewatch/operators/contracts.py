@@ -43,7 +43,7 @@ def is_monotonic(
     df: DataFrame, ingest_no: str, ts: str, keys: Sequence[str] = (), rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``keys, monotonic``: timestamps never go back in the order rows were read."""
-    d = index_rows(df.select(*keys, ingest_no, ts), keys, ingest_no, span=rows)
+    d = index_rows(df.select(*keys, ingest_no, ts), keys, ingest_no)
     d = blocked(d, rows, 1)
     back = F.lag(ts).over(block_window(keys)) > F.col(ts)
     d = d.withColumn("_back", F.coalesce(back, F.lit(False))).where(~F.col("_halo"))

@@ -18,6 +18,9 @@ from tidewatch.operators.sequence import BLOCK_ROWS, attach
 from tidewatch.session import spread, stage_table
 
 
+SPAN_ROWS = 16_384
+
+
 def test_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Test rows, numbered from the first one."""
     d = df.where(F.col("period") == "test")
@@ -82,7 +85,11 @@ def rules_of(cfg: AuditConfig) -> Rules:
 
 
 def decide_rolling(
-    df: DataFrame, taus: DataFrame, cfg: AuditConfig, keys: Sequence[str] = (), span_blocks: int = 512
+    df: DataFrame,
+    taus: DataFrame,
+    cfg: AuditConfig,
+    keys: Sequence[str] = (),
+    span_blocks: int | None = None,
 ) -> DataFrame:
     """Before every block, learn the budget threshold again from the rows before it.
 
@@ -93,18 +100,26 @@ def decide_rolling(
     start turns out different are solved again until none is.  A span only looks
     back, so round ``r`` has the first ``r`` spans right whatever the others hold,
     and a round without changes is the exact answer.  Series of one span need no
-    second round.
+    second round.  Unless given, the span is as many blocks as hold about 16,384 rows.
     """
     keys = list(keys)
     rules = rules_of(cfg)
-    span = rules.block * span_blocks
     sec = F.unix_seconds("ts")
     test = df.where(F.col("period") == "test")
     ends = test.groupBy(*keys).agg(
-        F.min(sec).alias("_t0"), F.max(sec).alias("_t1"), F.min("row_no").alias("_r0")
+        F.min(sec).alias("_t0"),
+        F.max(sec).alias("_t1"),
+        F.min("row_no").alias("_r0"),
+        F.count(F.lit(1)).alias("_n"),
     )
+    ends = stage_table(ends, "rolling-ends")
+    if span_blocks is None:
+        per_block = F.col("_n") / (F.floor((F.col("_t1") - F.col("_t0")) / rules.block) + 1)
+        densest = ends.agg(F.max(per_block)).first()[0] or 1.0
+        span_blocks = max(1, int(SPAN_ROWS / densest))
+    span = rules.block * span_blocks
     base = taus.select(*keys, "tau_fixed", F.col("tau_budget").alias("_tau0"), "w_rows", "k_hits")
-    ends = attach(ends, base, keys).withColumn("_last", F.floor((F.col("_t1") - F.col("_t0")) / span))
+    ends = attach(ends.drop("_n"), base, keys).withColumn("_last", F.floor((F.col("_t1") - F.col("_t0")) / span))
     rows_in = attach(df.where(F.col("period") != "fit"), ends, keys)
     since = sec - F.col("_t0")
     rows_in = rows_in.where(since >= -rules.window).withColumn("_span", F.floor(since / span))

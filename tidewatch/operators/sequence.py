@@ -44,10 +44,10 @@ def index_rows(
 
     Values are cut into ranges, ranges are counted (map-side combined), counts are
     prefix-summed, and rows are ranked inside their range only.  ``span`` is the
-    range width in the units of ``order`` (microseconds for timestamps); when it is
-    not given, ranges come from approximate percentiles of each key, so a range
-    holds about ``bound`` rows whatever the distribution.  The ranges only spread
-    the work: the numbers are exact.
+    range width in the units of ``order`` (microseconds for timestamps) and suits
+    values on a grid.  When it is not given, keys with more than ``bound`` rows are
+    cut at approximate percentiles into 1024 ranges, so sparse or clustered values
+    do as well.  The ranges only spread the work: the numbers are exact.
     """
     keys = list(keys)
     is_ts = df.schema[order].dataType.typeName().startswith("timestamp")

@@ -14,6 +14,7 @@ from tidewatch.functions.digest import row_text, table_digest
 from tidewatch.functions.text import float_token, tokens
 from tidewatch.operators import calibrate, contracts, decide, diff, faults, features, flags, health, predict
 from tidewatch.operators import score as scoring
+from tidewatch.operators.integrity import IntegrityAudit
 from tidewatch.operators.quantile import quantile_columns
 from tidewatch.operators.sequence import attach
 from tidewatch.operators.shift import circular_shift, xcorr_lag
@@ -37,6 +38,7 @@ from tidewatch.plans.relations import (
 )
 from tidewatch.plans.scenarios import CONFIG, scenario_matrix
 from tidewatch.session import shared_dir, stage_table
+from tidewatch.sources.lines import file_digests
 from tidewatch.sources.monthly import union_parts
 from tidewatch.streaming.decide import decide_stream, flag_stream
 from tidewatch.streaming.windows import event_sessions, hourly_rollup, run_to_end
@@ -625,6 +627,32 @@ def integrity_scenarios(spark, sf):
     return scenario_matrix(order_lines(spark, sf), customer_lines(spark, sf))
 
 
+@query
+def verify_integrity(spark, sf):
+    """A clean run verifies; the same certificate over a changed text does not."""
+    main = order_lines(spark, sf)
+    audit = IntegrityAudit({"orders": main}, CONFIG)
+    reasons, cert = audit.run({"orders": main}, CONFIG, "clean")
+    ledger = audit.ledger_entry(cert)
+    out = None
+    for name, text in (("clean", main), ("spike", faults.spike(main)), ("cut", faults.truncate(main))):
+        row = audit.verify(cert, {"orders": text}, reasons, CONFIG, ledger).withColumn("current", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def file_fingerprints(spark, sf):
+    """Digests of the table files themselves."""
+    d = file_digests(spark, f"{sf}/*.parquet")
+    return d.select(F.substring_index("path", "/", -1).alias("file"), "bytes", "sha256")
+
+
+@query
+def business_summary(spark, sf):
+    return _run(spark, sf).summary.drop("certificate_sha256")
+
+
 @query
 def predict_gbt(spark, sf):
     """A boosted model per table, with early stopping on the calibration period."""

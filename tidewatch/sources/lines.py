@@ -233,7 +233,7 @@ def lines_table(lines: DataFrame, columns: Sequence[str], header_count: int, num
     return d.withColumns({c: F.trim(c).try_cast("double") for c in numeric if c in d.columns})
 
 
-def table_lines(df: DataFrame, columns: dict[str, Column], order: str, span: int = 65_536) -> DataFrame:
+def table_lines(df: DataFrame, columns: dict[str, Column], order: str, span: int | None = None) -> DataFrame:
     """A table as CSV lines with one header line: ``line_no, line``."""
     from tidewatch.operators.sequence import index_rows
 
