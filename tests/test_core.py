@@ -217,7 +217,7 @@ def test_xcorr_of_constant_is_none(spark):
         ([f"l{i}" for i in range(50)], 7, 7),
         (["x"] * 30 + ["y"] + ["x"] * 19, 13, 13),  # one line repeated 49 times
         (["a", "b"] * 12, 0, None),  # unchanged
-        (["a", "b", "c"] * 8, 4, 1),  # periodic: the earliest fit counts
+        (["a", "b", "c"] * 8, 4, 22),  # periodic: the earliest fit counts
         ([f"l{i}" for i in range(50)], None, None),  # two lines swapped
     ],
 )
