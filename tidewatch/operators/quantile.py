@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.sequence import attach
+from tidewatch.operators.sequence import attach, count_below
 from tidewatch.session import stage_table
 
 ONE_RUN = 100_000
@@ -53,7 +53,7 @@ def exact_quantiles(
     )
     parts = attach(counted, stats.select(*groups, cuts.alias("_cuts")), groups)
     parts = parts.select(
-        *groups, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_p")
+        *groups, "_v", "_c", count_below("_cuts", F.col("_v"), len(CUTS)).alias("_p")
     )
     before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ranks = []

@@ -27,6 +27,20 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inn
     )
 
 
+def count_below(cuts: str, value: Column, most: int) -> Column:
+    """How many of the sorted ``cuts`` (an array of up to ``most``) are below a value.
+
+    Binary search: a row costs about ten steps, not one per cut.
+    """
+    steps = [1 << b for b in reversed(range(most.bit_length()))]
+    found = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda n, s: F.when(F.get(F.col(cuts), n + s - 1) < value, n + s).otherwise(n),
+    )
+    return F.when(F.size(cuts) == 0, 0).otherwise(found)
+
+
 def micros(ts: str | Column) -> Column:
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(col)
@@ -64,7 +78,7 @@ def index_rows(
             .alias("_cuts"),
         )
         d = attach(df, stats, keys).withColumn("_pos", pos)
-        d = d.withColumn("_vb", F.size(F.filter("_cuts", lambda c: c < F.col("_pos"))))
+        d = d.withColumn("_vb", count_below("_cuts", F.col("_pos"), len(cuts)))
         d = d.drop("_pos", "_cuts")
     else:
         d = df.withColumn("_vb", F.floor(pos / F.lit(span)))
