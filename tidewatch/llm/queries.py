@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import substring
+from tidewatch.llm import lm, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +26,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring.dedup_substrings(table(spark, sf, "documents"), k=20, with_text=False)
     return out.drop("removed_spans")
+
+
+@query
+def op2_backoff_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf, "documents"), order=2, folds=7, held_out=2)
