@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import lm, substring
+from tidewatch.llm import decontaminate, lm, quality, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +32,23 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_backoff_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score_texts(table(spark, sf, "documents"), order=2, folds=7, held_out=2)
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents")).select(
+        "doc_id",
+        F.col("q_n_words").alias("n_words"),
+        F.col("q_word_chars").alias("word_chars"),
+        F.col("q_n_symbols").alias("n_symbols"),
+        F.col("q_n_dup_lines").alias("n_dup_lines"),
+        F.col("q_repeat_words").alias("n_repeat_words"),
+        F.col("q_base_failed").alias("base_failed"),
+        F.col("q_kept").alias("kept"),
+    )
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.find_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), n=13)
+    return found.drop("items", "spans")
