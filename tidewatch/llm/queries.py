@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lm, quality, substring
+from tidewatch.llm import decontaminate, lm, quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,8 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), n=13)
     return found.drop("items", "spans")
+
+
+@query
+def op8_simhash_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"), threshold=4, width=4)
