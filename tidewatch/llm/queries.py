@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lm, quality, simhash, substring
+from tidewatch.llm import decontaminate, lm, quality, simhash, substring, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_simhash_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), threshold=4, width=4)
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
