@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lm, quality, simhash, substring, tokens
+from tidewatch.llm import decontaminate, lm, mixing, quality, shards, simhash, substring, tokenfile, tokens
+from tidewatch.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +66,35 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents")).select(
+        "doc_id",
+        "source",
+        F.col("mix_copy").alias("copy"),
+        F.round("mix_rate", 6).alias("rate"),
+        F.col("mix_key").alias("order_key"),
+    )
+
+
+ORACLE["op3_poisson_mixing"] = mixing.ORACLE
+
+
+@query
+def op9_interleaved_shards(spark: SparkSession, sf: str) -> DataFrame:
+    out = shards.interleave(table(spark, sf, "documents"), shards=8)
+    return out.drop("source").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+ORACLE["op9_interleaved_shards"] = shards.ORACLE
+
+
+@query
+def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    files = tokenfile.write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfile.describe(spark, path, files)
