@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lm, mixing, quality, shards, simhash, substring, tokenfile, tokens
+from tidewatch.llm import decontaminate, lm, mixing, pii, quality, shards, simhash, substring, tokenfile, tokens
 from tidewatch.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,14 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     files = tokenfile.write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokenfile.describe(spark, path, files)
+
+
+#: stands for the key that a user keeps in a secret store
+PII_KEY = b"a key for the test tables"
+
+
+@query
+def op7_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), PII_KEY)
+    replaced = F.aggregate(F.map_values("pii_counts"), F.lit(0).cast("long"), lambda t, x: t + x)
+    return out.select("doc_id", "text", replaced.alias("n_replaced"), F.array_join(F.map_keys("pii_counts"), ",").alias("kinds"))

@@ -264,16 +264,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per input row."""
+def grouped(docs: DataFrame, threshold: int, width: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Staged (key, tie, fingerprint) per row, and (fingerprint, least_id) per fingerprint."""
     if not 1 <= threshold <= 5:
         raise ValueError("the covering is laid out for 1 to 5 differing bits")
-    source = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
-    prints = stage_table(source.mapInArrow(fingerprints(width), "key long, fingerprint long"), "fingerprints")
+    key = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"))
+    source = docs.select(key.alias("key"), F.col(text).alias("text"))
+    prints = source.mapInArrow(fingerprints(width), "key struct<id:bigint,tie:bigint>, fingerprint long")
+    prints = stage_table(prints.select("key.id", "key.tie", "fingerprint"), "fingerprints")
     distinct = stage_table(
-        prints.groupBy("fingerprint").agg(F.min(F.coalesce("key", F.lit(ex.NULL_ID))).alias("first_id")), "distinct"
+        prints.groupBy("fingerprint").agg(F.min(F.coalesce("id", F.lit(ex.NULL_ID))).alias("first_id")), "distinct"
     )
-    replicas = distinct.count() * 172
+    replicas = distinct.count() * sum(Covering(threshold).width)
     buckets = max(48, -(-replicas // BUCKET_ROWS))
     packed = distinct.select("fingerprint").mapInArrow(replicate(threshold, buckets), "bucket int, prints binary, codes binary")
     links = packed.groupBy("bucket").applyInArrow(star_edges(threshold), "u long, v long")
@@ -282,10 +284,31 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id:
         "fingerprint", "first_id", F.coalesce("v", "fingerprint").alias("root")
     )
     smallest = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = ids.join(smallest, "root").select("fingerprint", "least_id")
-    out = prints.join(named, "fingerprint")
-    return out.select(
-        F.col("key").alias("doc_id"),
+    return prints, ids.join(smallest, "root").select("fingerprint", "least_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row per input row."""
+    prints, named = grouped(docs, threshold, width, doc_id, text)
+    return prints.join(named, "fingerprint").select(
+        F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.when(F.col("least_id") != ex.NULL_ID, F.col("least_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group, with its columns: of the smallest doc_id (null first), then the smallest text hash.
+
+    Of rows that repeat doc_id and text any one stays; they are looked for only if there are some.
+    """
+    prints, named = grouped(docs, threshold, width, doc_id, text)
+    tied = F.struct(F.coalesce("id", F.lit(ex.NULL_ID)).alias("id"), "tie")
+    # the group of a row is named by its smallest id, and fingerprints of a group differ: one root per name
+    heads = prints.join(named, "fingerprint").where(F.coalesce("id", F.lit(ex.NULL_ID)) == F.col("least_id"))
+    heads = heads.groupBy("least_id").agg(F.min(tied).alias("head")).select("head.id", "head.tie")
+    marks = docs.withColumns({"q_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(ex.NULL_ID)), "q_tie": F.xxhash64(text)})
+    kept = marks.join(heads, (F.col("q_id") == heads["id"]) & (F.col("q_tie") == heads["tie"]), "left_semi")
+    if not prints.groupBy("id", "tie").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["q_id", "q_tie"])
+    return kept.select(*docs.columns)
