@@ -8,8 +8,7 @@ Repeated 8-word windows are found per text by sorted 64-bit window hashes with t
 sort is skipped for texts whose window hashes are all different.
 
 Defined results: a null text has no words and is rejected like an empty one; texts are taken whole;
-repeated rows are judged alike; an empty table gives an empty result. Measures are added under names
-of their own (``q_`` in front of intermediate ones), so input columns keep theirs.
+repeated rows are judged alike; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -54,9 +53,18 @@ RULES = BASE + (
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, inside one expression.
+
+    Steps in columns of their own would be copied into each other by the optimizer wherever a filter
+    is pushed below them.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def split_words(text: Column) -> Column:
-    """Words of a text; none for null or white space alone."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP_PATTERN), lambda w: w != "")
+    """Words of a text; none for white space alone."""
+    return F.filter(F.split(text, GAP_PATTERN), lambda w: w != "")
 
 
 def without(text: Column, chars: str) -> Column:
@@ -64,69 +72,81 @@ def without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, "")).cast("long")
 
 
-def repeat_columns(df: DataFrame, words: str, width: int) -> DataFrame:
-    """Adds q_repeat_words: words in windows of ``width`` that come twice or more, the first included.
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda t, x: t + x)
+
+
+def repeat_words(words: Column, width: int = WINDOW) -> Column:
+    """Words in windows of ``width`` that come twice or more, the first included.
 
     Equal windows are neighbours once (hash, place) pairs are sorted. Their places, in order, cover
     min(width, distance to the next place) words each, and the last one ``width``.
     """
-    n = F.size(words)
-    windows = F.when(
-        n >= width,
-        F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice("q_hashes", i, width))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("q_hashes", F.transform(words, lambda w: F.xxhash64(w))).withColumn("q_windows", windows)
-    pairs = F.sort_array(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = df.withColumn("q_pairs", F.when(F.size("q_windows") > F.size(F.array_distinct("q_windows")), pairs).otherwise(none))
-
-    def has_equal(x: Column, k: Column) -> Column:
-        before = (k > 0) & (F.get("q_pairs", k - 1)["h"] == x["h"])
-        after = F.get("q_pairs", k + 1)["h"] == x["h"]
-        return before | F.coalesce(after, F.lit(False))
-
-    df = df.withColumn("q_places", F.sort_array(F.transform(F.filter("q_pairs", has_equal), lambda x: x["i"])))
-    spans = F.transform(
-        "q_places", lambda p, k: F.least(F.lit(width), F.coalesce(F.get("q_places", k + 1) - p, F.lit(width))).cast("long")
-    )
-    return df.withColumn("q_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda t, x: t + x))
-
-
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with its measures in columns ``q_*``; input columns of such names are replaced."""
-    df = docs.withColumn("q_text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("q_words", split_words(F.col("q_text")))
-    df = repeat_columns(df, "q_words", WINDOW)
-    lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(WORD_PATTERN))
-    stops = F.lit(sorted(set().union(*STOP_WORDS.values())))
-    n = F.size("q_words").cast("long")
-    chars = without(F.col("q_text"), GAPS)
-    df = df.withColumn("q_lines", lines).withColumn("q_n_words", n).withColumn("q_word_chars", chars)
-    df = df.withColumn("q_n_symbols", F.length("q_text").cast("long") - without(F.col("q_text"), SYMBOLS))
-    df = df.withColumn("q_n_lines", F.size("q_lines").cast("long"))
-    df = df.withColumn("q_n_dup_lines", F.col("q_n_lines") - F.size(F.array_distinct("q_lines")))
-    df = df.withColumn(
-        "q_n_stop_words", F.size(F.filter("q_words", lambda w: F.array_contains(stops, F.lower(w)))).cast("long")
-    )
-    return df.drop("q_text", "q_words", "q_hashes", "q_windows", "q_pairs", "q_places", "q_lines")
-
-
-#: measure -> numerator, denominator and factor; a ratio over nothing is zero
+
+    def windows(hashes: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(hashes) - (width - 1))
+        found = F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+        return F.when(F.size(hashes) >= width, found).otherwise(F.array().cast("array<bigint>"))
+
+    def equal_places(pairs: Column) -> Column:
+        def has_equal(x: Column, k: Column) -> Column:
+            before = (k > 0) & (F.get(pairs, k - 1)["h"] == x["h"])
+            return before | F.coalesce(F.get(pairs, k + 1)["h"] == x["h"], F.lit(False))
+
+        return F.sort_array(F.transform(F.filter(pairs, has_equal), lambda x: x["i"]))
+
+    def covered(places: Column) -> Column:
+        return total(
+            F.transform(
+                places,
+                lambda p, k: F.least(F.lit(width), F.coalesce(F.get(places, k + 1) - p, F.lit(width))).cast("long"),
+            )
+        )
+
+    def count(found: Column) -> Column:
+        pairs = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        some = let(pairs, lambda p: let(equal_places(p), covered))
+        return F.when(F.size(found) > F.size(F.array_distinct(found)), some).otherwise(F.lit(0).cast("long"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), count))
+
+
+def measures(text: Column) -> Column:
+    """All measures of a text in one struct."""
+    stops = F.array(*[F.lit(w) for w in sorted(set().union(*STOP_WORDS.values()))])
+
+    def of(t: Column, words: Column, lines: Column) -> Column:
+        stop = F.size(F.filter(words, lambda w: F.array_contains(stops, F.lower(w))))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            without(t, GAPS).alias("word_chars"),
+            (F.length(t).cast("long") - without(t, SYMBOLS)).alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeat_words(words).alias("n_repeat_words"),
+            stop.cast("long").alias("n_stop_words"),
+        )
+
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_PATTERN))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(split_words(t), lambda w: let(lines(t), lambda x: of(t, w, x))))
+
+
+#: measure of a rule -> numerator, denominator and factor; a ratio over nothing is zero
 MEASURES = {
-    "n_words": ("q_n_words", None, 1),
-    "repeat_word_percent": ("q_repeat_words", "q_n_words", 100),
-    "mean_word_chars": ("q_word_chars", "q_n_words", 1),
-    "symbol_word_ratio": ("q_n_symbols", "q_n_words", 1),
-    "stop_word_ratio": ("q_n_stop_words", "q_n_words", 1),
-    "dup_line_ratio": ("q_n_dup_lines", "q_n_lines", 1),
+    "n_words": ("n_words", None, 1),
+    "repeat_word_percent": ("n_repeat_words", "n_words", 100),
+    "mean_word_chars": ("word_chars", "n_words", 1),
+    "symbol_word_ratio": ("n_symbols", "n_words", 1),
+    "stop_word_ratio": ("n_stop_words", "n_words", 1),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1),
 }
 
 
-def broken(rule: Rule) -> Column:
+def broken(rule: Rule, m: Column) -> Column:
     """True where a text breaks the rule; compared without a division, so nothing is rounded."""
     top, below, factor = MEASURES[rule.measure]
-    value = F.col(top) * factor
-    unit = F.lit(1) if below is None else F.greatest(F.col(below), F.lit(1))
+    value = m[top] * factor
+    unit = F.lit(1) if below is None else F.greatest(m[below], F.lit(1))
     out = F.lit(False)
     if rule.low is not None:
         out = out | (value < unit * rule.low)
@@ -135,15 +155,37 @@ def broken(rule: Rule) -> Column:
     return out
 
 
-def any_broken(rules: tuple[Rule, ...]) -> Column:
+def any_broken(rules: tuple[Rule, ...], m: Column) -> Column:
     out = F.lit(False)
     for rule in rules:
-        out = out | broken(rule)
+        out = out | broken(rule, m)
     return out
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> Column:
+    """One struct of the measures, base_failed, kept, and the measures of the broken rules."""
+
+    def of(m: Column) -> Column:
+        names = F.array_compact(F.array(*[F.when(broken(r, m), F.lit(r.measure)) for r in rules]))
+        fields = [m[c].alias(c) for c in FIELDS]
+        return F.struct(
+            *fields,
+            any_broken(base, m).alias("base_failed"),
+            (~any_broken(base, m) & ~any_broken(rules, m)).alias("kept"),
+            names.alias("broken"),
+        )
+
+    return let(measures(text), of)
+
+
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
-    """The input with measures ``q_*``, ``q_base_failed``, ``q_kept`` and the names of broken rules."""
-    df = measured(docs, text).withColumn("q_base_failed", any_broken(base))
-    names = F.array_compact(F.array(*[F.when(broken(r), F.lit(r.measure)) for r in rules]))
-    return df.withColumn("q_broken", names).withColumn("q_kept", ~F.col("q_base_failed") & ~any_broken(rules))
+    """The input with the verdict in a column ``quality``; an input column of that name is replaced."""
+    return docs.withColumn("quality", verdict(F.col(text), rules, base))
+
+
+def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
+    """The documents that break no rule, with their columns."""
+    return docs.where(verdict(F.col(text), rules, base)["kept"])

@@ -40,13 +40,13 @@ def op2_backoff_scores(spark: SparkSession, sf: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents")).select(
         "doc_id",
-        F.col("q_n_words").alias("n_words"),
-        F.col("q_word_chars").alias("word_chars"),
-        F.col("q_n_symbols").alias("n_symbols"),
-        F.col("q_n_dup_lines").alias("n_dup_lines"),
-        F.col("q_repeat_words").alias("n_repeat_words"),
-        F.col("q_base_failed").alias("base_failed"),
-        F.col("q_kept").alias("kept"),
+        "quality.n_words",
+        "quality.word_chars",
+        "quality.n_symbols",
+        "quality.n_dup_lines",
+        "quality.n_repeat_words",
+        "quality.base_failed",
+        "quality.kept",
     )
 
 
