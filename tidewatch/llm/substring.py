@@ -132,8 +132,9 @@ def edges(k: int, m: int, buckets: int):
         first = np.union1d(_groups(anchor), _groups(row.astype(np.uint64)))
         size = np.diff(np.append(first, len(anchor)))
         values, inverse, times = np.unique(anchor[first], return_inverse=True, return_counts=True)
-        # twice in one stretch: then a window of it comes again within k - m words
+        # twice in one stretch: it is longer than one anchor's reach, or a window comes again within it
         keep = times > 1
+        keep[inverse[size > k - m + 1]] = True
         keep[np.searchsorted(values, anchor[_near_repeats(edge, k - m)])] = True
         if answers.num_rows:
             keep |= _found(values, np.unique(np.concatenate([kn.unpack(x, np.uint64) for x in answers["keys"].to_pylist()])))
