@@ -22,7 +22,8 @@ def plan(df):
 def test_rollup_reads_three_columns_and_combines_early(spark):
     p = plan(rollup(table(spark, SF, "lineitem"), "l_shipdate", "l_quantity", "day", keys=["l_returnflag"]))
     assert re.search(r"ReadSchema: struct<l_quantity:double,l_returnflag:string,l_shipdate:timestamp_ntz>", p)
-    assert p.count("Exchange") == 1 and "partial_sum" in p
+    # the second shuffle moves one row per group and magnitude
+    assert p.count("Exchange") == 2 and p.count("partial_sum") >= 2
 
 
 def test_filter_reaches_the_scan(spark):
@@ -56,5 +57,5 @@ def test_provenance(spark, tmp_path):
     two = provenance(files, report, AuditConfig(merge_how="left")).first()
     assert one["files"][0]["bytes"] == 4 and "merged_rows" in one["merge_report"]
     assert one["provenance_sha256"] != two["provenance_sha256"]
-    assert dataset_label(AuditConfig(), ["a", "b"]) == "External: a + b"
-    assert dataset_label(AuditConfig(profile="demo", synthetic=True), []).startswith("DEMO (Synthetic")
+    assert dataset_label(AuditConfig(), ["a", "b"]) == "files: a, b"
+    assert dataset_label(AuditConfig(profile="demo", synthetic=True), []) == "generated rows (for show, no verdict)"

@@ -78,11 +78,10 @@ def provenance(files: DataFrame, report: DataFrame | None, cfg: AuditConfig) ->
 
 
 def dataset_label(cfg: AuditConfig, names: Sequence[str]) -> str:
-    joined = " + ".join(names) or "(none)"
-    if cfg.profile == "demo":
-        source = "Synthetic / Reproducible" if cfg.synthetic else f"External: {joined}"
-        return f"DEMO ({source}) [NO VERDICT]"
-    return f"External: {joined}" + (" [PAPER MODE: FIXED SPLIT]" if cfg.profile == "paper" else "")
+    """Where the rows come from, and what that means for the verdict."""
+    origin = "generated rows" if cfg.synthetic else f"files: {', '.join(names) or 'none named'}"
+    notes = {"demo": "for show, no verdict", "paper": "split by fixed dates"}
+    return f"{origin} ({notes[cfg.profile]})" if cfg.profile in notes else origin
 
 
 def day_range(first: Column, last: Column) -> Column:
@@ -124,12 +123,12 @@ def certificate(
     names = ["data_sha256", "config_sha256", "split_sha256", "code_sha256", "env_sha256"]
     head = lambda c: F.concat(F.substring(c, 1, 8), F.lit("..."))
     scope = F.array(
-        F.lit(f"Profile: {cfg.profile.upper()}"),
-        F.lit(f"Dataset: {label}"),
-        F.concat(F.lit("Calib  : "), "calib_range"),
-        F.concat(F.lit("Test   : "), "test_range"),
-        F.lit(f"Policy : {policy}"),
-        F.concat(F.lit("Fingerprints: data="), head("data_sha256"), F.lit(" / config="), head("config_sha256")),
+        F.lit(f"profile {cfg.profile}"),
+        F.lit(f"data from {label}"),
+        F.concat(F.lit("calibrated on "), "calib_range"),
+        F.concat(F.lit("tested on "), "test_range"),
+        F.lit(policy),
+        F.concat(F.lit("digests begin with "), head("data_sha256"), F.lit(" for the data and "), head("config_sha256"), F.lit(" for the settings")),
     )
     d = d.select(
         *keys,

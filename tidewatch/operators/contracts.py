@@ -80,7 +80,10 @@ def series_report(
     step_seconds: int = 3600,
     ingest_no: str | None = None,
 ) -> DataFrame:
-    """One row per key with every measure of the series contract and ``status``."""
+    """One row per key with every measure of the series contract and ``status``.
+
+    ``monotonic`` is null, and no part of the status, unless ``ingest_no`` names the order of reading.
+    """
     keys = list(keys)
     rates = [F.avg(F.col(c).isNull().cast("double")) for c in required]
     every = "day" if step_seconds == 86400 else "hour"
@@ -92,10 +95,10 @@ def series_report(
     if ingest_no:
         out = attach(out, is_monotonic(df, ingest_no, "ts", keys), keys)
     else:
-        out = out.withColumn("monotonic", F.lit(True))
+        out = out.withColumn("monotonic", F.lit(None).cast("boolean"))
     ok = (
         (F.col("duplicates") == 0)
-        & F.col("monotonic")
+        & F.coalesce("monotonic", F.lit(True))
         & (F.col("off_grid_rows") == 0)
         & ((F.col("n") <= 2) | (F.col("continuity") >= cfg.min_continuity))
     )

@@ -249,32 +249,31 @@ def split_header(lines: DataFrame, by: Sequence[str] = (), sep: str = ",") -> tu
 def header_digest(
     lines: DataFrame, by: Sequence[str] = (), sep: str = ",", header: DataFrame | None = None
 ) -> DataFrame:
-    """SHA-256 of the right-trimmed header lines, joined and trimmed.
+    """Digest of the header without blank lines around it, the same at every size.
 
-    A text without any number is all header, so lines are digested in chunks of
-    4096 and, only when there is more than one, the chunk digests once more.
+    Lines lose white space at their end, the first one also in front.  From the first
+    line with content on, every 4096 lines are joined and digested (SHA-256), and the
+    digest of the joined chunk digests is the header's.  An empty header has the digest
+    of the empty text.
     """
     header = split_header(lines, by, sep)[0] if header is None else header
+    keys = list(by)
     text = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["t"]), "\n")
-    chunks = header.groupBy(*by, F.floor(F.col("line_no") / LINES_PER_CHUNK).alias("_chunk")).agg(
-        text(F.struct("line_no", F.rtrim("line").alias("t"))).alias("_text")
-    )
-    chunks = chunks.withColumn("_sha", F.sha2(F.col("_text"), 256))
-    whole = chunks.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max("_text").alias("_one"),
-        text(F.struct("_chunk", F.col("_sha").alias("t"))).alias("_all"),
-    )
-    blank = r"^\s+|\s+$"
-    trimmed = F.regexp_replace("_one", blank, "")
-    digest = F.when(F.col("_n") == 1, F.sha2(trimmed, 256)).otherwise(F.sha2("_all", 256))
-    found = whole.select(*by, digest.alias("header_sha"))
-    if not by:
+    written = F.when(F.col("line").rlike(r"\S"), F.col("line_no"))
+    ends = header.groupBy(*keys).agg(F.min(written).alias("_a"), F.max(written).alias("_b"))
+    d = attach(header, ends, keys).where("line_no between _a and _b")
+    line = F.regexp_replace("line", r"\s+$", "")
+    line = F.when(F.col("line_no") == F.col("_a"), F.regexp_replace(line, r"^\s+", "")).otherwise(line)
+    chunk = F.floor((F.col("line_no") - F.col("_a")) / LINES_PER_CHUNK).alias("_chunk")
+    chunks = d.groupBy(*keys, chunk).agg(text(F.struct("line_no", line.alias("t"))).alias("_text"))
+    whole = chunks.groupBy(*keys).agg(text(F.struct("_chunk", F.sha2("_text", 256).alias("t"))).alias("_all"))
+    found = whole.select(*keys, F.sha2("_all", 256).alias("header_sha"))
+    if not keys:
         # no header line at all is an empty header
         return found.agg(F.coalesce(F.max("header_sha"), F.sha2(F.lit(""), 256)).alias("header_sha"))
-    every = lines.select(*by).distinct()
-    return every.join(found, list(by), "left").select(
-        *by, F.coalesce("header_sha", F.sha2(F.lit(""), 256)).alias("header_sha")
+    every = lines.select(*keys).distinct()
+    return every.join(found, keys, "left").select(
+        *keys, F.coalesce("header_sha", F.sha2(F.lit(""), 256)).alias("header_sha")
     )
 
 

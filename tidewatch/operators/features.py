@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import ContractError
+from tidewatch.functions.exact import exact_sums
 from tidewatch.operators.sequence import BLOCK_ROWS, attach, index_grid, index_rows, lagged
 
 STEP = {"hour": 3600, "day": 86400}
@@ -21,23 +22,16 @@ def rollup(
     agg: str = "sum",
     keys: Sequence[str] = (),
     out: str = "y",
-    scale: int = 6,
 ) -> DataFrame:
-    """One row per key and time step.
-
-    Sums run in decimal with ``scale`` places, so their order cannot matter.
-    """
-    exact = F.sum(F.col(value).cast(f"decimal(28,{scale})")).cast("double")
+    """One row per key and time step; sums keep every digit and do not depend on the order of rows."""
     at = F.date_trunc(every, F.col(ts).cast("timestamp")).alias("ts")
-    if agg == "sum":
-        y = exact
-    elif agg == "avg":
-        y = exact / F.count(F.col(value))
-    elif agg == "count":
-        y = F.count(F.col(value)).cast("double")
-    else:
+    if agg == "count":
+        return df.groupBy(*keys, at).agg(F.count(F.col(value)).cast("double").alias(out))
+    if agg not in ("sum", "avg"):
         raise ValueError(f"unknown aggregate: {agg}")
-    return df.groupBy(*keys, at).agg(y.alias(out))
+    sums = exact_sums(df.select(*keys, at, F.col(value).alias("_value")), [*keys, "ts"], "_value")
+    y = F.col("total") if agg == "sum" else F.try_divide("total", F.col("n").cast("double"))
+    return sums.select(*keys, "ts", y.alias(out))
 
 
 def densify(

@@ -144,7 +144,9 @@ class IntegrityAudit:
             for r in token_reasons(token_diff(base_body, body, ["row_no"]), threshold).collect():
                 add(n, "LAYER_B", r["rule_id"], r["metric"], r["value"], threshold)
         base_table = self._baseline_table(n)
-        named = m.columns if len(m.columns) == len(b.columns) else b.columns
+        # baseline names stand in only where the header line has none to use
+        usable = bool(m.columns) and all(m.columns) and len(set(m.columns)) == len(m.columns)
+        named = m.columns if usable else b.columns
         table = lines_table(m.lines, named, m.header_count, [c for c in self.numeric[n] if c in named])
         cur_profile = profile(table.drop("row_no"))
         violations = contract_diff(cur_profile, self.profiles[n]).collect()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exact import exact_avg
+from tidewatch.functions.exact import exact_means
 from tidewatch.operators.sequence import attach
 
 CALIB = "period = 'calib'"
@@ -16,9 +16,7 @@ CALIB = "period = 'calib'"
 def seasonal_means(df: DataFrame, y: str, season: Sequence[str], keys: Sequence[str] = ()):
     """Mean per season and overall, learned on the calibration period only."""
     calib = df.where(CALIB)
-    by_season = calib.groupBy(*keys, *season).agg(exact_avg(y).alias("_m"))
-    overall = calib.groupBy(*keys).agg(exact_avg(y).alias("_g"))
-    return by_season, overall
+    return exact_means(calib, [*keys, *season], y, "_m"), exact_means(calib, keys, y, "_g")
 
 
 def seasonal_naive(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exact import exact_avg
+from tidewatch.functions.exact import exact_means
 from tidewatch.functions.labels import LEVEL, SHAPE
 from tidewatch.operators.predict import CALIB
 from tidewatch.operators.quantile import exact_quantiles, quantile_columns
@@ -194,9 +194,8 @@ def mean_std_tables(
     keys = list(keys)
 
     def level(by: list[str], floor: bool) -> DataFrame:
-        t = calib.groupBy(*keys, *by).agg(
-            F.count(F.lit(1)).alias("n"), exact_avg(y).alias("mu"), F.stddev_pop(y).alias("sd")
-        )
+        t = calib.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("sd"))
+        t = attach(t, exact_means(calib, [*keys, *by], y, "mu"), [*keys, *by])
         if floor:
             return t.withColumn(
                 "ms", F.struct("mu", F.when(F.col("sd") > 0, F.col("sd")).otherwise(EPS).alias("sd"))

@@ -139,11 +139,14 @@ def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", orde
     number = (F.pmod(F.xxhash64(line), F.lit(65536)) - 32768).cast("double")
     a = base.select(F.col(order).alias("j"), F.col(line).alias("x"), number.alias("v"))
     b = current.select(F.col(order).alias("j"), F.col(line).alias("y"), number.alias("v"))
-    # whole numbers below 2**53: the sums are exact in any order
-    total = lambda d: d.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.col("v") * F.col("v"))).first()
-    n, _, energy = mine = total(a)
-    if n < 2 or mine != total(b):
+    # whole numbers summed as such: exact in any order and at any length
+    whole = F.col("v").cast("long")
+    square = (whole * whole).cast("decimal(38,0)")
+    total = lambda d: d.agg(F.count(F.lit(1)), F.sum(whole.cast("decimal(38,0)")), F.sum(square)).first()
+    mine = total(a)
+    if mine[0] < 2 or mine != total(b):
         return spark.createDataFrame([], schema)
+    n, energy = mine[0], float(mine[2])
     a, b = stage_table(a, "rotate-a"), stage_table(b, "rotate-b")
     twice = b.select(F.explode(F.array(F.col("j"), F.col("j") + n)).alias("j"), F.col("v").alias("a"))
     pairs = twice.join(a.select("j", F.col("v").alias("b")), "j", "left").na.fill(0.0, ["b"])

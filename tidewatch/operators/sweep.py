@@ -58,7 +58,7 @@ def budget_tau(
 
 
 def step_flags(
-    scores: np.ndarray, tau: float, w: int, k: int, low_ratio: float, on: int, tail: list[int]
+    scores: np.ndarray, tau: float | np.ndarray, w: int, k: int, low_ratio: float, on: int, tail: list[int]
 ) -> tuple[np.ndarray, int, list[int]]:
     """Flags of the next rows of a series, given the state and the last raw states."""
     n = len(scores)

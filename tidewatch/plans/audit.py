@@ -16,7 +16,7 @@ from tidewatch.operators.health import flag_metrics, health_drift, health_model,
 from tidewatch.operators.predict import seasonal_naive
 from tidewatch.operators.score import audit_rows, score
 from tidewatch.operators.sequence import attach
-from tidewatch.operators.split import assign_period, period_ranges, require_split, split_spec
+from tidewatch.operators.split import assign_period, period_ranges, require_split, split_spec, split_violations
 from tidewatch.session import stage_table
 from tidewatch.sources.sinks import (
     append_ledger,
@@ -36,6 +36,7 @@ class AuditResult:
     ledger: DataFrame
     summary: DataFrame
     evidence: DataFrame
+    refused: DataFrame
 
     def write(self, folder: str, run_id: str, keys: Sequence[str] = ()) -> None:
         write_certificate(self.certificates, folder, run_id)
@@ -71,7 +72,13 @@ def run_audit(
     dates = (cfg.calib_start, cfg.test_start) if cfg.profile == "paper" else None
     spec = stage_table(split_spec(series, keys, "ts", (cfg.fit_ratio, cfg.calib_ratio), dates), "split")
     split = assign_period(series, spec, keys)
-    require_split(spec, split, keys)
+    refused = stage_table(split_violations(spec, period_ranges(split, keys), keys), "refused")
+    if not keys:
+        require_split(spec, split, keys)
+    else:
+        # a series that cannot be split is reported; the others go on
+        split = split.join(refused.select(*keys), [split[c].eqNullSafe(refused[c]) for c in keys], "left_anti")
+        spec = spec.join(refused.select(*keys), [spec[c].eqNullSafe(refused[c]) for c in keys], "left_anti")
     cols = tuple(dict.fromkeys((*cfg.season, cfg.fallback)))
     audit = seasonal_naive(add_calendar(audit_rows(split, keys), "ts", cols), y, cfg.season, keys)
     audit = stage_table(audit, "audit")
@@ -94,5 +101,5 @@ def run_audit(
     )
     certs = stage_table(certs, "certificates")
     return AuditResult(
-        decided, found, metrics, certs, ledger_rows(certs, keys), summary(certs, keys), evidence(decided, keys)
+        decided, found, metrics, certs, ledger_rows(certs, keys), summary(certs, keys), evidence(decided, keys), refused
     )

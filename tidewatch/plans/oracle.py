@@ -36,7 +36,7 @@ def rolled(kind: str, keys: list[str]) -> str:
     }[kind]
     return (
         f"raw AS (SELECT {cols(keys)}date_trunc('{unit}', {ts})::TIMESTAMP AS ts, "
-        f"CAST(sum(CAST({val} AS DECIMAL(28,6))) AS DOUBLE) AS y FROM {src} GROUP BY ALL)"
+        f"fsum({val}) AS y FROM {src} GROUP BY ALL)"
     )
 
 
@@ -247,24 +247,24 @@ def big(expr: str, name: str) -> str:
 def oracle() -> dict[str, str]:
     k = ", ".join(DK)
     q: dict[str, str] = {}
-    q["hourly_series"] = f"WITH {series('h', [])} SELECT ts, y FROM s"
-    q["hourly_series_by_type"] = f"WITH {series('h', HK)} SELECT event_type, ts, y FROM s"
-    q["daily_series_by_status"] = f"WITH {series('d', DK)} SELECT {k}, ts, y FROM s"
+    q["hourly_series"] = f"WITH {series('h', [])} SELECT ts, round(y, 6) AS y FROM s"
+    q["hourly_series_by_type"] = f"WITH {series('h', HK)} SELECT event_type, ts, round(y, 6) AS y FROM s"
+    q["daily_series_by_status"] = f"WITH {series('d', DK)} SELECT {k}, ts, round(y, 6) AS y FROM s"
     q["calendar_features"] = f"""WITH {series('h', [])} SELECT ts, hour(ts)::INT AS hour, dayofyear(ts)::INT AS dayofyear,
 (isodow(ts) - 1)::INT AS weekday, (isodow(ts) >= 6)::INT AS is_weekend, round(sin(2 * pi() * dayofyear(ts) / 366.0), 6) AS sin_doy,
 round(cos(2 * pi() * dayofyear(ts) / 366.0), 6) AS cos_doy, round(y * y, 6) AS temp2 FROM s"""
-    q["lag_features"] = f"WITH {prepared('h', HK, (1, 24, 168))} SELECT event_type, ts, y, lag_1, lag_24, lag_168, row_no FROM p"
+    q["lag_features"] = f"WITH {prepared('h', HK, (1, 24, 168))} SELECT event_type, ts, round(y, 6) AS y, round(lag_1, 6) AS lag_1, round(lag_24, 6) AS lag_24, round(lag_168, 6) AS lag_168, row_no FROM p"
     q["dedupe_series"] = """SELECT event_type, date_trunc('hour', ts) AS ts, user_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) = 1"""
     q["part_union"] = """WITH o AS (SELECT ts, value FROM events QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id) = 1)
-SELECT date_trunc('hour', ts) AS ts, round(CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) / count(value), 6) AS y
+SELECT date_trunc('hour', ts) AS ts, round(fsum(value) / count(value), 6) AS y
 FROM o WHERE ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-28 12:00:00' GROUP BY 1"""
     q["clip_and_recent"] = """WITH e AS (SELECT min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'error'),
 c AS (SELECT event_id, ts, value FROM events, e WHERE event_type = 'click' AND ts BETWEEN a AND b)
 SELECT event_id, ts, value FROM c WHERE floor(epoch(ts)) >= (SELECT floor(epoch(max(ts))) FROM c) - 864000"""
-    mrg = """cv AS (SELECT date_trunc('hour', ts) AS ts, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) / count(value) AS temp
+    mrg = """cv AS (SELECT date_trunc('hour', ts) AS ts, fsum(value) / count(value) AS temp
 FROM events WHERE event_type = 'click' GROUP BY 1),
-tg AS (SELECT date_trunc('hour', ts) AS ts, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS y
+tg AS (SELECT date_trunc('hour', ts) AS ts, fsum(value) AS y
 FROM events WHERE event_type = 'purchase' GROUP BY 1),
 mg AS (SELECT ts, temp, y FROM cv JOIN tg USING (ts))"""
     q["contract_merge"] = f"WITH {mrg} SELECT ts, round(temp, 6) AS temp, y FROM mg"
@@ -345,8 +345,8 @@ SELECT {k}, verdict, verdict_reason, {choose('verdict_reason', {a: b[0] for a, b
         )
 
     q["profile_table"] = prof(
-        "orders",
-        ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"],
+        "(SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders)",
+        ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate"],
         ["o_orderkey", "o_custkey", "o_totalprice"],
     )
     q["contract_diff"] = """WITH c AS (SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS c_name,
@@ -382,8 +382,8 @@ UNION ALL SELECT 'missing_injection_detected', 'null_rate_delta', round(null_del
     q["null_injection"] = """WITH cur AS (SELECT o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS o_custkey FROM orders)
 SELECT 'o_custkey' AS "column", count(*) FILTER (o_custkey IS NULL) AS null_delta,
 round(count(*) FILTER (o_custkey IS NULL) / count(*)::DOUBLE, 6) AS null_rate_delta FROM cur
-UNION ALL SELECT 'o_orderstatus', 0, 0.0 FROM (SELECT 1)"""
-    q["truncation"] = "SELECT count(*) + 1 AS base_rows, count(*) - 4 AS cur_rows, true AS truncated FROM orders"
+UNION ALL SELECT unnest(['o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']), 0, 0.0"""
+    q["truncation"] = "SELECT count(*) + 1 AS base_rows, count(*) - 4 AS cur_rows, count(*) - 4 > 0 AND count(*) - 4 < count(*) + 1 AS truncated FROM orders"
     toks = """t AS (SELECT o_orderkey, unnest([o_totalprice, o_custkey::DOUBLE, o_orderkey::DOUBLE]) AS x,
 unnest([2, 0, 0]) AS p FROM orders),
 u AS (SELECT x, round(x * 1.05::DOUBLE, 3) AS y FROM t)"""
@@ -399,20 +399,25 @@ SELECT 'local_spike_detected' AS rule_id, 'max_rel_change' AS metric, round(abs(
     q["header_lines"] = f"""WITH {lines} SELECT doc_id, coalesce(min(line_no) FILTER ({has}), max(line_no) + 1)::BIGINT AS header_count,
 count(*) AS n_lines FROM l GROUP BY doc_id"""
     q["header_digest"] = f"""WITH {lines}, hc AS (SELECT doc_id, coalesce(min(line_no) FILTER ({has}), max(line_no) + 1) AS c FROM l GROUP BY doc_id),
-hl AS (SELECT doc_id, string_agg(rtrim(line, ' '), chr(10) ORDER BY line_no) FILTER (line_no < c) AS t FROM l JOIN hc USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, sha256(regexp_replace(coalesce(t, ''), '^\\s+|\\s+$', '', 'g')) AS header_sha FROM hl"""
+hl AS (SELECT doc_id, line_no, line, min(line_no) FILTER (regexp_matches(line, '\\S')) OVER w AS a,
+  max(line_no) FILTER (regexp_matches(line, '\\S')) OVER w AS b FROM l JOIN hc USING (doc_id) WHERE line_no < c WINDOW w AS (PARTITION BY doc_id)),
+ch AS (SELECT doc_id, (line_no - a) // 4096 AS n, sha256(string_agg(regexp_replace(CASE WHEN line_no = a THEN regexp_replace(line, '^\\s+', '') ELSE line END, '\\s+$', ''), chr(10) ORDER BY line_no)) AS h
+  FROM hl WHERE line_no BETWEEN a AND b GROUP BY doc_id, n),
+hs AS (SELECT doc_id, sha256(string_agg(h, chr(10) ORDER BY n)) AS s FROM ch GROUP BY doc_id)
+SELECT doc_id, coalesce(s, sha256('')) AS header_sha FROM (SELECT DISTINCT doc_id FROM l) LEFT JOIN hs USING (doc_id)"""
     q["number_tokens"] = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s'), lambda x: regexp_matches(trim(x), '{num}')) AS v FROM documents)
 SELECT doc_id, len(v)::BIGINT AS numbers, round(coalesce(list_sum(list_transform(v, lambda x: log10(abs(x::DOUBLE) + 1))), 0), 6) AS magnitude FROM w"""
     fld = lambda c: f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
-    row = " || '|' || ".join(fld(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    price, day = "o_totalprice::DECIMAL(18,2)", "strftime(o_orderdate, '%Y-%m-%d')"
+    row = " || '|' || ".join(fld(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", price, day, "o_orderpriority"))
     q["row_digest"] = f"SELECT o_orderkey, sha256({row}) AS sha FROM orders"
-    row3 = " || '|' || ".join(fld(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus"))
+    row3 = " || '|' || ".join(fld(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", price, day))
     lanes = " || '|' || ".join(
         f"sum(('0x' || substr(h{s}, {i * 15 + 1}, 15))::BIGINT::HUGEINT)::VARCHAR" for s in "ab" for i in range(4)
     )
     q["table_digests"] = f"""WITH h AS (SELECT o_orderpriority, sha256('a' || {row3}) AS ha, sha256('b' || {row3}) AS hb FROM orders)
 SELECT o_orderpriority, count(*) AS n_rows, sha256(count(*)::VARCHAR || '|' || {lanes} ||
-'|[["o_orderkey","bigint"],["o_custkey","bigint"],["o_orderstatus","string"]]|0|0|0') AS table_sha FROM h GROUP BY o_orderpriority"""
+'|[["o_orderkey","bigint"],["o_custkey","bigint"],["o_orderstatus","string"],["o_totalprice","string"],["o_orderdate","string"]]|0|0|0|0|0') AS table_sha FROM h GROUP BY o_orderpriority"""
     q["circular_shift_hours"] = f"""WITH {series('h', [])},
 z AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, hour(ts)::VARCHAR || ',' || round(y, 2)::VARCHAR AS line, count(*) OVER () AS n FROM s),
 m AS (SELECT (i - 24 + n) % n AS j, line FROM z)
@@ -421,13 +426,12 @@ SELECT ((z.i - m.j + n) % n)::BIGINT AS shift FROM z JOIN m USING (line) GROUP B
 m AS (SELECT (i - 24 + n) % n AS j, v FROM z),
 c AS (SELECT z.i - m.j AS lag, sum(z.v * m.v) AS corr FROM z, m GROUP BY 1)
 SELECT lag::BIGINT AS shift, round(corr, 2) AS corr FROM c ORDER BY c.corr DESC, lag LIMIT 1"""
-    q["stream_hourly_rollup"] = f"""WITH {rolled('h', HK)} SELECT event_type, ts, y FROM raw
-WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+    q["stream_hourly_rollup"] = f"""WITH {rolled('h', HK)} SELECT event_type, ts, round(y, 6) AS y FROM raw"""
     q["stream_flags"] = f"WITH {flagged(DK)} SELECT {k}, ts, flag FROM f"
     q["stream_sessions"] = f"""WITH {flagged(DK)}, g AS (SELECT *, lag(ts) OVER (PARTITION BY {k} ORDER BY ts) AS pt FROM f WHERE flag = 1),
 g2 AS (SELECT *, sum((pt IS NULL OR ts - pt > INTERVAL 168 HOUR)::INT) OVER (PARTITION BY {k} ORDER BY ts) AS ev FROM g),
 x AS (SELECT {k}, ev, min(ts) AS "start", max(ts) AS "end", count(*) AS flagged, round(max(score), 6) AS peak_score FROM g2 GROUP BY {k}, ev)
-SELECT * EXCLUDE (ev) FROM x WHERE "end" + INTERVAL 168 HOUR <= (SELECT max(ts) FROM f WHERE flag = 1) - INTERVAL 1 HOUR"""
+SELECT * EXCLUDE (ev) FROM x"""
     return q
 
 

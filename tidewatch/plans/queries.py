@@ -88,17 +88,17 @@ def flagged(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
 
 @query
 def hourly_series(spark, sf):
-    return hourly(spark, sf).select("ts", "y")
+    return hourly(spark, sf).select("ts", F.round("y", 6).alias("y"))
 
 
 @query
 def hourly_series_by_type(spark, sf):
-    return hourly(spark, sf, HK).select(*HK, "ts", "y")
+    return hourly(spark, sf, HK).select(*HK, "ts", F.round("y", 6).alias("y"))
 
 
 @query
 def daily_series_by_status(spark, sf):
-    return daily(spark, sf, DK).select(*DK, "ts", "y")
+    return daily(spark, sf, DK).select(*DK, "ts", F.round("y", 6).alias("y"))
 
 
 @query
@@ -111,7 +111,8 @@ def calendar_features(spark, sf):
 @query
 def lag_features(spark, sf):
     full = features.prepared(hourly(spark, sf, HK), "y", (1, 24, 168), HK, 3600)
-    return full.select(*HK, "ts", "y", "lag_1", "lag_24", "lag_168", F.col("row_no").cast("bigint"))
+    values = [F.round(c, 6).alias(c) for c in ("y", "lag_1", "lag_24", "lag_168")]
+    return full.select(*HK, "ts", *values, F.col("row_no").cast("bigint"))
 
 
 @query
@@ -446,18 +447,23 @@ def _fields(df: DataFrame) -> DataFrame:
     return df.withColumns(r6("missing_rate", "mean", "std", "bad_numbers"))
 
 
+def _orders_text(spark, sf) -> DataFrame:
+    """All of orders, dates as text."""
+    return table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
 @query
 def profile_table(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    return _fields(diff.profile(o))
+    return _fields(diff.profile(_orders_text(spark, sf)))
 
 
 def _customer_pair(spark, sf):
     """customer, and a copy with nulls, broken numbers and a missing column."""
-    base = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    base = table(spark, sf, "customer")
     key = F.col("c_custkey")
     cur = base.select(
         "c_custkey",
+        *[c for c in base.columns if c not in ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")],
         F.when(key % 5 != 0, F.col("c_name")).alias("c_name"),
         F.when(key % 7 == 0, "broken").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"),
     )
@@ -498,7 +504,7 @@ def column_reasons(spark, sf):
 @query
 def null_injection(spark, sf):
     """Null rates of a copy in which pending orders lost their customer."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o = _orders_text(spark, sf)
     cur = o.withColumn("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")))
     d = diff.column_diff(o, cur, ["o_orderkey"])
     return d.select("column", "null_delta", F.round("null_rate_delta", 6).alias("null_rate_delta"))
@@ -562,17 +568,23 @@ def number_tokens(spark, sf):
     return d.select("doc_id", F.size(num).cast("bigint").alias("numbers"), F.round(total, 6).alias("magnitude"))
 
 
+def _orders_exact(spark, sf) -> DataFrame:
+    """All of orders, prices and dates as text of a fixed format."""
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    return _orders_text(spark, sf).withColumn("o_totalprice", price)
+
+
 @query
 def row_digest(spark, sf):
-    o = table(spark, sf, "orders")
-    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    o = _orders_exact(spark, sf)
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
     return o.select("o_orderkey", F.sha2(row_text(cols), 256).alias("sha"))
 
 
 @query
 def table_digests(spark, sf):
-    o = table(spark, sf, "orders")
-    cols = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    o = _orders_exact(spark, sf)
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
     return table_digest(o, cols, ["o_orderpriority"])
 
 
@@ -679,8 +691,12 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def replay(df: DataFrame, cuts: list[str], build, name: str) -> DataFrame:
-    """Feed rows in three runs of one stream; state is carried between the runs."""
+def replay(df: DataFrame, cuts: list[str], build, name: str, close: bool = False) -> DataFrame:
+    """Feed rows in three runs of one stream; state is carried between the runs.
+
+    ``close`` ends the stream: a row without values, long after the last one, moves the
+    watermark past everything that is still open.  Its own window stays open.
+    """
     spark = df.sparkSession
     folder = _folder(spark, name)
     edges = [None, *cuts, None]
@@ -689,16 +705,24 @@ def replay(df: DataFrame, cuts: list[str], build, name: str) -> DataFrame:
         part = part if b is None else part.where(F.col("ts") < F.to_timestamp(F.lit(b)))
         part.write.mode("append").parquet(f"{folder}/in")
         out = run_to_end(build(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), folder)
+    if close:
+        end = df.agg((F.max("ts") + F.expr("interval 10000 days")).alias("ts"))
+        given = {"ts": F.col("ts"), "flag": F.lit(1)}
+        end = end.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+        end.write.mode("append").parquet(f"{folder}/in")
+        for _ in range(2):
+            out = run_to_end(build(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), folder)
     return out
 
 
 @query
 def stream_hourly_rollup(spark, sf):
-    """Closed hours of the event stream; the last ones stay open for late rows."""
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rolled = hourly_rollup(stream, "ts", "value", HK)
-    return run_to_end(rolled, _folder(spark, "stream-rollup"))
+    """All hours of the event stream, fed in three runs and closed at the end."""
+    d = table(spark, sf, "events").select(*HK, F.col("ts").cast("timestamp").alias("ts"), "value")
+    a, b = d.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [str(a + (b - a) * part / 3) for part in (1, 2)]
+    out = replay(d, cuts, lambda s: hourly_rollup(s, "ts", "value", HK), "stream-rollup", close=True)
+    return out.select(*HK, "ts", F.round("y", 6).alias("y"))
 
 
 @query
@@ -712,7 +736,7 @@ def stream_flags(spark, sf):
 def stream_sessions(spark, sf):
     d = flagged(spark, sf, DK).select(*DK, "ts", "score", "flag")
     build = lambda s: event_sessions(s, "168 hours", DK, "1 hour")
-    out = replay(d, ["1999-10-01", "2000-09-01"], build, "stream-sessions")
+    out = replay(d, ["1999-10-01", "2000-09-01"], build, "stream-sessions", close=True)
     return out.select(*DK, "start", "end", "flagged", F.round("peak_score", 6).alias("peak_score"))
 
 

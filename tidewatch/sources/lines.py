@@ -44,7 +44,6 @@ TIME_FORMATS = (
     "yyyy-M-d",
     "yyyy/M/d",
 )
-HEADER_WITHIN = 80
 
 
 def parse_ts(col: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
@@ -131,10 +130,16 @@ def read_aliased_csv(
     marker: str = "年月日時",
     charset: str = "cp932",
     required: Sequence[str] = ("ts", "temp"),
+    header_within: int | None = None,
 ) -> DataFrame:
-    """CSV with lines of preamble: the header is the first early line with a marker."""
+    """CSV with lines of preamble: the header is the first line with a marker.
+
+    ``header_within`` bounds the preamble, in lines; by default nothing does.
+    """
     lines = read_lines(spark, path, charset)
-    at = lines.where((F.col("line_no") < HEADER_WITHIN) & F.col("line").contains(marker))
+    at = lines.where(F.col("line").contains(marker))
+    if header_within is not None:
+        at = at.where(F.col("line_no") < header_within)
     heads = at.groupBy("path").agg(
         F.min("line_no").alias("_h"), F.min_by("line", "line_no").alias("_head")
     )
@@ -188,6 +193,27 @@ def read_target_csv(
     return dedupe_first(d).select("ts", "y")
 
 
+def field_count(line: Column) -> Column:
+    """Fields of a CSV line; separators inside quotes are text."""
+    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def loose_lines(spark: SparkSession, path: str | list[str], charset: str = "utf-8") -> tuple[list[str], DataFrame, DataFrame]:
+    """Column names, the lines that fit them, and the lines with too many fields.
+
+    Which lines are bad is decided on their text, whatever columns are read later.
+    """
+    lines = read_lines(spark, path, charset)
+    heads = lines.where("line_no = 0").select("line").distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise ContractError("files have different headers")
+    names = [c.replace("\ufeff", "").strip() for c in next(csv.reader([heads[0]["line"]]))]
+    body = lines.where((F.col("line_no") > 0) & (F.trim("line") != ""))
+    body = body.withColumn("n_fields", field_count(F.col("line")))
+    return names, body.where(F.col("n_fields") <= len(names)), body.where(F.col("n_fields") > len(names))
+
+
 def read_loose_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -196,15 +222,14 @@ def read_loose_csv(
 ) -> DataFrame:
     """CSV of unknown types: own null tokens, lines with too many fields skipped.
 
-    A column becomes a number when all of its non-null values read as one.
+    ``loose_lines`` gives the skipped ones.  A column becomes a number when all of its
+    non-null values read as one.
     """
-    reader = prepare(spark).read.option("header", True).option("mode", "DROPMALFORMED")
-    if charset.lower() not in ("utf-8", "utf8"):
-        allow_charsets(spark)
-        reader = reader.option("encoding", charset)
-    raw = reader.option("nullValue", None).option("emptyValue", "").csv(path)
-    raw = raw.toDF(*[c.replace("﻿", "").strip() for c in raw.columns])
-    return promote_numbers(raw.select(*[null_if_token(F.col(f"`{c}`"), tuple(null_tokens)).alias(c) for c in raw.columns]))
+    names, good, _ = loose_lines(spark, path, charset)
+    table = _fields(good, len(names)).select(
+        *[null_if_token(F.col("_f")[f"c{i}"], tuple(null_tokens)).alias(c) for i, c in enumerate(names)]
+    )
+    return promote_numbers(table)
 
 
 def promote_numbers(df: DataFrame) -> DataFrame:

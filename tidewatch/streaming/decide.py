@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,14 +16,16 @@ from tidewatch.config import AuditConfig
 from tidewatch.operators.decide import rules_of
 from tidewatch.operators.sweep import Carry, roll, step_flags
 
+MICROS = 1_000_000
+
 
 def flag_stream(
     stream: DataFrame, cfg: AuditConfig, keys: Sequence[str], tau: str = "tau", score: str = "score"
 ) -> DataFrame:
     """``keys, ts, score, flag``: hysteresis and K-of-W carried between micro-batches.
 
-    Rows are ordered inside a batch.  A row not newer than the last one seen would
-    change decisions already given, so it comes out with a null flag.
+    Rows are ordered inside a batch, rows of one instant by score.  A row older than the
+    last one decided would change decisions already given, so it comes out with a null flag.
     """
     keys = list(keys)
     w, k, low = cfg.w, cfg.k, cfg.low_ratio
@@ -38,14 +41,14 @@ def flag_stream(
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterable[pd.DataFrame]:
         on, tail, last = state.get if state.exists else (0, [], -(2**62))
-        pdf = pd.concat(list(batches)).sort_values("_us", kind="stable")
+        pdf = pd.concat(list(batches)).sort_values(["_us", "score"], kind="stable")
         pdf = pdf.reset_index(drop=True)
-        fresh = (pdf["_us"] > last) & ~pdf["_us"].duplicated()
+        fresh = pdf["_us"] >= last
         live = pdf[fresh]
         flag = pd.Series([None] * len(pdf), dtype="Int32")
         if len(live):
             flags, on, tail = step_flags(
-                live["score"].to_numpy(dtype=float), float(live["tau"].iloc[0]), w, k, low, on, list(tail)
+                live["score"].to_numpy(dtype=float), live["tau"].to_numpy(dtype=float), w, k, low, on, list(tail)
             )
             flag[live.index] = flags
             state.update((int(on), [int(x) for x in tail], int(live["_us"].iloc[-1])))
@@ -73,10 +76,12 @@ def decide_stream(
 
     ``stream``: ``keys, ts, score, period`` and ``tau_fixed, tau_budget, w_rows, k_hits`` as
     learned on the calibration period.  State per key: rows of one calibration
-    window, two hysteresis states and the current threshold.
+    window, two hysteresis states and the current threshold.  Times count in
+    microseconds; rows older than the last one decided come out with null flags.
     """
     keys = list(keys)
     rules, ratio = rules_of(cfg), cfg.cap_ratio
+    rules = replace(rules, block=rules.block * MICROS, window=rules.window * MICROS)
     out = T.StructType(
         [stream.schema[c] for c in keys]
         + [
@@ -95,7 +100,7 @@ def decide_stream(
     )
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterable[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("sec", kind="stable")
+        pdf = pd.concat(list(batches)).sort_values(["sec", "score"], kind="stable")
         if state.exists:
             t0, at, tau, on_b, tail_b, on_s, tail_s, secs, scores, excluded = state.get
         else:
@@ -103,7 +108,8 @@ def decide_stream(
             on_b, tail_b, on_s, tail_s, secs, scores, excluded = 0, [], 0, [], [], [], []
         secs, scores, excluded = list(secs), list(scores), list(excluded)
         newest = secs[-1] if secs else -(2**62)
-        pdf = pdf[(pdf["sec"] > newest) & ~pdf["sec"].duplicated()]
+        late = pdf[(pdf["sec"] < newest) & (pdf["period"] == "test")]
+        pdf = pdf[pdf["sec"] >= newest]
         cap = float(pdf["tau_fixed"].iloc[0]) * ratio if len(pdf) else 0.0
         w, k = (int(pdf["w_rows"].iloc[0]), int(pdf["k_hits"].iloc[0])) if len(pdf) else (1, 1)
         past = pdf[pdf["period"] != "test"]
@@ -144,12 +150,18 @@ def decide_stream(
         )
         if got is not None:
             head = {c: [v] * len(test) for c, v in zip(keys, key)}
-            ts = pd.to_datetime(sec, unit="s", utc=True)
+            ts = pd.to_datetime(sec, unit="us", utc=True)
             yield pd.DataFrame({**head, "ts": ts, "score": score, **got})
+        if len(late):
+            head = {c: [v] * len(late) for c, v in zip(keys, key)}
+            ts = pd.to_datetime(late["sec"].to_numpy(), unit="us", utc=True)
+            none = {c: pd.Series([None] * len(late), dtype="Int32") for c in ("tau_cap_hit", "flag_budget", "flag_sci")}
+            none |= {c: np.full(len(late), np.nan) for c in ("tau_budget", "tau_sci")}
+            yield pd.DataFrame({**head, "ts": ts, "score": late["score"].to_numpy(), **none})
 
     rows = stream.select(
         *keys,
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("sec"),
         F.col("score").cast("double").alias("score"),
         "period",
         "tau_fixed",

@@ -14,7 +14,7 @@ def hourly_rollup(
     at = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
     return (
         at.groupBy(*keys, F.window("_t", every).alias("_w"))
-        .agg(F.sum(F.col(value).cast("decimal(28,6)")).cast("double").alias("y"))
+        .agg(F.sum(F.col(value).cast("double")).alias("y"))
         .select(*keys, F.col("_w.start").alias("ts"), "y")
     )
 
