@@ -16,7 +16,7 @@ number per file.
 
 Texts are range-partitioned by doc_id once, encoded in order and written; nothing else is shuffled.
 The tokenizer drops white space, so ids are made per distinct chunk between ASCII white space by the
-tokenizers library and remembered, up to a bound.
+tokenizers library and remembered by their hash, up to a bound, by the worker that made them.
 
 Defined results: a null text is empty and has the end id only; rows that share a doc_id follow one
 another in the order of their texts; a null doc_id comes first; an empty table gives no rows; texts
@@ -25,6 +25,10 @@ are taken whole; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -42,54 +46,93 @@ FILE_BYTES = 32 << 20
 GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-REMEMBER = 300_000
+REMEMBER = 1_500_000
 #: up to so many files their places are a broadcast of some 100 kB
 FEW_FILES = 10_000
 
 LAYOUT = "doc_id long, n_tokens long, shard int, at long, tokens array<int>"
 
 
+def worker_store(name: str) -> dict:
+    """A dict that lives as long as the Python worker, so that its tasks share what they learn."""
+    return vars(sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker"))).setdefault(name, {})
+
+
 class ChunkIds:
-    """Ids of distinct chunks in one growing array."""
+    """Ids of distinct chunks in growing arrays; a chunk is known by its 64-bit hash."""
 
     def __init__(self, spec: str, remember: int):
+        # one task, one core: Spark runs as many tasks as there are cores
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.remember = remember
+        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        #: A-Z are the same as a-z; a comma or full stop behind a letter or digit stands alone
+        self.folds = ids("Ab XYZ") == ids("ab xyz")
+        self.splits = all(ids(a + b) == ids(a) + ids(b) == ids(f"{a} {b}") for a in ("ab", "x1", "'s") for b in ",.")
+        self.special = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
+        self.remember, self.hasher, self.is_word = remember, kn.Hasher(), kn.is_word_byte()
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.size, self.begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.key, self.size, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
         found = []
-        for at in range(0, len(chunks), 1 << 13):
-            some = [c.decode() for c in chunks[at : at + (1 << 13)]]
-            found += [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
-        self.place.update(zip(chunks, range(len(self.size), len(self.size) + len(chunks)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, flat])
-
-    def encode(self, texts: list[list[bytes]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        for at in range(0, len(chunks), 1 << 12):
+            batch = self.library.encode_batch_fast(chunks[at : at + (1 << 12)], add_special_tokens=False)
+            found += [np.array(e.ids, np.int32) for e in batch]
+        size = np.array([len(x) for x in found], np.int32)
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *found])
+        at = np.searchsorted(self.key, keys)
+        self.key, self.size, self.begin = np.insert(self.key, at, keys), np.insert(self.size, at, size), np.insert(self.begin, at, begin)
+
+    def simpler(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of texts with the same ids and far fewer different chunks.
+
+        Where the tokenizer allows it, case is folded and punctuation set apart.
+        """
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            return data, off
+        if self.folds:
+            data = kn.lowered()[data]
+        if self.splits and len(data) > 1:
+            ends = np.append(~kn.is_word_byte()[data][1:], True)
+            ends[off[1:-1][off[1:-1] > 0] - 1] = True
+            behind = np.append(False, PLAIN_BYTE[data[:-1]])
+            behind[off[:-1][off[:-1] < len(data)]] = False
+            alone = np.flatnonzero(((data == 0x2C) | (data == 0x2E)) & ends & behind)
+            off = off + np.searchsorted(alone, off)
+            data = np.insert(data, alone, 0x20)
+        return data, off
+
+    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with the end id behind each text, and where each text begins."""
-        if len(self.place) > self.remember:
+        if len(self.key) > self.remember:
             self.forget()
-        new = list(set().union(*texts) - self.place.keys())
-        if new:
-            self.learn(new)
-        place = self.place
-        chunk = np.fromiter((place[c] for x in texts for c in x), np.int64)
-        size = self.size[chunk]
-        text = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-        per_text = np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64) + 1
+        data, off = self.simpler(data, off)
+        start, end, word = kn.find_words(data, off, self.is_word)
+        keys, sample, inverse = np.unique(self.hasher.word_hash(data, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.key)
+        new[inside] = self.key[at[inside]] != keys[inside]
+        if new.any():
+            raw = data.tobytes()
+            places = zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)
+            self.learn(keys[new], [raw[a:b].decode() for a, b in places])
+            at = np.searchsorted(self.key, keys)
+        chunk = at[inverse]
+        size = self.size[chunk].astype(np.int64)
+        per_row = np.diff(word)
+        text = np.repeat(np.arange(len(per_row)), per_row)
+        per_text = np.bincount(text, weights=size, minlength=len(per_row)).astype(np.int64) + 1
         first = np.concatenate([[0], np.cumsum(per_text)])
         out = np.full(int(first[-1]), end_id, np.int32)
         # chunk ids go to consecutive places, moved on by the end ids before
@@ -99,17 +142,23 @@ class ChunkIds:
         return out, first
 
 
+#: by byte: ASCII letters and digits
+PLAIN_BYTE = np.isin(np.arange(256), np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+
+
 def encoded(spec: str, end_id: int, remember: int):
     """A partition in order to rows of the token table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, at = ChunkIds(spec, remember), 0
+        store, at = worker_store("ids"), 0
+        if (spec, remember) not in store:
+            store.clear()
+            store[spec, remember] = ChunkIds(spec, remember)
+        cache = store[spec, remember]
         shard = TaskContext.get().partitionId()
         for batch in batches:
             for row, data, off in kn.slices(batch["text"]):
-                raw, bound = data.tobytes(), off.tolist()
-                texts = [raw[a:b].split() for a, b in zip(bound[:-1], bound[1:], strict=True)]
-                ids, first = cache.encode(texts, end_id)
+                ids, first = cache.encode(data, off, end_id)
                 n = np.diff(first)
                 yield pa.RecordBatch.from_pydict(
                     {
