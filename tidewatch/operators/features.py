@@ -40,9 +40,11 @@ def densify(
     keys: Sequence[str] = (),
     value: str = "y",
     fill: float | None = 0.0,
-    common_range: bool = True,
+    common_range: bool = False,
 ) -> DataFrame:
-    """Put a row at every step between first and last timestamp.
+    """Put a row at every step between first and last timestamp of a key.
+
+    With ``common_range`` all keys get the range of all, which one bad timestamp widens for all.
 
     The spine is unioned under the rolled-up rows and grouped once, which needs no
     join.  Long ranges are exploded in two steps (days, then steps of a day).

@@ -432,6 +432,10 @@ SELECT lag::BIGINT AS shift, round(corr, 2) AS corr FROM c ORDER BY c.corr DESC,
 g2 AS (SELECT *, sum((pt IS NULL OR ts - pt > INTERVAL 168 HOUR)::INT) OVER (PARTITION BY {k} ORDER BY ts) AS ev FROM g),
 x AS (SELECT {k}, ev, min(ts) AS "start", max(ts) AS "end", count(*) AS flagged, round(max(score), 6) AS peak_score FROM g2 GROUP BY {k}, ev)
 SELECT * EXCLUDE (ev) FROM x"""
+    # small blocks change how work is spread, not what comes out
+    for name in ("hysteresis", "persistence", "rising_edges", "tau_fixed", "candidate_counts"):
+        q[f"{name}_blocked"] = q[name]
+    q["event_sessions_blocked"] = q["event_sessions_by_status"]
     return q
 
 

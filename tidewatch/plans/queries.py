@@ -15,7 +15,7 @@ from tidewatch.functions.text import float_token, tokens
 from tidewatch.operators import calibrate, contracts, decide, diff, faults, features, flags, health, predict
 from tidewatch.operators import score as scoring
 from tidewatch.operators.integrity import IntegrityAudit
-from tidewatch.operators.quantile import quantile_columns
+from tidewatch.operators.quantile import exact_quantiles, quantile_columns
 from tidewatch.operators.sequence import attach
 from tidewatch.operators.shift import circular_shift, xcorr_lag
 from tidewatch.operators.split import period_ranges, split_spec
@@ -296,6 +296,64 @@ def rising_edges(spark, sf):
     )
 
 
+#: rows in a block of the queries that have to cross many block borders
+SMALL = 64
+
+
+def _flagged_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    def make() -> DataFrame:
+        d = flag_tau(daily_scored(spark, sf, DK), DK)
+        keep = ["flag_raw", "flag_edge"]
+        return flags.flag_streams(d, {"flag": ("score", "tau")}, 5, 3, 0.98, DK, rows=SMALL, keep=keep)
+
+    return once("daily-flagged-blocked", spark, sf, DK, make)
+
+
+@query
+def hysteresis_blocked(spark, sf):
+    """States carried over some forty blocks per series."""
+    return _flagged_blocked(spark, sf).select(*DK, "ts", F.col("flag_raw").cast("int").alias("raw"))
+
+
+@query
+def persistence_blocked(spark, sf):
+    return _flagged_blocked(spark, sf).select(*DK, "ts", "flag")
+
+
+@query
+def rising_edges_blocked(spark, sf):
+    return _flagged_blocked(spark, sf).groupBy(*DK, "period").agg(
+        F.sum("flag").cast("bigint").alias("rows_on"), F.sum("flag_edge").cast("bigint").alias("n_events")
+    )
+
+
+@query
+def event_sessions_blocked(spark, sf):
+    e = flags.events(_flagged_blocked(spark, sf), "flag", DAILY.cooldown_hours, DK, rows=SMALL)
+    return e.select(
+        *DK, "start", "end", "hours", F.round("peak_score", 6).alias("peak_score"), "reason_major", "action"
+    )
+
+
+@query
+def tau_fixed_blocked(spark, sf):
+    """The threshold's quantile from parts of a few values each."""
+    t = exact_quantiles(_calib(spark, sf), DK, "score", [DAILY.threshold_q], one_run=5)
+    return t.select(*DK, F.round(F.col("quantiles")[0], 6).alias("tau_fixed"))
+
+
+@query
+def candidate_counts_blocked(spark, sf):
+    c = calibrate.candidate_events(
+        _calib(spark, sf), "score", calibrate.settings_grid(DAILY), DAILY.low_ratio, DK, rows=SMALL
+    )
+    return c.groupBy(*DK, F.col("w_rows").alias("w"), F.col("k_hits").alias("k")).agg(
+        F.sum("events").cast("bigint").alias("sum_events"),
+        F.max("events").cast("bigint").alias("max_events"),
+        F.count_if(F.col("events") > 0).alias("firing"),
+    )
+
+
 def _events(spark, sf, keys):
     return flags.events(flagged(spark, sf, keys), "flag", DAILY.cooldown_hours, keys)
 

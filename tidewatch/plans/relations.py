@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def hourly(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     rolled = lambda: rollup(table(spark, sf, "events"), "ts", "value", "hour", "sum", keys)
-    return once("hourly", spark, sf, keys, lambda: densify(rolled(), "hour", keys))
+    return once("hourly", spark, sf, keys, lambda: densify(rolled(), "hour", keys, common_range=True))
 
 
 def daily(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def daily(spark: SparkSession, sf: str, keys: list[str] | None = None) -> DataFr
     rolled = lambda: rollup(
         table(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "day", "sum", keys
     )
-    return once("daily", spark, sf, keys, lambda: densify(rolled(), "day", keys))
+    return once("daily", spark, sf, keys, lambda: densify(rolled(), "day", keys, common_range=True))
 
 
 def split_series(series: DataFrame, cfg: AuditConfig, keys: list[str], step: int) -> DataFrame:
