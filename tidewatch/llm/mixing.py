@@ -55,12 +55,12 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, epoch
         weighed = size.withColumn("weight", F.coalesce(F.try_element_at(known, F.col("mix_source")), F.lit(0.0)))
     # sums over one row per source
     total = weighed.where("size > 0").agg(F.sum("size").alias("all_bytes"), F.sum("weight").alias("all_weights"))
+    all_bytes, all_weights = total.select("all_bytes").scalar(), total.select("all_weights").scalar()
     rate = F.when(
-        (F.col("size") > 0) & (F.col("all_weights") > 0),
-        F.col("weight") / F.col("all_weights") * F.col("all_bytes") * F.lit(float(epochs)) / F.col("size"),
+        (F.col("size") > 0) & (all_weights > 0),
+        F.col("weight") / all_weights * all_bytes * F.lit(float(epochs)) / F.col("size"),
     ).otherwise(0.0)
-    one = weighed.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one", "left")
-    out = one.select("mix_source", F.coalesce(rate, F.lit(0.0)).alias("mix_rate"))
+    out = weighed.select("mix_source", F.coalesce(rate, F.lit(0.0)).alias("mix_rate"))
     out = out.withColumn("mix_parts", F.greatest(F.ceil(F.col("mix_rate") / PART_RATE), F.lit(1)).cast("int"))
     out = out.withColumn("m", F.col("mix_rate") / F.col("mix_parts"))
     # terms that are left out have less than the last bit of the number drawn
