@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidewatch.config import AuditConfig
 from tidewatch.functions.calendar import add_calendar
 from tidewatch.operators.calibrate import tau_policies
-from tidewatch.operators.certificate import certificate, digests, evidence, ledger_rows, summary
+from tidewatch.operators.certificate import certificate, dataset_label, digests, evidence, ledger_rows, summary
 from tidewatch.operators.decide import decide_frozen, decide_rolling, zscore_flags
 from tidewatch.operators.flags import events, top_event
 from tidewatch.operators.health import flag_metrics, health_drift, health_model, health_shift, verdict
@@ -64,9 +66,13 @@ def run_audit(
     keys: Sequence[str] = (),
     y: str = "y",
     pred: str | None = None,
-    label: str = "series",
+    label: str | None = None,
+    names: Sequence[str] = (),
 ) -> AuditResult:
-    """``series``: ``keys, ts, row_no, y`` and, when the caller has one, a prediction."""
+    """``series``: ``keys, ts, row_no, y`` and, when the caller has one, a prediction.
+
+    ``names`` are the files or tables the rows come from; without a ``label`` they make one.
+    """
     cfg.check_profile()
     keys = list(keys)
     dates = (cfg.calib_start, cfg.test_start) if cfg.profile == "paper" else None
@@ -94,7 +100,11 @@ def run_audit(
     decided = stage_table(decided, "decided")
     found = stage_table(events(decided, "flag_sci", cfg.cooldown_hours, keys), "events")
     metrics = verdict(metrics_of(scored, decided, y, cfg, pred, keys), cfg)
-    metrics = stage_table(metrics, "metrics")
+    # what the decision was made with belongs into the certificate
+    learned = taus.select(*keys, F.col("tau_fixed").alias("baseline_tau"), "w_rows", "k_hits")
+    bounds = spec.select(*keys, *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("calib_start", "test_start")])
+    metrics = stage_table(attach(attach(metrics, learned, keys), bounds, keys), "metrics")
+    label = label or dataset_label(cfg, names)
     shas = digests(decided, spec, cfg, keys)
     certs = certificate(
         metrics, top_event(found, keys), period_ranges(scored, keys), shas, cfg, label, keys
