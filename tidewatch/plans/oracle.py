@@ -267,7 +267,7 @@ FROM events WHERE event_type = 'click' GROUP BY 1),
 tg AS (SELECT date_trunc('hour', ts) AS ts, fsum(value) AS y
 FROM events WHERE event_type = 'purchase' GROUP BY 1),
 mg AS (SELECT ts, temp, y FROM cv JOIN tg USING (ts))"""
-    q["contract_merge"] = f"WITH {mrg} SELECT ts, round(temp, 6) AS temp, y FROM mg"
+    q["contract_merge"] = f"WITH {mrg} SELECT ts, round(temp, 6) AS temp, round(y, 6) AS y FROM mg"
     q["merge_report"] = f"""WITH {mrg}, n AS (SELECT (SELECT count(*) FROM cv) AS covariate_rows,
 (SELECT count(*) FROM tg) AS target_rows, (SELECT count(*) FROM mg) AS merged_rows)
 SELECT *, round(merged_rows / greatest(1, least(covariate_rows, target_rows))::DOUBLE, 6) AS overlap_ratio,

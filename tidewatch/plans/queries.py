@@ -149,7 +149,7 @@ def merge_report(spark, sf):
 @query
 def contract_merge(spark, sf):
     merged, _ = _merged(spark, sf)
-    return merged.select("ts", F.round("temp", 6).alias("temp"), "y")
+    return merged.select("ts", *[F.round(c, 6).alias(c) for c in ("temp", "y")])
 
 
 def _merged(spark, sf):
