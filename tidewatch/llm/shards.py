@@ -58,7 +58,8 @@ def interleave(
     by_hash = F.conv(F.substring("hash", 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
     out = ranked(rows, ["skey"], F.floor(by_hash * ranges), ["hash", "doc_id", "text_crc32", "size"], "place")
     out = stage_table(out, "places")
-    of_source = out.groupBy("skey").agg(F.count("*").alias("n"))
+    # staged, so that the planner knows its size and rows need not be shuffled by source
+    of_source = stage_table(out.groupBy("skey").agg(F.count("*").alias("n")), "source-sizes")
     out = out.join(of_source, "skey").withColumn("fraction", (F.col("place") + F.lit(0.5)) / F.col("n")).drop("n", "place")
     out = ranked(out, [], F.floor(F.col("fraction") * ranges), ["fraction", "skey", "hash", "doc_id", "text_crc32", "size"], "place")
     shard = F.expr(f"place * {shards} div {max(total, 1)}")
