@@ -24,7 +24,7 @@ from tidewatch.llm.mixing import source_key
 from tidewatch.session import stage_table
 
 #: rows in a range
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 #: hexadecimal digits that choose the range of a hash
 DIGITS = 8
 
