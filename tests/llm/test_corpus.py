@@ -243,6 +243,18 @@ def test_keep_one(docs, rows):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, groups))
 
 
+def test_keep_one_of_groups_that_share_their_smallest_id(spark):
+    """Unlinked groups whose smallest id is null or the same id keep a row each."""
+    rng = random.Random(11)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    given = [(None, a), (None, b), (7, b), (None, c), (8, c), (9, c), (None, c), (5, d), (5, e), (6, e), (10, f), (None, None), (11, " ")]
+    texts = [t for _, t in given]
+    linked = lambda x, y: (brute.fingerprint(x) ^ brute.fingerprint(y)).bit_count() <= 4
+    assert all(linked(x, y) == ((x or " ") == (y or " ")) for x in texts for y in texts)
+    kept = simhash.keep_one(spark.createDataFrame(given, "doc_id long, text string").repartition(3))
+    same(kept, [(None, a), (None, b), (None, c), (5, d), (5, e), (10, f), (None, None)], "doc_id", "text")
+
+
 def test_covering_finds_every_pair(spark):
     """Dense balls, chains and strangers: all links within four bits, on both pieces and the bits outside them."""
     rng = np.random.default_rng(4)

@@ -265,7 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, threshold: int, width: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Staged (key, tie, fingerprint) per row, and (fingerprint, least_id) per fingerprint."""
+    """Staged (id, tie, fingerprint) per row, and (fingerprint, root, least_id) per fingerprint; the root names its component."""
     if not 1 <= threshold <= 5:
         raise ValueError("the covering is laid out for 1 to 5 differing bits")
     key = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"))
@@ -284,7 +284,7 @@ def grouped(docs: DataFrame, threshold: int, width: int, doc_id: str, text: str)
         "fingerprint", "first_id", F.coalesce("v", "fingerprint").alias("root")
     )
     smallest = ids.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    return prints, ids.join(smallest, "root").select("fingerprint", "least_id")
+    return prints, ids.join(smallest, "root").select("fingerprint", "root", "least_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,9 +304,9 @@ def keep_one(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id: str =
     """
     prints, named = grouped(docs, threshold, width, doc_id, text)
     tied = F.struct(F.coalesce("id", F.lit(ex.NULL_ID)).alias("id"), "tie")
-    # the group of a row is named by its smallest id, and fingerprints of a group differ: one root per name
+    # unlinked groups may share their smallest id (a null or repeated one), so a group is told by its root
     heads = prints.join(named, "fingerprint").where(F.coalesce("id", F.lit(ex.NULL_ID)) == F.col("least_id"))
-    heads = heads.groupBy("least_id").agg(F.min(tied).alias("head")).select("head.id", "head.tie")
+    heads = heads.groupBy("root").agg(F.min(tied).alias("head")).select("head.id", "head.tie")
     marks = docs.withColumns({"q_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(ex.NULL_ID)), "q_tie": F.xxhash64(text)})
     kept = marks.join(heads, (F.col("q_id") == heads["id"]) & (F.col("q_tie") == heads["tie"]), "left_semi")
     if not prints.groupBy("id", "tie").count().where("count > 1").isEmpty():
