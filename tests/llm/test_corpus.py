@@ -325,6 +325,22 @@ def test_token_file(spark, docs, rows, tmp_path):
     assert "GreaterThanOrEqual(doc_id,1003)" in plan and ",tokens:" not in plan
 
 
+def test_special_strings_in_other_cases_are_ordinary_text():
+    """Alone in a slice and beside others, a text has the library's ids."""
+    import pyarrow as pa
+
+    library = Tokenizer.from_file(VOCABULARY)
+    with open(VOCABULARY, encoding="utf-8") as file:
+        cache = tokenfile.ChunkIds(file.read(), 1000)
+    mixed = ["<|EndOfText|>", "<|ENDOFTEXT|> The End, yes.", "A<|StartOfText|>b, <|endoftext|>C.", "<|startoftext|><|EndOfText|>"]
+    plain = ["", "Some Text, here. And More.", "THE <|end", "OfText|> Cut, In two.", ""]
+    for texts in [[t] for t in mixed] + [[p, t, p] for p in plain for t in mixed] + [mixed[:2], plain, mixed + plain]:
+        ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        for _, data, off in kn.slices(pa.array(texts)):
+            got, first = cache.encode(data, off, 2)
+        assert [got[a:b].tolist() for a, b in itertools.pairwise(first)] == [[*x, 2] for x in ids]
+
+
 def test_empty_tables(spark, empty):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     for out in (

@@ -73,7 +73,7 @@ class ChunkIds:
         #: A-Z are the same as a-z; a comma or full stop behind a letter or digit stands alone
         self.folds = ids("Ab XYZ") == ids("ab xyz")
         self.splits = all(ids(a + b) == ids(a) + ids(b) == ids(f"{a} {b}") for a in ("ab", "x1", "'s") for b in ",.")
-        self.special = [t["content"].encode() for t in json.loads(spec).get("added_tokens", [])]
+        self.special = [kn.lowered()[np.frombuffer(t["content"].encode(), np.uint8)].tobytes() for t in json.loads(spec).get("added_tokens", [])]
         self.remember, self.hasher, self.is_word = remember, kn.Hasher(), kn.is_word_byte()
         self.forget()
 
@@ -95,23 +95,34 @@ class ChunkIds:
     def simpler(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of texts with the same ids and far fewer different chunks.
 
-        Where the tokenizer allows it, case is folded and punctuation set apart.
+        Where the tokenizer allows it, case is folded and punctuation set apart. Texts that hold a special
+        string in any case stay as they are: the library takes its very bytes for special, and no others.
         """
-        raw = data.tobytes()
-        if any(s in raw for s in self.special):
-            return data, off
+        lower = kn.lowered()[data]
+        as_is = np.repeat(self.with_special(lower, off), np.diff(off))
         if self.folds:
-            data = kn.lowered()[data]
+            data = np.where(as_is, data, lower)
         if self.splits and len(data) > 1:
             ends = np.append(~kn.is_word_byte()[data][1:], True)
             ends[off[1:-1][off[1:-1] > 0] - 1] = True
             behind = np.append(False, PLAIN_BYTE[data[:-1]])
             behind[off[:-1][off[:-1] < len(data)]] = False
-            alone = np.flatnonzero(((data == 0x2C) | (data == 0x2E)) & ends & behind)
+            alone = np.flatnonzero(((data == 0x2C) | (data == 0x2E)) & ends & behind & ~as_is)
             off = off + np.searchsorted(alone, off)
             data = np.insert(data, alone, 0x20)
         return data, off
 
+    def with_special(self, lower: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """By text: whether its lower-cased bytes hold a lower-cased special string (or one begins there and ends in the next)."""
+        raw, found = lower.tobytes(), np.zeros(len(off) - 1, bool)
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                row = int(np.searchsorted(off, at, side="right")) - 1
+                found[row] = True
+                at = raw.find(s, int(off[row + 1]))
+        return found
+
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with the end id behind each text, and where each text begins."""
         if len(self.key) > self.remember:
