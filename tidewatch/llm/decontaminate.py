@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 A benchmark item gives all its windows of ``n`` words (one shorter window if it has fewer words).
-Their 64-bit hashes are broadcast in blocks of items whose bytes are counted first, so a broadcast
-never grows with the benchmark. Each block scans every word window of the training texts in one narrow
+Their 64-bit hashes are broadcast in blocks of items whose bytes are counted first, so no one broadcast
+grows with the benchmark. Their sum does: the driver makes all blocks one by one and keeps them, and
+the passes are chained in one stage, so a task's machine holds them all. Each block scans every word window of the training texts in one narrow
 pass, verifies hits by comparing the words, and adds its spans to those of the blocks before. Nothing
 is shuffled.
 
