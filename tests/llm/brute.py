@@ -118,7 +118,8 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def near(docs, threshold=4):
+def components(docs, threshold=4):
+    """Fingerprints, and the root of each document's component."""
     prints = [fingerprint(t) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -131,8 +132,28 @@ def near(docs, threshold=4):
         for b in range(a):
             if (prints[a] ^ prints[b]).bit_count() <= threshold:
                 parent[find(a)] = find(b)
+    return prints, [find(a) for a in range(len(docs))]
+
+
+def smallest(docs, roots):
+    """By root: the smallest doc_id, null first."""
     groups = collections.defaultdict(list)
-    for a in range(len(docs)):
-        groups[find(a)].append(docs[a][0])
-    least = {g: min(ids, key=lambda i: (i is not None, i or 0)) for g, ids in groups.items()}
-    return [(docs[a][0], f"{prints[a]:016x}", least[find(a)]) for a in range(len(docs))]
+    for (i, _), root in zip(docs, roots, strict=True):
+        groups[root].append(i)
+    return {g: min(ids, key=lambda i: (i is not None, i or 0)) for g, ids in groups.items()}
+
+
+def near(docs, threshold=4):
+    prints, roots = components(docs, threshold)
+    least = smallest(docs, roots)
+    return [(i, f"{x:016x}", least[root]) for (i, _), x, root in zip(docs, prints, roots, strict=True)]
+
+
+def heads(docs, threshold=4):
+    """One document of each component: of its smallest doc_id, the first given."""
+    _, roots = components(docs, threshold)
+    least, out = smallest(docs, roots), {}
+    for doc, root in zip(docs, roots, strict=True):
+        if doc[0] == least[root]:
+            out.setdefault(root, doc)
+    return [doc for doc in docs if any(doc is x for x in out.values())]

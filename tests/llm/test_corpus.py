@@ -19,7 +19,7 @@ from tidewatch.llm.queries import ORACLE, QUERIES
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: names that operators use inside
-CLASHES = ("part", "bucket", "key", "row", "start", "n", "fingerprint", "quality", "mix_n", "mix_key", "place", "hash", "items")
+CLASHES = ("part", "bucket", "key", "row", "start", "n", "fingerprint", "quality", "mix_n", "mix_key", "place", "hash", "items", "q_id", "q_tie", "keep_one_mark", "mix_source", "mix_rate", "mix_copy")
 
 
 def prose(rng, n, of=400):
@@ -239,8 +239,10 @@ def test_near_duplicates(docs, rows):
 def test_keep_one(docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    groups = {c for _, _, c in brute.near(pairs(rows))}
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, groups))
+    heads = brute.heads(pairs(rows))
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in heads)
+    assert all(r[c] == "?" for r in got for c in CLASHES)
 
 
 def test_keep_one_of_groups_that_share_their_smallest_id(spark):
@@ -331,7 +333,7 @@ def test_special_strings_in_other_cases_are_ordinary_text():
 
     library = Tokenizer.from_file(VOCABULARY)
     with open(VOCABULARY, encoding="utf-8") as file:
-        cache = tokenfile.ChunkIds(file.read(), 1000)
+        cache = tokenfile.ChunkIds(file.read(), 1 << 20)
     mixed = ["<|EndOfText|>", "<|ENDOFTEXT|> The End, yes.", "A<|StartOfText|>b, <|endoftext|>C.", "<|startoftext|><|EndOfText|>"]
     plain = ["", "Some Text, here. And More.", "THE <|end", "OfText|> Cut, In two.", ""]
     for texts in [[t] for t in mixed] + [[p, t, p] for p in plain for t in mixed] + [mixed[:2], plain, mixed + plain]:
@@ -341,6 +343,45 @@ def test_special_strings_in_other_cases_are_ordinary_text():
         assert [got[a:b].tolist() for a, b in itertools.pairwise(first)] == [[*x, 2] for x in ids]
 
 
+def test_ids_of_marks_behind_capitals():
+    """The library composes before it folds case: every letter with every combining mark, and long mixtures."""
+    import pyarrow as pa
+
+    library = Tokenizer.from_file(VOCABULARY)
+    with open(VOCABULARY, encoding="utf-8") as file:
+        cache = tokenfile.ChunkIds(file.read(), 1 << 20)
+    rng = random.Random(9)
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B)]]
+    marks = [chr(c) for c in [*range(0x300, 0x370), 0x1DC4, 0x20D0, 0x302A, 0x3099]]
+    texts = [a + m for a in letters for m in marks] + [f"x{a}{m}y. {m}{a}" for a in letters for m in marks]
+    alphabet = letters + marks + list(" .,'\n\t129éÉßİı漢ﬁ-")
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["".join(rng.choice(alphabet) for _ in range(20_000)) for _ in range(3)]
+    expected = [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for _, data, off in kn.slices(pa.array(texts), 10_000):
+        ids, first = cache.encode(data, off, 2)
+        got += [ids[a:b].tolist() for a, b in itertools.pairwise(first)]
+    assert got == expected
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefXYZ0189._-") for _ in range(4000))
+    out = pii.pseudonymise(spark.createDataFrame([(1, f"token: {long} end")], "doc_id long, text string"), b"k")
+    new = out.first().text
+    assert new.endswith(" end") and len(new) == len(long) + 11
+    assert not any(long[i : i + 20] in new for i in range(0, 3980, 20))
+
+
+def test_the_smallest_long_is_no_null_id(spark):
+    given = [(-(1 << 63), "one text of some words"), (None, "and quite another one here"), (4, "one text of some words")]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {(-(1 << 63), -(1 << 63)), (4, -(1 << 63)), (None, None)}
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {-(1 << 63), None}
+
+
 def test_empty_tables(spark, empty):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     for out in (
@@ -367,9 +408,8 @@ def test_pipeline_equals_its_stages_in_plain_loops(spark):
     left = [(r.doc_id, r.text) for r in kept.collect()]
     assert {i for i, _ in left} == {r.doc_id for r in quality.judge(docs).where("quality.kept").collect()}
     kept = stages["near_duplicates"](spark, kept, SF)
-    heads = {c for _, _, c in brute.near(left)}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(heads)
-    left = [x for x in left if x[0] in heads]
+    left = brute.heads(left)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in left)
     kept = stages["decontamination"](spark, kept, SF)
     left = [x for x, e in zip(left, brute.contamination(left, items), strict=True) if not e[-1]]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in left)

@@ -211,7 +211,7 @@ def secret(p: Permutation, value: str, step: int) -> str | None:
 
 #: kind, pattern (its first group, or all of it, is the value), validator and map; the first match from the left wins
 DIGIT_FINDERS: list[tuple[str, str, Callable]] = [
-    ("secret", r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,256})", secret),
+    ("secret", r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})", secret),
     ("access_key", r"(?<![A-Za-z0-9])(A(?:KIA|SIA)[A-Z0-9]{16})(?![A-Za-z0-9])", access_key),
     ("iban", r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", iban),
     ("date", r"(?<![\d./-])(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./-]\d{2}[./-]\d{4})(?![\d/-]|\.\d)", date),

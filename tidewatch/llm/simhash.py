@@ -265,7 +265,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, threshold: int, width: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Staged (id, tie, fingerprint) per row, and (fingerprint, root, least_id) per fingerprint; the root names its component."""
+    """Staged (id, tie, fingerprint) per row, and (fingerprint, root, least_id) per fingerprint; the root names its component.
+
+    ``least_id`` is a struct, so that a null id is the smallest.
+    """
     if not 1 <= threshold <= 5:
         raise ValueError("the covering is laid out for 1 to 5 differing bits")
     key = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"))
@@ -273,7 +276,7 @@ def grouped(docs: DataFrame, threshold: int, width: int, doc_id: str, text: str)
     prints = source.mapInArrow(fingerprints(width), "key struct<id:bigint,tie:bigint>, fingerprint long")
     prints = stage_table(prints.select("key.id", "key.tie", "fingerprint"), "fingerprints")
     distinct = stage_table(
-        prints.groupBy("fingerprint").agg(F.min(F.coalesce("id", F.lit(ex.NULL_ID))).alias("first_id")), "distinct"
+        prints.groupBy("fingerprint").agg(F.min(F.struct("id")).alias("first_id")), "distinct"
     )
     replicas = distinct.count() * sum(Covering(threshold).width)
     buckets = max(48, -(-replicas // BUCKET_ROWS))
@@ -293,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id:
     return prints.join(named, "fingerprint").select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("least_id") != ex.NULL_ID, F.col("least_id")).alias("component_id"),
+        F.col("least_id.id").alias("component_id"),
     )
 
 
@@ -303,12 +306,15 @@ def keep_one(docs: DataFrame, threshold: int = 4, width: int = 4, doc_id: str =
     Of rows that repeat doc_id and text any one stays; they are looked for only if there are some.
     """
     prints, named = grouped(docs, threshold, width, doc_id, text)
-    tied = F.struct(F.coalesce("id", F.lit(ex.NULL_ID)).alias("id"), "tie")
     # unlinked groups may share their smallest id (a null or repeated one), so a group is told by its root
-    heads = prints.join(named, "fingerprint").where(F.coalesce("id", F.lit(ex.NULL_ID)) == F.col("least_id"))
-    heads = heads.groupBy("root").agg(F.min(tied).alias("head")).select("head.id", "head.tie")
-    marks = docs.withColumns({"q_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(ex.NULL_ID)), "q_tie": F.xxhash64(text)})
-    kept = marks.join(heads, (F.col("q_id") == heads["id"]) & (F.col("q_tie") == heads["tie"]), "left_semi")
+    heads = prints.join(named, "fingerprint").where(F.struct("id").eqNullSafe(F.col("least_id")))
+    heads = heads.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("head")).select("head.id", "head.tie")
+    mark = "keep_one_mark"
+    while mark in [c.lower() for c in docs.columns]:
+        mark += "_"
+    marks = docs.withColumn(mark, F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie")))
+    same = F.col(mark)["id"].eqNullSafe(heads["id"]) & (F.col(mark)["tie"] == heads["tie"])
+    kept = marks.join(heads, same, "left_semi")
     if not prints.groupBy("id", "tie").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["q_id", "q_tie"])
+        kept = kept.dropDuplicates([mark])
     return kept.select(*docs.columns)

@@ -16,11 +16,11 @@ number per file.
 
 Texts are range-partitioned by doc_id once, encoded in order and written; nothing else is shuffled.
 The tokenizer drops white space, so ids are made per distinct chunk between ASCII white space by the
-tokenizers library and remembered by their hash, up to a bound, by the worker that made them.
+tokenizers library and remembered by their hash, up to a bound in bytes, by the worker that made them.
 
 Defined results: a null text is empty and has the end id only; rows that share a doc_id follow one
-another in the order of their texts; a null doc_id comes first; an empty table gives no rows; texts
-are taken whole; other columns are ignored.
+another in the order of the xxhash64 of their texts; a null doc_id comes first; an empty table gives
+no rows; texts are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,17 @@ from pyspark.sql import functions as F
 from tidewatch.llm import exchange as ex
 from tidewatch.llm import kernel as kn
 
-#: bytes of text behind one file, of a row group, of a page; rows in a page; chunks remembered
+#: bytes of text behind one file, of a row group, of a page; rows in a page
 FILE_BYTES = 32 << 20
 GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-REMEMBER = 1_500_000
+#: bytes of text worked on at once, in an Arrow batch, and of chunks and ids remembered by a worker
+SLICE = 256 << 10
+BATCH_BYTES = 4 << 20
+REMEMBER = 32 << 20
+#: new chunks kept apart from the others until they are so many
+YOUNG = 1 << 15
 #: up to so many files their places are a broadcast of some 100 kB
 FEW_FILES = 10_000
 
@@ -58,6 +65,33 @@ def worker_store(name: str) -> dict:
     return vars(sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker"))).setdefault(name, {})
 
 
+class Growing:
+    """An array that grows by half at a time."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.data):
+            self.data = np.concatenate([self.used(), np.zeros(max(need, 3 * len(self.data) // 2) - self.n, self.data.dtype)])
+        self.data[self.n : need] = more
+        self.n = need
+
+    def used(self) -> np.ndarray:
+        return self.data[: self.n]
+
+    @property
+    def nbytes(self) -> int:
+        return self.data.nbytes
+
+
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of (keys, slots) as one."""
+    at = np.searchsorted(a[0], b[0])
+    return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
 class ChunkIds:
     """Ids of distinct chunks in growing arrays; a chunk is known by its 64-bit hash."""
 
@@ -78,30 +112,54 @@ class ChunkIds:
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.size, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        found = []
+        #: sorted keys with the slots of their chunks: most of them, and the latest
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        #: by slot: how many ids, and where they begin in ``ids``
+        self.size, self.begin, self.ids = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+
+    def held(self) -> int:
+        """Bytes remembered."""
+        return sum(x.nbytes for level in self.known for x in level) + self.size.nbytes + self.begin.nbytes + self.ids.nbytes
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the keys, -1 where a chunk is new."""
+        slot = np.full(len(keys), -1, np.int64)
+        for key, slots in self.known:
+            at = np.searchsorted(key, keys)
+            here = np.flatnonzero(at < len(key))
+            here = here[key[at[here]] == keys[here]]
+            slot[here] = slots[at[here]]
+        return slot
+
+    def learn(self, keys: np.ndarray, chunks: list[str]) -> np.ndarray:
+        """Slots of new chunks, given by sorted keys."""
+        slots = np.arange(self.size.n, self.size.n + len(keys), dtype=np.int32)
         for at in range(0, len(chunks), 1 << 12):
-            batch = self.library.encode_batch_fast(chunks[at : at + (1 << 12)], add_special_tokens=False)
-            found += [np.array(e.ids, np.int32) for e in batch]
-        size = np.array([len(x) for x in found], np.int32)
-        begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *found])
-        at = np.searchsorted(self.key, keys)
-        self.key, self.size, self.begin = np.insert(self.key, at, keys), np.insert(self.size, at, size), np.insert(self.begin, at, begin)
+            batch = [e.ids for e in self.library.encode_batch_fast(chunks[at : at + (1 << 12)], add_special_tokens=False)]
+            size = np.fromiter(map(len, batch), np.int32, len(batch))
+            self.begin.extend(self.ids.n + np.cumsum(size, dtype=np.int64) - size)
+            self.size.extend(size)
+            self.ids.extend(np.fromiter(chain.from_iterable(batch), np.int32, int(size.sum())))
+        old, young = self.known[0], merged(self.known[1], (keys, slots))
+        if len(young[0]) > YOUNG + len(old[0]) // 8:
+            old, young = merged(old, young), (keys[:0], slots[:0])
+        self.known = [old, young]
+        return slots
 
     def simpler(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of texts with the same ids and far fewer different chunks.
 
         Where the tokenizer allows it, case is folded and punctuation set apart. Texts that hold a special
         string in any case stay as they are: the library takes its very bytes for special, and no others.
+        So does a letter before a byte from 0x80: the library composes characters before it folds case, and
+        some marks compose with the small letter alone.
         """
         lower = kn.lowered()[data]
         as_is = np.repeat(self.with_special(lower, off), np.diff(off))
         if self.folds:
-            data = np.where(as_is, data, lower)
+            composed = as_is.copy()
+            composed[:-1] |= data[1:] >= 0x80
+            data = np.where(composed, data, lower)
         if self.splits and len(data) > 1:
             ends = np.append(~kn.is_word_byte()[data][1:], True)
             ends[off[1:-1][off[1:-1] > 0] - 1] = True
@@ -125,31 +183,28 @@ class ChunkIds:
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with the end id behind each text, and where each text begins."""
-        if len(self.key) > self.remember:
+        if self.held() > self.remember:
             self.forget()
         data, off = self.simpler(data, off)
         start, end, word = kn.find_words(data, off, self.is_word)
         keys, sample, inverse = np.unique(self.hasher.word_hash(data, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.key, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.key)
-        new[inside] = self.key[at[inside]] != keys[inside]
-        if new.any():
-            raw = data.tobytes()
+        slot = self.find(keys)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
             places = zip(start[sample[new]].tolist(), end[sample[new]].tolist(), strict=True)
-            self.learn(keys[new], [raw[a:b].decode() for a, b in places])
-            at = np.searchsorted(self.key, keys)
-        chunk = at[inverse]
-        size = self.size[chunk].astype(np.int64)
+            slot[new] = self.learn(keys[new], [data[a:b].tobytes().decode() for a, b in places])
+        chunk = slot[inverse]
+        all_size, all_begin, all_ids = self.size.used(), self.begin.used(), self.ids.used()
+        size = all_size[chunk].astype(np.int64)
         per_row = np.diff(word)
         text = np.repeat(np.arange(len(per_row)), per_row)
         per_text = np.bincount(text, weights=size, minlength=len(per_row)).astype(np.int64) + 1
         first = np.concatenate([[0], np.cumsum(per_text)])
         out = np.full(int(first[-1]), end_id, np.int32)
         # chunk ids go to consecutive places, moved on by the end ids before
-        source = np.repeat(self.begin[chunk] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        source = np.repeat(all_begin[chunk] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         target = np.arange(len(source)) + np.repeat(text, size)
-        out[target] = self.ids[source]
+        out[target] = all_ids[source]
         return out, first
 
 
@@ -168,7 +223,7 @@ def encoded(spec: str, end_id: int, remember: int):
         cache = store[spec, remember]
         shard = TaskContext.get().partitionId()
         for batch in batches:
-            for row, data, off in kn.slices(batch["text"]):
+            for row, data, off in kn.slices(batch["text"], SLICE):
                 ids, first = cache.encode(data, off, end_id)
                 n = np.diff(first)
                 yield pa.RecordBatch.from_pydict(
@@ -185,6 +240,21 @@ def encoded(spec: str, end_id: int, remember: int):
     return run
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of at most so many bytes while jobs run inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> int:
     """Write the token table of ``docs`` to ``path``; gives the number of files it is laid out for."""
     with open(tokenizer, encoding="utf-8") as file:
@@ -204,7 +274,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
         "parquet.page.row.count.limit": PAGE_ROWS,
     }.items():
         writer = writer.option(option, str(value))
-    writer.parquet(path)
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        writer.parquet(path)
     return files
 
 
