@@ -157,3 +157,57 @@ def heads(docs, threshold=4):
         if doc[0] == least[root]:
             out.setdefault(root, doc)
     return [doc for doc in docs if any(doc is x for x in out.values())]
+
+
+UNIT = re.compile(r"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+
+
+def infill(docs, rate=50):
+    out = []
+    for i, text in docs:
+        text = text or ""
+        units = UNIT.findall(text)
+        digest = hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()
+        h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+        a, b = sorted(x % (len(units) + 1) for x in h[:2])
+        p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+            out.append((i, len(units), "plain", text, None, None))
+        elif h[3] % 100 < 80:
+            out.append((i, len(units), "spm", f"<S>{s}<P>{p}<M>{m}", len(p), len(m)))
+        else:
+            out.append((i, len(units), "psm", f"<P>{p}<S>{s}<M>{m}", len(p), len(m)))
+    return out
+
+
+def trie(rows, heads=9, group=5):
+    """Rows of (conv_id, turn, role, text) to the nodes of their prefix trie, by path."""
+    convs = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            convs[c].append(((turn is not None, turn or 0), digest, (role, text)))
+    own = {c: tuple(x[2] for x in sorted(v)) for c, v in convs.items()}
+    paths = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        base = c - int(math.fmod(c, group))
+        paths[c] = own.get(base, ())[:h] + turns[h:]
+    members = collections.defaultdict(list)
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    kids = collections.Counter(p[:-1] for p in members if p)
+    saved, leaves = collections.Counter(), collections.Counter()
+    for p, m in members.items():
+        size = len(p[-1][1].encode()) if p else 0
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(m) - 1) * size
+            leaves[p[:d]] += not kids[p]
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(paths[c]) == len(p))
+        up = min(members[p[:-1]]) if p else None
+        out.append((min(m), len(p), up, len(m), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out

@@ -117,6 +117,79 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit
 FROM texts LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+INFILL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{UNITS}') AS us,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex
+  FROM documents
+),
+draws AS (
+  SELECT doc_id, text, us, len(us)::BIGINT AS n,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(hex, i, 8))::BIGINT) AS h
+  FROM texts
+),
+cuts AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+      WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM draws
+),
+pieces AS (
+  SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1:b], '') AS middle,
+    array_to_string(us[b + 1:], '') AS suffix
+  FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+TRIE = f"""
+WITH {CRC},
+turns AS (
+  SELECT conv_id, k, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos
+  FROM (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+      sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda h: ord(h)::UBIGINT),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::INT + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+),
+rebuilt AS (
+  SELECT c.conv_id, pos, k, size FROM convs c JOIN turns t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL SELECT c.conv_id, pos, k, size FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE pos > h
+),
+places AS (
+  SELECT conv_id, 0::BIGINT AS d, 0::BIGINT AS size, '' AS path FROM convs
+  UNION ALL SELECT conv_id, row_number() OVER w, size, string_agg(k, '') OVER w FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+),
+longest AS (SELECT conv_id, max(d) AS d FROM places GROUP BY conv_id),
+nodes AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size FROM places GROUP BY d, path),
+ending AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM places JOIN longest USING (conv_id, d) GROUP BY path
+),
+above AS (
+  SELECT nodes.d, nodes.path, p.path AS up FROM nodes JOIN places p ON p.conv_id = nodes.conv_id AND p.d = nodes.d - 1
+),
+kids AS (SELECT up AS path, count(*) AS n FROM above GROUP BY up),
+below AS (
+  SELECT p.path, sum((nodes.n - 1) * nodes.size)::BIGINT AS saved, (count(*) FILTER (WHERE kids.n IS NULL))::BIGINT AS leaves
+  FROM nodes LEFT JOIN kids USING (path) JOIN places p ON p.conv_id = nodes.conv_id AND p.d <= nodes.d GROUP BY p.path
+)
+SELECT nodes.conv_id, nodes.d AS depth, parents.conv_id AS parent_conv_id, nodes.n::BIGINT AS n_convs,
+  coalesce(kids.n, 0)::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nodes JOIN below USING (path) LEFT JOIN kids USING (path) LEFT JOIN ending USING (path)
+  LEFT JOIN above ON above.path = nodes.path LEFT JOIN nodes AS parents ON parents.path = above.up
+"""
+
 ORACLE = {
     "op1_substring_dedup": SUBSTRINGS,
     "op2_backoff_scores": SCORES,
@@ -124,4 +197,6 @@ ORACLE = {
     "op5_quality_rules": QUALITY,
     "op6_benchmark_decontamination": CONTAMINATION,
     "op9_interleaved_shards": shards.ORACLE,
+    "op12_fill_in_middle": INFILL,
+    "op13_prefix_trie": TRIE,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, lm, mixing, pii, quality, shards, simhash, substring, tokenfile, tokens
+from tidewatch.llm import decontaminate, infill, lm, mixing, pii, quality, shards, simhash, substring, tokenfile, tokens, trie
 from tidewatch.llm.oracle import ORACLE
 from tidewatch.session import shared_dir
 
@@ -107,3 +107,22 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     out = pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), PII_KEY)
     replaced = F.aggregate(F.map_values("pii_counts"), F.lit(0).cast("long"), lambda t, x: t + x)
     return out.select("doc_id", "text", replaced.alias("n_replaced"), F.array_join(F.map_keys("pii_counts"), ",").alias("kinds"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("fim_text"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf, "conversations"))
