@@ -211,3 +211,40 @@ def trie(rows, heads=9, group=5):
         up = min(members[p[:-1]]) if p else None
         out.append((min(m), len(p), up, len(m), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
     return out
+
+
+def statistics(text, stops):
+    text = text or ""
+    w = words(text)
+    lines = [x for x in text.split("\n") if GAP.search(x)]
+    ratio = lambda a, b: a / max(b, 1)
+    count = lambda chars: sum(c in chars for c in text)
+    return {
+        "n_words": len(w),
+        "mean_word_chars": ratio(sum(map(len, w)), len(w)),
+        "symbols_per_word": ratio(count("#*$%&<>"), len(w)),
+        "calls_per_word": ratio(count("!"), len(w)),
+        "bars_per_word": ratio(count("|"), len(w)),
+        "capital_share": ratio(sum("A" <= c <= "Z" for c in text), len(text)),
+        "digit_share": ratio(sum("0" <= c <= "9" for c in text), len(text)),
+        "mark_share": ratio(count(".,;:?"), len(text)),
+        "repeated_neighbour_share": ratio(sum(a == b for a, b in zip(w, w[1:], strict=False)), len(w)),
+        "distinct_word_share": ratio(len(set(w)), len(w)),
+        "stop_word_share": ratio(len({x.lower() for x in w} & stops), len(set(w))),
+        "words_per_line": ratio(len(w), len(lines)),
+        "repeated_line_share": ratio(len(lines) - len(set(lines)), len(lines)),
+    }
+
+
+def auc(pairs):
+    """Share of (good, bad) pairs in the right order, of (score, label); ties count half."""
+    ranked = sorted(pairs)
+    at, good, wins = 0, sum(y for _, y in ranked), 0.0
+    bad_before = 0
+    while at < len(ranked):
+        same = [y for s, y in ranked[at:] if s == ranked[at][0]] if at + 1 < len(ranked) and ranked[at + 1][0] == ranked[at][0] else [ranked[at][1]]
+        bad = len(same) - sum(same)
+        wins += sum(same) * (bad_before + bad / 2)
+        bad_before += bad
+        at += len(same)
+    return wins / (good * (len(ranked) - good))

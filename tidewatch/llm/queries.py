@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, infill, lm, mixing, pii, quality, shards, simhash, substring, tokenfile, tokens, trie
+from tidewatch.llm import decontaminate, infill, lm, mixing, pii, quality, ruleset, shards, simhash, substring, tokenfile, tokens, trie
 from tidewatch.llm.oracle import ORACLE
 from tidewatch.session import shared_dir
 
@@ -109,6 +109,11 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "text", replaced.alias("n_replaced"), F.array_join(F.map_keys("pii_counts"), ",").alias("kinds"))
 
 
+@query
+def op11_rule_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    return ruleset.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     out = infill.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
