@@ -10,6 +10,7 @@ from tidewatch.operators import flags as fl
 from tidewatch.operators.features import densify, dedupe_first, merge_target, rollup
 from tidewatch.operators.quantile import exact_quantiles
 from tidewatch.operators.sequence import index_rows, lagged
+from tidewatch.operators import shift
 from tidewatch.operators.shift import circular_shift, xcorr_lag
 
 T0 = pd.Timestamp("2024-01-01")
@@ -206,6 +207,26 @@ def test_xcorr_matches_numpy(spark):
         assert np.isclose(got[key]["corr"], full.max())
 
 
+def test_xcorr_of_long_and_short_series(spark, monkeypatch):
+    """Every series at its own length: short ones in common groups, long ones split, the same lags."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for key, n in [(f"s{i}", int(rng.integers(2, 120))) for i in range(60)] + [("long", 3000), ("pair", 2)]:
+        a = rng.normal(size=n)
+        b = np.roll(a, int(rng.integers(n))) + rng.normal(size=n) * 0.1
+        full = np.correlate(a - a.mean(), b - b.mean(), mode="full")
+        want[key] = (int(np.argmax(full)) - n + 1, full.max())
+        rows += [(key, i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "key string, row_no long, a double, b double")
+    a, b = (df.select("key", "row_no", F.col(c).alias("v")) for c in "ab")
+    for short, pack in ((1 << 14, 1 << 20), (1 << 7, 300), (0, 1)):
+        monkeypatch.setattr(shift, "SHORT_CELLS", short)
+        monkeypatch.setattr(shift, "PACK_CELLS", pack)
+        got = {r.key: r for r in xcorr_lag(a, b, "v", ["key"]).collect()}
+        assert set(got) == set(want)
+        assert all(got[k]["shift"] == lag and np.isclose(got[k]["corr"], corr) for k, (lag, corr) in want.items())
+
+
 def test_xcorr_of_constant_is_none(spark):
     df = spark.createDataFrame([(i, 1.0) for i in range(10)], "row_no long, v double")
     assert xcorr_lag(df, df, "v").take(1) == []

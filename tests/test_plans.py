@@ -12,7 +12,7 @@ from tidewatch.operators.flags import events, flag_streams
 from tidewatch.operators.sequence import lagged
 from tidewatch.config import AuditConfig
 from tidewatch.plans.relations import table
-from tidewatch.sources.lines import file_digests
+from tidewatch.sources.files import file_digests
 
 
 def plan(df):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import AuditConfig, ContractError
 from tidewatch.functions.digest import table_digest
+from tidewatch.sources.files import file_digests
 from tidewatch.functions.labels import PLAYBOOK, action_col
 from tidewatch.functions.text import blank_pairs, float_token
 from tidewatch.operators import diff, faults
@@ -52,7 +53,7 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
 
 def test_file_digest(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"\x00\x01" * 999)
-    row = src.file_digests(spark, str(tmp_path / "x.bin")).first()
+    row = file_digests(spark, str(tmp_path / "x.bin")).first()
     assert row["bytes"] == 1998 and row["sha256"] == hashlib.sha256(b"\x00\x01" * 999).hexdigest()
 
 

@@ -19,7 +19,8 @@ from tidewatch.plans.audit import run_audit
 from tidewatch.plans.queries import replay
 from tidewatch.sources import lines as src
 from tidewatch.sources.synthetic import synthetic_series
-from tidewatch.streaming.decide import flag_stream
+from tidewatch.streaming import windows
+from tidewatch.streaming.flags import FlagSteps
 from tidewatch.streaming.windows import hourly_rollup
 
 
@@ -106,11 +107,15 @@ def test_order_of_reading_is_claimed_only_when_looked_at(spark):
     assert looked.monotonic is False and looked.status == "FAIL"
 
 
-def test_stream_takes_tau_row_by_row_and_keeps_equal_times(spark):
+def test_stream_takes_tau_row_by_row_and_keeps_equal_times(spark, tmp_path):
     _, df = frame(spark, 200, 9, keys=("a",))
     df = df.withColumn("tau", F.when(F.col("row_no") % 50 < 25, 0.9).otherwise(0.5)).select("k", "ts", "score", "tau")
-    out = replay(df, ["2024-01-03"], lambda s: flag_stream(s, AuditConfig(), ["k"]), "t-tau")
-    twice = replay(df.union(df), ["2024-01-03"], lambda s: flag_stream(s, AuditConfig(), ["k"]), "t-twice")
+
+    def flags_of(rows, folder):
+        step = FlagSteps(AuditConfig(), ["k"], folder)
+        return windows.replay(rows, ["2024-01-03"], lambda s: s, folder, step=step, schema=step.schema(rows.schema))
+
+    out, twice = flags_of(df, f"{tmp_path}/tau"), flags_of(df.union(df), f"{tmp_path}/twice")
     assert out.count() == 200 and out.where("flag is null").isEmpty()
     assert twice.count() == 400 and twice.where("flag is null").isEmpty()
     rows = df.orderBy("ts").collect()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LANES = 4
-LANE_HEX = 15
+from tidewatch.session import stage_table
+
+#: rows that a leaf of a digest tree holds on average, at most
+LEAF_ROWS = 1024
+MOST_LEVELS = 6
 
 
 def json_digest(cols: Sequence[str]) -> Column:
@@ -31,42 +35,100 @@ def short_id(prefix: str, digests: Sequence[Column]) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *digests), 256), 1, 16))
 
 
-def lane_sums(text: Column) -> list[Column]:
-    """Aggregates whose values do not depend on row order or partitioning.
+def tree_levels(n: Column) -> Column:
+    """Levels of nodes above the leaves of a table of ``n`` rows: its leaves hold ``LEAF_ROWS`` rows or fewer on average."""
+    out = F.lit(0)
+    for level in range(MOST_LEVELS):
+        out = F.when(n > LEAF_ROWS * 256**level, level + 1).otherwise(out)
+    return out
+
+
+def _node(kind: str, parts: Column) -> Column:
+    """Digest of a node: its parts in order, and whether it is a leaf."""
+    return F.sha2(F.concat(F.lit(f"{kind}|"), F.array_join(F.sort_array(F.collect_list(parts)), ",")), 256)
+
 
-    Two salted SHA-256 values per row are cut into 60-bit numbers and summed, so
-    a table of any size is digested by one map-side combined aggregation: no sort
-    and no group to collect.
+def digest_tree(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, node, n_rows, sha``: a Merkle tree over the rows of each key (or of the table).
+
+    Rows are told by the SHA-256 of their fields.  Equal rows are counted, which combines before the
+    shuffle, and a leaf is the digest of the sorted row digests that begin alike, with their counts.  A
+    node is the digest of up to 256 nodes below it, named by the hex digits that its rows' digests
+    begin with; the root is named by none.  Row digests are spread evenly, so a leaf holds a bounded
+    number of different rows however the table is keyed, ordered or partitioned, and a tree depends on
+    nothing but the rows of its key.  Two tables of one root hold the same rows, or someone has found
+    two texts of one SHA-256.
+    """
+    cols = [c for c in (cols or df.columns) if c in df.columns and c not in keys]
+    key = F.struct(*(list(keys) or [F.lit(0).alias("none")])).alias("_key")
+    sizes = stage_table(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "digest-sizes")
+    sizes = sizes.select("_key", tree_levels(F.col("_n")).alias("_levels"))
+    rows = df.select(key, F.sha2(row_text(cols), 256).alias("sha"))
+    rows = rows.groupBy("_key", "sha").agg(F.count(F.lit(1)).alias("c"))
+    leaf = F.substring("sha", F.lit(1), 2 * F.col("_levels"))
+    part = F.concat("sha", F.lit(":"), F.col("c").cast("string"))
+    leaves = rows.join(sizes, "_key").groupBy("_key", leaf.alias("node")).agg(F.sum("c").alias("n_rows"), _node("leaf", part).alias("sha"))
+    leaves = stage_table(leaves, "digest-leaves")
+    every = here = leaves
+    for level in range(sizes.agg(F.max("_levels")).first()[0] or 0, 0, -1):
+        here = here.where(F.length("node") == 2 * level)
+        above = F.substring("node", 1, 2 * (level - 1)).alias("node")
+        part = F.concat("node", F.lit(":"), "sha")
+        here = here.groupBy("_key", above).agg(F.sum("n_rows").alias("n_rows"), _node("node", part).alias("sha"))
+        here = stage_table(here, "digest-nodes")
+        every = every.unionByName(here)
+        # keys with smaller trees join at the level of their leaves
+        here = here.unionByName(leaves.where(F.length("node") == 2 * (level - 1)))
+    return every.select(*[F.col("_key").getField(c).alias(c) for c in keys], "node", "n_rows", "sha")
+
+
+def changed_leaves(before: DataFrame, now: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, node, rows_before, rows_now`` of the leaves in which two trees differ.
+
+    Where one table has outgrown the leaves of the other, nodes of the smaller tree's leaves are compared.
     """
-    sums = []
-    for salt in ("a", "b"):
-        h = F.sha2(F.concat(F.lit(salt), text), 256)
-        for i in range(LANES):
-            piece = F.conv(F.substring(h, i * LANE_HEX + 1, LANE_HEX), 16, 10).cast("decimal(20,0)")
-            sums.append(F.sum(piece))
-    return sums
+    key = F.struct(*(list(keys) or [F.lit(0).alias("none")])).alias("_key")
+    a, b = (t.select(key, "node", "n_rows", "sha") for t in (before, now))
+    size = lambda t, name: t.groupBy("_key").agg(F.max(F.length("node")).alias(name))
+    both = size(a, "a").join(size(b, "b"), "_key", "full")
+    depth = both.select("_key", F.least("a", "b").alias("_depth"))
+    at = lambda t, name: t.join(depth, "_key").where(F.length("node") == F.col("_depth")).select(
+        "_key", "node", F.col("n_rows").alias(f"rows_{name}"), F.col("sha").alias(f"_{name}")
+    )
+    met = at(a, "before").join(at(b, "now"), ["_key", "node"], "full").where(~F.col("_before").eqNullSafe(F.col("_now")))
+    names = [F.col("_key").getField(c).alias(c) for c in keys]
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_before", "rows_now")]
+    return met.select(*names, "node", *counts)
+
+
+def changed_rows(before: DataFrame, now: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Rows of one table only, with ``side`` (before, now) and how often they are there more.
+
+    Only rows of leaves that differ are compared.
+    """
+    cols = list(cols or before.columns)
+    leaves = changed_leaves(digest_tree(before, cols), digest_tree(now, cols)).select("node")
+    depth = leaves.agg(F.max(F.length("node"))).first()[0]
+    if depth is None:
+        return before.limit(0).select(*cols, F.lit("before").alias("side"), F.lit(0).cast("long").alias("times"))
+    marked = lambda t, side: t.select(*cols, F.lit(side).alias("_s"))
+    rows = marked(before, 1).unionByName(marked(now, -1))
+    rows = rows.withColumn("node", F.substring(F.sha2(row_text(cols), 256), 1, depth)).join(leaves, "node", "left_semi")
+    surplus = rows.groupBy(*cols).agg(F.sum("_s").alias("_s")).where("_s <> 0")
+    side = F.when(F.col("_s") > 0, "before").otherwise("now")
+    return surplus.select(*cols, side.alias("side"), F.abs("_s").alias("times"))
 
 
 def table_digest(
     df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = (), out: str = "table_sha"
 ) -> DataFrame:
-    """One digest per key (or table): contents, row count, columns, types, nulls."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), digest_agg(df, cols, keys).alias(out))
-
-
-def digest_agg(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = ()) -> Column:
-    """The digest of ``table_digest`` as an aggregate, to go with others in one scan."""
+    """One digest per key (or table): contents, row count, columns and types."""
+    keys = list(keys)
     cols = [c for c in (cols or df.columns) if c in df.columns and c not in keys]
     types = json.dumps([[c, df.schema[c].dataType.simpleString()] for c in cols], separators=(",", ":"))
-    sums = lane_sums(row_text(cols))
-    nulls = [F.count_if(F.col(c).isNull()).cast("string") for c in cols]
-    return F.sha2(
-        F.concat_ws(
-            "|",
-            F.count(F.lit(1)).cast("string"),
-            *[F.coalesce(s.cast("string"), F.lit("0")) for s in sums],
-            F.lit(types),
-            *nulls,
-        ),
-        256,
-    )
+    root = digest_tree(df, cols, keys).where("node = ''")
+    if not keys:
+        none = hashlib.sha256(b"leaf|").hexdigest()
+        root = root.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("sha"), F.lit(none)).alias("sha"))
+    whole = F.concat_ws("|", F.col("n_rows").cast("string"), "sha", F.lit(types))
+    return root.select(*keys, "n_rows", F.sha2(whole, 256).alias(out))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import __version__
-from tidewatch.functions.digest import digest_agg, table_digest
+from tidewatch.functions.digest import changed_rows, table_digest
 from tidewatch.operators.certificate import environment
 from tidewatch.operators.diff import (
     blank_fields,
@@ -74,16 +74,16 @@ class Measured:
 def measure(lines: DataFrame, name: str) -> Measured:
     lines = stage_table(lines.select("line_no", "line"), f"lines-{name}")
     row = lines.agg(
-        digest_agg(lines).alias("sha"),
         header_count().alias("head"),
         F.count(F.lit(1)).alias("n"),
         blank_fields().alias("blanks"),
     ).first()
     header = lines.where(F.col("line_no") < row["head"])
-    sha = header_digest(lines, header=header).first()["header_sha"]
+    header_sha = header_digest(lines, header=header).first()["header_sha"]
+    sha = table_digest(lines).first()["table_sha"]
     last = header.where(F.col("line_no") == row["head"] - 1).select("line").first()
     names = [c.strip() for c in last["line"].split(",")] if last else []
-    return Measured(lines, row["sha"], row["head"], row["n"], sha, row["blanks"], names)
+    return Measured(lines, sha, row["head"], row["n"], header_sha, row["blanks"], names)
 
 
 class IntegrityAudit:
@@ -205,6 +205,10 @@ class IntegrityAudit:
         schema = ", ".join(f"{k} boolean" for k in checks)
         return self.spark.createDataFrame([tuple(checks.values())], schema)
 
+    def changed_lines(self, name: str, current: DataFrame) -> DataFrame:
+        """``line_no, line, side, times``: where a text that no longer verifies differs from its baseline."""
+        return changed_rows(self.base[name].lines, current.select("line_no", "line"))
+
     @staticmethod
     def ledger_entry(cert: DataFrame) -> DataFrame:
         return cert.select(

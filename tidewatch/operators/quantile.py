@@ -1,17 +1,72 @@
-"""Exact interpolated quantiles whose cost does not sit in one task per group."""
+"""Exact interpolated quantiles by radix selection.
+
+A wanted quantile lies between two ranks of its group.  Values are numbered by *cells* that
+keep their order: the first digit of a cell is the value's sign, power of two and 64th of it, the
+next ones are 65,536ths of the cell before.  Counting rows per cell combines before the shuffle,
+a running sum over the cells of a group (at most a few hundred thousand, whatever the rows) shows
+in which cells the wanted ranks lie, and only the rows of those cells are looked at again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.sequence import attach, count_below
 from tidewatch.session import stage_table
 
+#: rows in a cell beyond which it is cut finer before its values are counted
 ONE_RUN = 100_000
-CUTS = [i / 256 for i in range(1, 256)]
+#: cells of a power of two, and of a cell that is cut again
+FIRST = 64
+AGAIN = 65_536
+#: digits of the finest cells; beyond them a cell holds a few thousand doubles at most
+DIGITS = 3
+
+
+def digits(v: Column) -> list[Column]:
+    """The digits of a value's cell, each non-decreasing in the value among equal digits before.
+
+    The power of two comes from a logarithm, which may be off by one next to a power.  It is off
+    the same way for all values up to there, so the order holds, and no more is needed.
+    """
+    size = F.abs(v)
+    sign = F.signum(v)
+    power = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1100)), F.lit(1100)).cast("int")
+    # two factors, as one alone may leave the doubles
+    half = F.pow(F.lit(2.0), power * -0.5)
+    place = F.least((size * half * half - 1.0) * FIRST, F.lit(float(2 * FIRST)))
+    out, cells = [], FIRST
+    for no in range(DIGITS):
+        digit = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(cells - 1))
+        whole = (power + 1101) * FIRST + digit if no == 0 else digit
+        out.append(F.when(v == 0, F.lit(0)).otherwise(sign * whole).cast("long"))
+        place, cells = (place - digit) * AGAIN, AGAIN
+    return out
+
+
+def wanted_ranks(n: Column, qs: Sequence[float]) -> Column:
+    """The ranks on both sides of every quantile, from 0."""
+    at = F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q: q * (n - 1))
+    return F.array_distinct(F.concat(F.transform(at, lambda r: F.floor(r)), F.transform(at, lambda r: F.ceil(r))))
+
+
+def _join(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of the given cells; a null group is a group."""
+    marked = cells.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in cells.columns if c not in by])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & rows[c].eqNullSafe(marked[f"_by{i}"])
+    return rows.join(marked, same).drop(*[f"_by{i}" for i in range(len(by))])
+
+
+def _holding(cells: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Cells that hold wanted ranks: ``_off`` rows come before one, ``_c`` are in it, ``_ranks`` lie there."""
+    run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    off = F.col("_off") + F.coalesce(F.sum("_c").over(run), F.lit(0))
+    there = lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_c"))
+    return cells.withColumn("_off", off).withColumn("_ranks", F.filter("_ranks", there)).where(F.size("_ranks") > 0)
 
 
 def exact_quantiles(
@@ -24,83 +79,49 @@ def exact_quantiles(
 ) -> DataFrame:
     """``(groups..., n, quantiles array<double>)``, linear interpolation.
 
-    Equal values are counted first, so copies collapse before the shuffle, and the
-    counts are staged.  When they are few (checked), the built-in aggregate takes
-    them.  Beyond that, groups with more than ``one_run`` distinct values are cut at
-    approximate percentiles; every part is counted exactly, and only parts holding a
-    wanted rank are sorted.  Both interpolate by the same formula, so the numbers are
-    equal bit by bit and the size only decides how work is spread.  Null and NaN values are ignored.
+    The values are staged once.  While a cell with a wanted rank has more than ``one_run`` rows
+    and there are digits left, its rows are counted by one more digit; then the distinct values of
+    the wanted cells are counted and the ranks read off.  Selection is exact and there is one formula,
+    so ``one_run`` never shows in a result.  A quantile between two equal values is that value.  Null
+    and NaN values are ignored.
     """
     groups = list(groups)
+    qs = [float(q) for q in qs]
     v = F.col(value).cast("double")
-    counted = (
-        df.where(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*groups, v.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    counted = stage_table(counted, "value-counts")
-    if counted.count() <= one_run:
-        return counted.groupBy(*groups).agg(
-            F.sum("_c").alias("n"),
-            F.percentile("_v", [float(q) for q in qs], F.col("_c")).alias(out),
-        )
-    stats = counted.groupBy(*groups).agg(
-        F.sum("_c").alias("n"),
-        F.count(F.lit(1)).alias("_nd"),
-        F.percentile_approx("_v", CUTS, 10_000).alias("_cuts"),
-    )
-    cuts = F.when(F.col("_nd") > one_run, F.array_distinct("_cuts")).otherwise(
-        F.array().cast("array<double>")
-    )
-    parts = attach(counted, stats.select(*groups, cuts.alias("_cuts")), groups)
-    parts = parts.select(
-        *groups, "_v", "_c", count_below("_cuts", F.col("_v"), len(CUTS)).alias("_p")
-    )
-    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = []
-    for q in qs:
-        at = F.lit(float(q)) * (F.col("n") - 1)
-        ranks += [F.floor(at), F.ceil(at)]
-    tally = (
-        parts.groupBy(*groups, "_p")
-        .agg(F.sum("_c").alias("_pc"))
-        .withColumn("_off", F.coalesce(F.sum("_pc").over(before), F.lit(0)))
-    )
-    wanted = (
-        attach(tally, stats.select(*groups, "n"), groups)
-        .withColumn("_ranks", F.array_distinct(F.array(*ranks)))
-        .withColumn(
-            "_ranks",
-            F.filter("_ranks", lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_pc"))),
-        )
-        .where(F.size("_ranks") > 0)
-        .select(*groups, "_p", "_off", "_ranks", "n")
-    )
-    run = Window.partitionBy(*groups, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hits = (
-        parts.join(wanted, [*groups, "_p"])
-        .withColumn("_end", F.col("_off") + F.sum("_c").over(run))
-        .withColumn(
-            "_hit",
-            F.filter(
-                "_ranks", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_c"))
-            ),
+    values = stage_table(df.select(*groups, v.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)"), "values")
+    names = [f"_d{i}" for i in range(DIGITS)]
+    digit = dict(zip(names, digits(F.col("_v"))))
+
+    by = [*groups, names[0]]
+    counted = values.groupBy(*groups, digit[names[0]].alias(names[0])).agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumn("n", F.sum("_c").over(Window.partitionBy(*groups)))
+    counted = counted.withColumns({"_off": F.lit(0).cast("long"), "_ranks": wanted_ranks(F.col("n"), qs)})
+    cells = stage_table(_holding(counted, groups, names[0]), "cells")
+    for name in names[1:]:
+        if (cells.agg(F.max("_c")).first()[0] or 0) <= one_run:
+            break
+        rows = _join(values.withColumns({c: digit[c] for c in by if c in digit}), cells.drop("_c"), by)
+        finer = rows.groupBy(*by, digit[name].alias(name)).agg(
+            F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("n", "_off", "_ranks")]
         )
-        .where(F.size("_hit") > 0)
-        .select(*groups, "n", "_v", F.explode("_hit").alias("_rank"))
+        cells = stage_table(_holding(finer, by, name), "cells")
+        by = [*by, name]
+
+    rows = _join(values.withColumns({c: digit[c] for c in by if c in digit}), cells.drop("_c"), by)
+    distinct = rows.groupBy(*by, "_v").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("n", "_off", "_ranks")]
     )
+    hits = _holding(distinct, by, "_v")
     # at most two ranks per quantile reach this map
-    found = hits.groupBy(*groups).agg(
-        F.first("n").alias("n"),
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
-    )
-    values = []
-    for q in qs:
-        at = F.lit(float(q)) * (F.col("n") - 1)
-        lo, hi = F.col("_at")[F.floor(at)], F.col("_at")[F.ceil(at)]
-        between = (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi
-        values.append(F.when(F.floor(at) == F.ceil(at), lo).otherwise(between))
-    return found.select(*groups, "n", F.array(*values).alias(out))
+    pairs = F.flatten(F.collect_list(F.transform("_ranks", lambda r: F.struct(r.alias("r"), F.col("_v").alias("v")))))
+    found = hits.groupBy(*groups).agg(F.first("n").alias("n"), F.map_from_entries(pairs).alias("_at"))
+
+    def between(q: Column) -> Column:
+        at = q * (F.col("n") - 1)
+        low, high = F.col("_at")[F.floor(at)], F.col("_at")[F.ceil(at)]
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return found.select(*groups, "n", F.transform(F.array(*[F.lit(q) for q in qs]), between).alias(out))
 
 
 def quantile_columns(

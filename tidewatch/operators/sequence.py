@@ -14,7 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import stage_table
+
 BLOCK_ROWS = 8192
+#: rows that a partition of ordered rows is laid out for
+PARTITION_ROWS = 500_000
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -27,20 +31,6 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inn
     )
 
 
-def count_below(cuts: str, value: Column, most: int) -> Column:
-    """How many of the sorted ``cuts`` (an array of up to ``most``) are below a value.
-
-    Binary search: a row costs about ten steps, not one per cut.
-    """
-    steps = [1 << b for b in reversed(range(most.bit_length()))]
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda n, s: F.when(F.get(F.col(cuts), n + s - 1) < value, n + s).otherwise(n),
-    )
-    return F.when(F.size(cuts) == 0, 0).otherwise(found)
-
-
 def micros(ts: str | Column) -> Column:
     col = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(col)
@@ -52,43 +42,29 @@ def index_rows(
     order: str,
     span: int | None = None,
     out: str = "row_no",
-    bound: int = 100_000,
+    bound: int = PARTITION_ROWS,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Dense row number from 0 per key, in the order of a column unique per key.
-
-    Values are cut into ranges, ranges are counted (map-side combined), counts are
-    prefix-summed, and rows are ranked inside their range only.  ``span`` is the
-    range width in the units of ``order`` (microseconds for timestamps) and suits
-    values on a grid.  When it is not given, keys with more than ``bound`` rows are
-    cut at approximate percentiles into 1024 ranges, so sparse or clustered values
-    do as well.  The ranges only spread the work: the numbers are exact.
+    """Dense row number from 0 per key, in the order of a column; ``ties`` order rows that are equal in it.
+
+    Values on a grid: ``span`` is the width of a range in the units of ``order`` (microseconds for
+    timestamps).  Ranges are counted (map-side combined), counts are prefix-summed, and rows are ranked
+    inside their range only.  Other values, sparse or clustered: see ``number_rows``, in partitions of about
+    ``bound`` rows.
     """
     keys = list(keys)
+    if span is None:
+        return number_rows(df, keys, [order, *ties], out, bound)
     is_ts = df.schema[order].dataType.typeName().startswith("timestamp")
     pos = micros(F.col(order).cast("timestamp")) if is_ts else F.col(order).cast("bigint")
-    if span is None:
-        cuts = [i / 1024 for i in range(1, 1024)]
-        stats = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile_approx(pos, cuts, 10_000).alias("_cuts")
-        )
-        stats = stats.select(
-            *keys,
-            F.when(F.col("_n") > bound, F.array_distinct("_cuts"))
-            .otherwise(F.array().cast("array<bigint>"))
-            .alias("_cuts"),
-        )
-        d = attach(df, stats, keys).withColumn("_pos", pos)
-        d = d.withColumn("_vb", count_below("_cuts", F.col("_pos"), len(cuts)))
-        d = d.drop("_pos", "_cuts")
-    else:
-        d = df.withColumn("_vb", F.floor(pos / F.lit(span)))
+    d = df.withColumn("_vb", F.floor(pos / F.lit(span)))
     over = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         d.groupBy(*keys, "_vb")
         .agg(F.count(F.lit(1)).alias("_c"))
         .select(*keys, "_vb", F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_off"))
     )
-    rank = Window.partitionBy(*keys, "_vb").orderBy(order)
+    rank = Window.partitionBy(*keys, "_vb").orderBy(order, *ties)
     return (
         d.join(offsets, [*keys, "_vb"])
         .withColumn(out, F.row_number().over(rank) - 1 + F.col("_off"))
@@ -96,6 +72,31 @@ def index_rows(
     )
 
 
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no", bound: int = PARTITION_ROWS
+) -> DataFrame:
+    """Dense row number from 0 per key, in the order of some columns.
+
+    Rows are partitioned by ranges of (keys, order), as many as the rows ask for, and sorted, so a hot key
+    spreads over many partitions and small keys share one.  A row's place in its partition, less that of its
+    key's first row there, plus the rows of the key in the partitions before, is its number: one small row per
+    key and partition is all that is summed up.  The ordered rows are staged, as their places have to hold.
+    """
+    keys, by = list(keys), [*keys, *order]
+    least = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(least, -(-df.count() // bound))
+    placed = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    placed = placed.withColumns(
+        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    placed = stage_table(placed, "ordered")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
+    offset = F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first")
+    offsets = firsts.select(*keys, "_part", offset.alias("_off"))
+    return placed.join(offsets, [*keys, "_part"]).withColumn(out, F.col("_at") + F.col("_off")).drop("_part", "_at", "_off")
+
+
 def index_grid(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int, out: str = "row_no") -> DataFrame:
     """Row number of a gap-free series: plain arithmetic on the first timestamp."""
     first = df.groupBy(*keys).agg(F.min(F.unix_seconds(ts)).alias("_t0"))

@@ -3,69 +3,80 @@
 Comparing every shift row by row needs n*n pairs.  The correlation over all shifts
 is a product in Fourier space, and a transform of length n1*n2 splits into n2
 transforms of length n1 and n1 of length n2.  So two shuffles with groups of about
-the square root of the series length replace the pair join.
+the square root of the series length replace the pair join.  Short series are
+transformed whole, many of one length class in a group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.sequence import attach
 from tidewatch.session import spread, stage_table
 
+#: cells (twice the rows, to a power of two) up to which a series is transformed whole; cells of a group of such series
+SHORT_CELLS = 1 << 14
+PACK_CELLS = 1 << 20
 
-def _pass(df: DataFrame, keys: list[str], length: int, turn: int, cols: list[str]) -> DataFrame:
-    """Transform each group ``g`` over its positions ``p``; absent positions are 0."""
+
+def _sizes(n: Column) -> dict[str, Column]:
+    """Both factors of the transform of a series of ``n`` rows: together a power of two of at least twice its length."""
+    bits = F.greatest(F.lit(2), F.ceil(F.log2(2.0 * F.greatest(n, F.lit(1)))).cast("int"))
+    half = F.floor(bits / 2).cast("int")
+    return {"_n1": F.pow(F.lit(2.0), half).cast("long"), "_n2": F.pow(F.lit(2.0), bits - half).cast("long")}
+
+
+def _pass(df: DataFrame, keys: list[str], length: str, spins: bool, cols: list[str]) -> DataFrame:
+    """Transform each group ``g`` over its positions ``p``, as many as the series' ``length`` says; absent positions are 0."""
     parts = [f"{c}_{x}" for c in cols for x in ("re", "im")]
+    whole = ["_n1", "_n2", "g", "p"]
     schema = T.StructType(
         [df.schema[k] for k in keys]
-        + [T.StructField("g", T.LongType()), T.StructField("p", T.LongType())]
+        + [T.StructField(c, T.LongType()) for c in whole]
         + [T.StructField(c, T.DoubleType()) for c in parts]
     )
 
     def transform(rows: pa.Table) -> pa.Table:
         at = rows["p"].to_numpy()
-        g = rows["g"][0].as_py()
-        spin = np.exp(-2j * np.pi * g * np.arange(length) / turn) if turn else 1.0
-        out = {k: pa.repeat(rows[k][0], length) for k in keys}
-        out["g"], out["p"] = np.full(length, g), np.arange(length)
+        g, n1, n2 = (rows[c][0].as_py() for c in ("g", "_n1", "_n2"))
+        n = rows[length][0].as_py()
+        spin = np.exp(-2j * np.pi * g * np.arange(n) / (n1 * n2)) if spins else 1.0
+        out = {k: pa.repeat(rows[k][0], n) for k in keys}
+        out |= {"_n1": np.full(n, n1), "_n2": np.full(n, n2), "g": np.full(n, g), "p": np.arange(n)}
         for c in cols:
-            z = np.zeros(length, dtype=complex)
+            z = np.zeros(n, dtype=complex)
             z[at] = rows[f"{c}_re"].to_numpy() + 1j * rows[f"{c}_im"].to_numpy()
             z = np.fft.fft(z) * spin
             out[f"{c}_re"], out[f"{c}_im"] = z.real, z.imag
         return pa.table(out)
 
-    d = spread(df.select(*keys, "g", "p", *parts), *keys, "g")
+    d = spread(df.select(*keys, *whole, *parts), *keys, "g")
     return d.groupBy(*keys, "g").applyInArrow(transform, schema)
 
 
-def _transform(df: DataFrame, keys: list[str], n1: int, n2: int, cols: list[str]) -> DataFrame:
+def _transform(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Fourier transform over ``j``; gives the same columns over frequency ``j``."""
-    first = df.withColumns({"g": F.col("j") % n2, "p": F.floor(F.col("j") / n2)})
-    mid = _pass(first, keys, n1, n1 * n2, cols)
+    first = df.withColumns({"g": F.col("j") % F.col("_n2"), "p": F.floor(F.col("j") / F.col("_n2"))})
+    mid = _pass(first, keys, "_n1", True, cols)
     rest = [c for c in mid.columns if c not in ("g", "p")]
     mid = mid.select(F.col("p").alias("g"), F.col("g").alias("p"), *rest)
-    done = _pass(mid, keys, n2, 0, cols)
-    return done.withColumn("j", F.col("g") + F.col("p") * n1).drop("g", "p")
+    done = _pass(mid, keys, "_n2", False, cols)
+    return done.withColumn("j", F.col("g") + F.col("p") * F.col("_n1")).drop("g", "p")
 
 
-def correlate(df: DataFrame, longest: int, keys: Sequence[str] = ()) -> DataFrame:
+def correlate(df: DataFrame, keys: Sequence[str] = (), length: str = "n") -> DataFrame:
     """``keys, lag, corr`` with ``corr(lag) = sum_i a[i+lag] * b[i]`` for every lag.
 
-    Input: ``keys, j`` (position from 0) and values ``a``, ``b``.
+    Input: ``keys, j`` (position from 0), values ``a``, ``b``, and the rows of the series in ``length``: each
+    series is transformed at its own length, not at that of the longest.
     """
     keys = list(keys)
-    bits = max(2, math.ceil(math.log2(max(2 * longest, 2))))
-    n1, n2 = 1 << (bits // 2), 1 << (bits - bits // 2)
-    total = n1 * n2
     zero = F.lit(0.0)
     z = df.select(
         *keys,
@@ -74,19 +85,52 @@ def correlate(df: DataFrame, longest: int, keys: Sequence[str] = ()) -> DataFram
         zero.alias("a_im"),
         F.col("b").cast("double").alias("b_re"),
         zero.alias("b_im"),
+        *[size.alias(c) for c, size in _sizes(F.col(length)).items()],
     )
-    s = _transform(z, keys, n1, n2, ["a", "b"])
+    s = _transform(z, keys, ["a", "b"])
     product = s.select(
         *keys,
+        "_n1",
+        "_n2",
         "j",
         (F.col("a_re") * F.col("b_re") + F.col("a_im") * F.col("b_im")).alias("c_re"),
         (F.col("a_re") * F.col("b_im") - F.col("a_im") * F.col("b_re")).alias("c_im"),
     )
-    back = _transform(product, keys, n1, n2, ["c"])
-    lag = F.when(F.col("j") < total // 2, F.col("j")).otherwise(F.col("j") - total)
+    back = _transform(product, keys, ["c"])
+    total = F.col("_n1") * F.col("_n2")
+    lag = F.when(F.col("j") < total / 2, F.col("j")).otherwise(F.col("j") - total)
     return back.select(*keys, lag.alias("lag"), (F.col("c_re") / total).alias("corr"))
 
 
+def _packed_lags(df: DataFrame, keys: list[str], tie: float) -> DataFrame:
+    """``keys, shift, corr`` of short series: many of one length class are the rows of one matrix.
+
+    Input: ``keys, j, a, b, _na, _norm`` and ``_cells`` (a power of two), ``_pack`` (a bounded share of a class).
+    """
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("shift", T.LongType()), T.StructField("corr", T.DoubleType())])
+
+    def best(rows: pa.Table) -> pa.Table:
+        cells = rows["_cells"][0].as_py()
+        series = rows.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(rows), np.int64)
+        _, first = np.unique(series, return_index=True)
+        a, b = np.zeros((len(first), cells)), np.zeros((len(first), cells))
+        at = rows["j"].to_numpy()
+        a[series, at], b[series, at] = rows["a"].to_numpy(), rows["b"].to_numpy()
+        corr = np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), cells)
+        lag = np.arange(cells)
+        lag = np.where(lag < cells // 2, lag, lag - cells)
+        order = np.argsort(lag, kind="stable")
+        lag, corr = lag[order], corr[:, order]
+        corr[np.abs(lag) >= rows["_na"].to_numpy()[first][:, None]] = -np.inf
+        top = corr.max(axis=1)
+        near = corr >= (top - tie * rows["_norm"].to_numpy()[first])[:, None]
+        out = {k: rows[k].take(first) for k in keys}
+        return pa.table(out | {"shift": lag[near.argmax(axis=1)].astype(np.int64), "corr": top})
+
+    by = ["_cells", "_pack"]
+    return spread(df, *by).groupBy(*by).applyInArrow(best, schema)
+
+
 def xcorr_lag(
     base: DataFrame,
     current: DataFrame,
@@ -113,18 +157,28 @@ def xcorr_lag(
         F.sqrt(F.var_pop("a") * F.var_pop("b")).alias("_sd"),
     )
     stats = stats.where((F.col("_na") == F.col("_nb")) & (F.col("_na") > 1) & (F.col("_sd") > 0))
-    longest = stats.agg(F.max("_na")).first()[0]
-    ready = attach(both, stats, keys).where(F.col("_na").isNotNull())
-    centred = ready.select(
-        *keys, "j", (F.col("a") - F.col("_ma")).alias("a"), (F.col("b") - F.col("_mb")).alias("b")
+    sizes = _sizes(F.col("_na"))
+    stats = stats.withColumns({"_norm": F.col("_sd") * F.col("_na"), "_cells": sizes["_n1"] * sizes["_n2"]})
+    stats = stage_table(stats, "shift-stats")
+    # a class of short series: as many to a group as fill a matrix of PACK_CELLS; some dozen classes at most
+    short = F.col("_cells") <= SHORT_CELLS
+    packs = {r["_cells"]: -(-r["count"] * r["_cells"] // PACK_CELLS) for r in stats.where(short).groupBy("_cells").count().collect()}
+    ready = attach(both, stats, keys).where(F.col("_na").isNotNull()).select(
+        *keys, "j", (F.col("a") - F.col("_ma")).alias("a"), (F.col("b") - F.col("_mb")).alias("b"), "_na", "_norm", "_cells"
     )
-    corr = stage_table(correlate(centred, longest or 1, keys), "shift-correlation")
-    norm = stats.select(*keys, "_na", (F.col("_sd") * F.col("_na")).alias("_norm"))
-    corr = attach(corr, norm, keys).where(F.abs("lag") < F.col("_na"))
-    best = corr.groupBy(*keys).agg(F.max("corr").alias("_max"))
-    near = attach(corr, best, keys).where(F.col("corr") >= F.col("_max") - tie * F.col("_norm"))
-    out = near.groupBy(*keys).agg(F.min("lag").alias("shift"), F.max("corr").alias("corr"))
-    return out.where(F.col("shift").isNotNull())
+    found = []
+    if packs:
+        share = F.coalesce(*[F.when(F.col("_cells") == cells, n) for cells, n in packs.items()])
+        pack = F.pmod(F.xxhash64(*keys) if keys else F.lit(0).cast("long"), share.cast("long"))
+        found.append(_packed_lags(ready.where(short).withColumn("_pack", pack), keys, tie))
+    if not packs or not stats.where(~short).isEmpty():
+        corr = stage_table(correlate(ready.where(~short), keys, "_na"), "shift-correlation")
+        corr = attach(corr, stats.where(~short).select(*keys, "_na", "_norm"), keys).where(F.abs("lag") < F.col("_na"))
+        best = corr.groupBy(*keys).agg(F.max("corr").alias("_max"))
+        near = attach(corr, best, keys).where(F.col("corr") >= F.col("_max") - tie * F.col("_norm"))
+        out = near.groupBy(*keys).agg(F.min("lag").alias("shift"), F.max("corr").alias("corr"))
+        found.append(out.where(F.col("shift").isNotNull()))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", order: str = "row_no") -> DataFrame:
@@ -150,7 +204,7 @@ def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", orde
     a, b = stage_table(a, "rotate-a"), stage_table(b, "rotate-b")
     twice = b.select(F.explode(F.array(F.col("j"), F.col("j") + n)).alias("j"), F.col("v").alias("a"))
     pairs = twice.join(a.select("j", F.col("v").alias("b")), "j", "left").na.fill(0.0, ["b"])
-    corr = correlate(pairs, 2 * n)
+    corr = correlate(pairs.withColumn("n", F.lit(2 * n)))
     tol = max(1.0, energy * 1e-12)
     fits = stage_table(
         corr.where(F.col("lag").between(0, n - 1) & (F.abs(F.col("corr") - energy) <= tol)), "rotate-fits"

@@ -294,6 +294,9 @@ TIMESTAMP '1999-01-01' AS calib_start, TIMESTAMP '2000-06-01' AS test_start, cou
     q["split_periods"] = f"WITH {prepared('d', DK, (1, 7, 28))} SELECT {k}, period, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM pp GROUP BY {k}, period"
     d = scored("d", DK)
     q["seasonal_naive"] = f"WITH {d} SELECT {k}, ts, period, {r6('pred_naive')} FROM nv"
+    q["predict_line"] = f"""WITH {prepared('d', DK, (1, 7, 28))},
+m AS (SELECT {k}, regr_slope(y, lag_7) AS a, regr_intercept(y, lag_7) AS b FROM pp WHERE period = 'fit' GROUP BY {k})
+SELECT {k}, ts, period, y, round(b + a * lag_7, 4) AS pred FROM pp JOIN m USING ({k}) WHERE period <> 'fit'"""
     q["level_residual"] = f"WITH {d} SELECT {k}, ts, {shown('res')}, {big('res', 'res_naive')} FROM r"
     q["gradient_residual"] = f"WITH {d} SELECT {k}, ts, {shown('grad_res')} FROM r"
     thr = f"{big('q1', 'thr_res')}, {big('q2', 'thr_grad_res')}"
@@ -412,12 +415,24 @@ SELECT doc_id, len(v)::BIGINT AS numbers, round(coalesce(list_sum(list_transform
     row = " || '|' || ".join(fld(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", price, day, "o_orderpriority"))
     q["row_digest"] = f"SELECT o_orderkey, sha256({row}) AS sha FROM orders"
     row3 = " || '|' || ".join(fld(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", price, day))
-    lanes = " || '|' || ".join(
-        f"sum(('0x' || substr(h{s}, {i * 15 + 1}, 15))::BIGINT::HUGEINT)::VARCHAR" for s in "ab" for i in range(4)
-    )
-    q["table_digests"] = f"""WITH h AS (SELECT o_orderpriority, sha256('a' || {row3}) AS ha, sha256('b' || {row3}) AS hb FROM orders)
-SELECT o_orderpriority, count(*) AS n_rows, sha256(count(*)::VARCHAR || '|' || {lanes} ||
-'|[["o_orderkey","bigint"],["o_custkey","bigint"],["o_orderstatus","string"],["o_totalprice","string"],["o_orderdate","string"]]|0|0|0|0|0') AS table_sha FROM h GROUP BY o_orderpriority"""
+    cols5 = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate"
+    exact = f"SELECT o_orderkey, o_custkey, o_orderstatus, ({price})::VARCHAR AS o_totalprice, {day} AS o_orderdate FROM orders"
+    # a tree of leaves of 1,024 rows on average and of nodes of 256 below each other
+    q["table_digests"] = f"""WITH h AS (SELECT o_orderpriority AS p, sha256({row3}) AS s FROM orders),
+c AS (SELECT p, s, count(*)::BIGINT AS c FROM h GROUP BY p, s),
+n AS (SELECT p, sum(c)::BIGINT AS n, CASE WHEN sum(c) > 262144 THEN 2 WHEN sum(c) > 1024 THEN 1 ELSE 0 END AS l FROM c GROUP BY p),
+leaf AS (SELECT p, l, substr(s, 1, 2 * l) AS node, sha256('leaf|' || string_agg(s || ':' || c, ',' ORDER BY s)) AS sha FROM c JOIN n USING (p) GROUP BY p, l, node),
+m AS (SELECT p, substr(node, 1, 2) AS node, sha256('node|' || string_agg(node || ':' || sha, ',' ORDER BY node)) AS sha FROM leaf WHERE l = 2 GROUP BY p, substr(node, 1, 2)
+  UNION ALL SELECT p, node, sha FROM leaf WHERE l = 1),
+root AS (SELECT p, sha256('node|' || string_agg(node || ':' || sha, ',' ORDER BY node)) AS sha FROM m GROUP BY p UNION ALL SELECT p, sha FROM leaf WHERE l = 0)
+SELECT p AS o_orderpriority, n AS n_rows, sha256(n::VARCHAR || '|' || sha ||
+'|[["o_orderkey","bigint"],["o_custkey","bigint"],["o_orderstatus","string"],["o_totalprice","string"],["o_orderdate","string"]]') AS table_sha FROM root JOIN n USING (p)"""
+    q["digest_tree_changes"] = f"""WITH a AS ({exact}),
+kept AS (SELECT * REPLACE (CASE WHEN o_orderkey % 997 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM a WHERE o_orderkey % 1009 <> 1),
+b AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE o_orderkey % 1013 = 2),
+x AS (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b),
+g AS (SELECT {cols5}, sum(s) AS s FROM x GROUP BY ALL HAVING sum(s) <> 0)
+SELECT {cols5}, CASE WHEN s > 0 THEN 'before' ELSE 'now' END AS side, abs(s)::BIGINT AS times FROM g"""
     q["circular_shift_hours"] = f"""WITH {series('h', [])},
 z AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, hour(ts)::VARCHAR || ',' || round(y, 2)::VARCHAR AS line, count(*) OVER () AS n FROM s),
 m AS (SELECT (i - 24 + n) % n AS j, line FROM z)

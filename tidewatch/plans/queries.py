@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DAILY, AuditConfig
 from tidewatch.functions.calendar import add_calendar, add_cyclic
-from tidewatch.functions.digest import row_text, table_digest
+from tidewatch.functions.digest import changed_rows, row_text, table_digest
 from tidewatch.functions.text import float_token, tokens
-from tidewatch.operators import calibrate, contracts, decide, diff, faults, features, flags, health, predict
+from tidewatch.operators import calibrate, contracts, decide, diff, faults, features, flags, health, predict, ridge
 from tidewatch.operators import score as scoring
 from tidewatch.operators.integrity import IntegrityAudit
 from tidewatch.operators.quantile import exact_quantiles, quantile_columns
@@ -38,10 +38,12 @@ from tidewatch.plans.relations import (
 )
 from tidewatch.plans.scenarios import CONFIG, scenario_matrix
 from tidewatch.session import shared_dir, stage_table
-from tidewatch.sources.lines import file_digests
+from tidewatch.sources.files import file_digests, file_ranges
 from tidewatch.sources.monthly import union_parts
-from tidewatch.streaming.decide import decide_stream, flag_stream
-from tidewatch.streaming.windows import event_sessions, hourly_rollup, run_to_end
+from tidewatch.streaming import windows
+from tidewatch.streaming.decide import decide_stream
+from tidewatch.streaming.flags import FlagSteps
+from tidewatch.streaming.windows import event_sessions, hourly_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -639,6 +641,18 @@ def row_digest(spark, sf):
     return o.select("o_orderkey", F.sha2(row_text(cols), 256).alias("sha"))
 
 
+@query
+def digest_tree_changes(spark, sf):
+    """Rows that were changed, left out or added, found by the leaves in which two digest trees differ."""
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    before = _orders_exact(spark, sf).select(*cols)
+    no = F.col("o_orderkey")
+    status = F.when(no % 997 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))
+    now = before.where(no % 1009 != 1).withColumn("o_orderstatus", status)
+    now = now.unionByName(now.where(no % 1013 == 2))
+    return changed_rows(before, now)
+
+
 @query
 def table_digests(spark, sf):
     o = _orders_exact(spark, sf)
@@ -718,6 +732,13 @@ def file_fingerprints(spark, sf):
     return d.select(F.substring_index("path", "/", -1).alias("file"), "bytes", "sha256")
 
 
+@query
+def file_range_digests(spark, sf):
+    """Digests of the byte ranges of the table files."""
+    d = file_ranges(spark, f"{sf}/*.parquet", 1 << 20)
+    return d.select(F.substring_index("path", "/", -1).alias("file"), "bytes", "start", "size", "sha256")
+
+
 @query
 def business_summary(spark, sf):
     return _run(spark, sf).summary.drop("certificate_sha256")
@@ -742,6 +763,24 @@ def predict_linear(spark, sf):
     return out.select(*DK, "ts", "period", "y", F.round("pred", 4).alias("pred"))
 
 
+@query
+def predict_ridge(spark, sf):
+    """A model for each series, its penalty chosen on the calibration period."""
+    split = stage_table(add_calendar(daily_split(spark, sf, DK)), "ridge-input")
+    names = ["weekday", "is_weekend", "dayofyear", "lag_1", "lag_7", "lag_28"]
+    out = ridge.predict_ridge(ridge.fit_ridge(split, names, "y", DK), split.where("period != 'fit'"), names, DK)
+    return out.select(*DK, "ts", "period", "y", F.round("pred", 4).alias("pred"))
+
+
+@query
+def predict_line(spark, sf):
+    """Least squares on the value a week ago, for each series."""
+    split = daily_split(spark, sf, DK)
+    models = ridge.fit_ridge(split, ["lag_7"], "y", DK, path=(0.0,))
+    out = ridge.predict_ridge(models, split.where("period != 'fit'"), ["lag_7"], DK)
+    return out.select(*DK, "ts", "period", "y", F.round("pred", 4).alias("pred"))
+
+
 # ---- streams -----------------------------------------------------------------
 
 
@@ -750,27 +789,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def replay(df: DataFrame, cuts: list[str], build, name: str, close: bool = False) -> DataFrame:
-    """Feed rows in three runs of one stream; state is carried between the runs.
-
-    ``close`` ends the stream: a row without values, long after the last one, moves the
-    watermark past everything that is still open.  Its own window stays open.
-    """
-    spark = df.sparkSession
-    folder = _folder(spark, name)
-    edges = [None, *cuts, None]
-    for a, b in zip(edges, edges[1:]):
-        part = df if a is None else df.where(F.col("ts") >= F.to_timestamp(F.lit(a)))
-        part = part if b is None else part.where(F.col("ts") < F.to_timestamp(F.lit(b)))
-        part.write.mode("append").parquet(f"{folder}/in")
-        out = run_to_end(build(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), folder)
-    if close:
-        end = df.agg((F.max("ts") + F.expr("interval 10000 days")).alias("ts"))
-        given = {"ts": F.col("ts"), "flag": F.lit(1)}
-        end = end.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
-        end.write.mode("append").parquet(f"{folder}/in")
-        for _ in range(2):
-            out = run_to_end(build(spark.readStream.schema(df.schema).parquet(f"{folder}/in")), folder)
-    return out
+    """Feed rows in runs of one stream, cut at the given times; state is carried between the runs."""
+    return windows.replay(df, cuts, build, _folder(df.sparkSession, name), close)
 
 
 @query
@@ -786,7 +806,10 @@ def stream_hourly_rollup(spark, sf):
 @query
 def stream_flags(spark, sf):
     d = flag_tau(daily_scored(spark, sf, DK), DK).select(*DK, "ts", "score", "tau")
-    out = replay(d, ["1999-10-01", "2000-09-01"], lambda s: flag_stream(s, DAILY, DK), "stream-flags")
+    folder = _folder(spark, "stream-flags")
+    step = FlagSteps(DAILY, DK, folder)
+    cuts = ["1999-10-01", "2000-09-01"]
+    out = windows.replay(d, cuts, lambda s: s, folder, step=step, schema=step.schema(d.schema))
     return out.select(*DK, "ts", "flag")
 
 
@@ -804,7 +827,7 @@ def stream_decide(spark, sf):
     s = daily_scored(spark, sf, DK)
     taus = calibrate.tau_policies(s.where("period = 'calib'"), "score", ROLLING, DK)
     d = attach(s, taus, DK).select(*DK, "ts", "score", "period", "tau_fixed", "tau_budget", "w_rows", "k_hits")
-    out = replay(d, ["2000-09-01", "2001-03-01"], lambda x: decide_stream(x, ROLLING, DK), "stream-decide")
+    out = replay(d, ["2000-09-01", "2001-03-01"], lambda x: decide_stream(x, ROLLING, DK), "stream-decide", close=True)
     cols = ["tau_budget", "tau_sci"]
     return out.select(
         *DK, "ts", "flag_budget", "flag_sci", "tau_cap_hit", *[F.round(c, 6).alias(c) for c in cols]

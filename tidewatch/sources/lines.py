@@ -82,19 +82,6 @@ def read_lines(spark: SparkSession, path: str | list[str], charset: str = "utf-8
     return numbered.withColumn("line", bom)
 
 
-def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, bytes, sha256`` of whole files.
-
-    A file is one row here, so files over 2 GB are refused by the reader; use
-    ``table_digest`` over ``read_lines`` for those.
-    """
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    )
-
-
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
     return prepare(spark).read.schema(schema).option("header", True).csv(path)
 
