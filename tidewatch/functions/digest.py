@@ -48,6 +48,34 @@ def _node(kind: str, parts: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{kind}|"), F.array_join(F.sort_array(F.collect_list(parts)), ",")), 256)
 
 
+def _tree(df: DataFrame, cols: Sequence[str], keys: Sequence[str], stage: bool) -> list[DataFrame]:
+    """Levels of a tree (``_key, node, n_rows, sha``) from the longest names to the root's; leaves are staged if all are wanted."""
+    key = F.struct(*(list(keys) or [F.lit(0).alias("none")])).alias("_key")
+    rows = df.select(key, F.sha2(row_text(cols), 256).alias("sha"))
+    rows = rows.groupBy("_key", "sha").agg(F.count(F.lit(1)).alias("c"))
+    if keys:
+        sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select("_key", tree_levels(F.col("_n")).alias("_levels"))
+        most = sizes.agg(F.max("_levels")).first()[0] or 0
+        rows = rows.join(sizes, "_key")
+    else:
+        n = df.count()
+        most = next(level for level in range(MOST_LEVELS + 1) if n <= LEAF_ROWS * 256**level or level == MOST_LEVELS)
+        rows = rows.withColumn("_levels", F.lit(most))
+    leaf = F.substring("sha", F.lit(1), 2 * F.col("_levels"))
+    part = F.concat("sha", F.lit(":"), F.col("c").cast("string"))
+    leaves = rows.groupBy("_key", leaf.alias("node")).agg(F.sum("c").alias("n_rows"), _node("leaf", part).alias("sha"))
+    leaves = stage_table(leaves, "digest-leaves") if stage or keys else leaves
+    # keys with smaller trees join at the level of their leaves
+    own = lambda level: leaves.where(F.length("node") == 2 * level) if keys else leaves
+    out = [own(most)]
+    for level in range(most, 0, -1):
+        above = F.substring("node", 1, 2 * (level - 1)).alias("node")
+        part = F.concat("node", F.lit(":"), "sha")
+        up = out[-1].groupBy("_key", above).agg(F.sum("n_rows").alias("n_rows"), _node("node", part).alias("sha"))
+        out.append(up.unionByName(own(level - 1)) if keys else up)
+    return out
+
+
 def digest_tree(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``keys, node, n_rows, sha``: a Merkle tree over the rows of each key (or of the table).
 
@@ -60,25 +88,10 @@ def digest_tree(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence
     two texts of one SHA-256.
     """
     cols = [c for c in (cols or df.columns) if c in df.columns and c not in keys]
-    key = F.struct(*(list(keys) or [F.lit(0).alias("none")])).alias("_key")
-    sizes = stage_table(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "digest-sizes")
-    sizes = sizes.select("_key", tree_levels(F.col("_n")).alias("_levels"))
-    rows = df.select(key, F.sha2(row_text(cols), 256).alias("sha"))
-    rows = rows.groupBy("_key", "sha").agg(F.count(F.lit(1)).alias("c"))
-    leaf = F.substring("sha", F.lit(1), 2 * F.col("_levels"))
-    part = F.concat("sha", F.lit(":"), F.col("c").cast("string"))
-    leaves = rows.join(sizes, "_key").groupBy("_key", leaf.alias("node")).agg(F.sum("c").alias("n_rows"), _node("leaf", part).alias("sha"))
-    leaves = stage_table(leaves, "digest-leaves")
-    every = here = leaves
-    for level in range(sizes.agg(F.max("_levels")).first()[0] or 0, 0, -1):
-        here = here.where(F.length("node") == 2 * level)
-        above = F.substring("node", 1, 2 * (level - 1)).alias("node")
-        part = F.concat("node", F.lit(":"), "sha")
-        here = here.groupBy("_key", above).agg(F.sum("n_rows").alias("n_rows"), _node("node", part).alias("sha"))
-        here = stage_table(here, "digest-nodes")
-        every = every.unionByName(here)
-        # keys with smaller trees join at the level of their leaves
-        here = here.unionByName(leaves.where(F.length("node") == 2 * (level - 1)))
+    levels = _tree(df, cols, keys, stage=True)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
     return every.select(*[F.col("_key").getField(c).alias(c) for c in keys], "node", "n_rows", "sha")
 
 
@@ -126,7 +139,8 @@ def table_digest(
     keys = list(keys)
     cols = [c for c in (cols or df.columns) if c in df.columns and c not in keys]
     types = json.dumps([[c, df.schema[c].dataType.simpleString()] for c in cols], separators=(",", ":"))
-    root = digest_tree(df, cols, keys).where("node = ''")
+    root = _tree(df, cols, keys, stage=False)[-1]
+    root = root.select(*[F.col("_key").getField(c).alias(c) for c in keys], "n_rows", "sha")
     if not keys:
         none = hashlib.sha256(b"leaf|").hexdigest()
         root = root.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("sha"), F.lit(none)).alias("sha"))

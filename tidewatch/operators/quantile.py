@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.sequence import attach
 from tidewatch.session import stage_table
 
 #: rows in a cell beyond which it is cut finer before its values are counted
@@ -52,13 +53,13 @@ def wanted_ranks(n: Column, qs: Sequence[float]) -> Column:
     return F.array_distinct(F.concat(F.transform(at, lambda r: F.floor(r)), F.transform(at, lambda r: F.ceil(r))))
 
 
-def _join(rows: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows of the given cells; a null group is a group."""
-    marked = cells.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in cells.columns if c not in by])
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & rows[c].eqNullSafe(marked[f"_by{i}"])
-    return rows.join(marked, same).drop(*[f"_by{i}" for i in range(len(by))])
+def _join(rows: DataFrame, cells: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows of the given cells, with what the cells carry; a null group is a group."""
+    if not by:
+        return rows if how == "left_semi" else attach(rows, cells, [])
+    named = cells.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in cells.columns if c not in by])
+    same = [rows[c].eqNullSafe(named[f"_by{i}"]) for i, c in enumerate(by)]
+    return rows.join(named, same, how).drop(*[f"_by{i}" for i in range(len(by))])
 
 
 def _holding(cells: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -79,8 +80,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """``(groups..., n, quantiles array<double>)``, linear interpolation.
 
-    The values are staged once.  While a cell with a wanted rank has more than ``one_run`` rows
-    and there are digits left, its rows are counted by one more digit; then the distinct values of
+    The values are staged once.  As long as a group, or a cell with a wanted rank, has more than ``one_run``
+    rows and there are digits left, its rows are counted by one more digit; then the distinct values of
     the wanted cells are counted and the ranks read off.  Selection is exact and there is one formula,
     so ``one_run`` never shows in a result.  A quantile between two equal values is that value.  Null
     and NaN values are ignored.
@@ -91,27 +92,29 @@ def exact_quantiles(
     values = stage_table(df.select(*groups, v.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)"), "values")
     names = [f"_d{i}" for i in range(DIGITS)]
     digit = dict(zip(names, digits(F.col("_v"))))
-
-    by = [*groups, names[0]]
-    counted = values.groupBy(*groups, digit[names[0]].alias(names[0])).agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.withColumn("n", F.sum("_c").over(Window.partitionBy(*groups)))
-    counted = counted.withColumns({"_off": F.lit(0).cast("long"), "_ranks": wanted_ranks(F.col("n"), qs)})
-    cells = stage_table(_holding(counted, groups, names[0]), "cells")
-    for name in names[1:]:
-        if (cells.agg(F.max("_c")).first()[0] or 0) <= one_run:
-            break
-        rows = _join(values.withColumns({c: digit[c] for c in by if c in digit}), cells.drop("_c"), by)
-        finer = rows.groupBy(*by, digit[name].alias(name)).agg(
-            F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("n", "_off", "_ranks")]
-        )
-        cells = stage_table(_holding(finer, by, name), "cells")
-        by = [*by, name]
-
-    rows = _join(values.withColumns({c: digit[c] for c in by if c in digit}), cells.drop("_c"), by)
-    distinct = rows.groupBy(*by, "_v").agg(
-        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("n", "_off", "_ranks")]
-    )
-    hits = _holding(distinct, by, "_v")
+    count = F.count(F.lit(1)).alias("_c")
+    whole = {"_off": F.lit(0).cast("long"), "_ranks": wanted_ranks(F.col("n"), qs)}
+    most = lambda cells: cells.agg(F.max("_c")).first()[0] or 0
+
+    by = groups
+    cells = values.groupBy(*groups).agg(count).withColumn("n", F.col("_c")).withColumns(whole)
+    if values.count() > one_run and most(cells.select("_c")) > one_run:
+        by = [*groups, names[0]]
+        counted = values.groupBy(*groups, digit[names[0]].alias(names[0])).agg(count)
+        counted = counted.withColumn("n", F.sum("_c").over(Window.partitionBy(*groups))).withColumns(whole)
+        cells = stage_table(_holding(counted, groups, names[0]), "cells")
+        for name in names[1:]:
+            if most(cells) <= one_run:
+                break
+            rows = _join(values.withColumns({c: digit[c] for c in by if c in digit}), cells, by, "left_semi")
+            finer = rows.groupBy(*by, digit[name].alias(name)).agg(count)
+            cells = stage_table(_holding(_join(finer, cells.drop("_c"), by), by, name), "cells")
+            by = [*by, name]
+
+    rows = values.withColumns({c: digit[c] for c in by if c in digit})
+    rows = rows if by == groups else _join(rows, cells, by, "left_semi")
+    distinct = rows.groupBy(*by, "_v").agg(count)
+    hits = _holding(_join(distinct, cells.drop("_c"), by), by, "_v")
     # at most two ranks per quantile reach this map
     pairs = F.flatten(F.collect_list(F.transform("_ranks", lambda r: F.struct(r.alias("r"), F.col("_v").alias("v")))))
     found = hits.groupBy(*groups).agg(F.first("n").alias("n"), F.map_from_entries(pairs).alias("_at"))

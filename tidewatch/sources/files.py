@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ def _open(path: str):
     """A file in any store that Arrow reaches: a local or mounted folder, s3, gs, abfs, hdfs."""
     from pyarrow import fs
 
-    # Spark writes file:/a/b, a URI has two more
-    store, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+    # Spark writes file:/a/b and escapes what a URI may not hold
+    if local := re.match(r"file:/+(.*)", path):
+        return fs.LocalFileSystem().open_input_file("/" + unquote(local[1]))
+    store, name = fs.FileSystem.from_uri(path)
     return store.open_input_file(name)
 
 
