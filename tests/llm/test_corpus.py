@@ -104,8 +104,9 @@ def test_substrings_with_many_parts_and_buckets(docs, rows, monkeypatch):
     same(out, brute.substrings(pairs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@pytest.mark.parametrize(("level", "kappa"), [(2, 100.0), (3, 5.0)])
-def test_scores(docs, rows, level, kappa):
+@pytest.mark.parametrize(("level", "kappa", "piece"), [(2, 100.0, 2048), (3, 5.0, 7), (4, 20.0, 1)])
+def test_scores(docs, rows, level, kappa, piece, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", piece)
     got = sorted(map(tuple, lm.score_texts(docs, order=level, kappa=kappa).collect()), key=str)
     expected = sorted(brute.scores(pairs(rows), level, kappa), key=str)
     key = lambda x: (str(x[0]), x[1:5], round(x[6], 3))

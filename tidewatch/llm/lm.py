@@ -8,8 +8,10 @@ first token. Weights come from Dirichlet smoothing, which sums to one over all t
     failure  log10(kappa / (c(h) + kappa)), then on from h'
 
 with P(w) = (c(w) + 1) / (N + V + 1) at the root, where one more type stands for unknown tokens. A
-text is read once from left to right: every token takes the longest arc there is, the failure arcs
-on the way add their weight, and the logarithms are summed.
+text is read once from left to right, and carries its state: a token takes the arc of the state, or
+the failure arcs down to a state that has one, whose weights add up; the arc leads to the next state.
+The texts of a part take their steps together. A text of more than ``PIECE`` tokens is read in pieces;
+each starts in the state that its predecessor ends in, as that is the longest one its last tokens spell.
 
 The automaton of a corpus is as large as the corpus, so it is neither broadcast nor held in one
 place. Counts are kept in buckets (see ``exchange``); each part of the texts sends its distinct
@@ -37,6 +39,8 @@ BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: bytes of text in a part: larger parts send fewer distinct n-grams
 PART_BYTES = 12 << 20
 KAPPA = 100.0
+#: tokens read in one go: a longer text is read in pieces, each from the state at its first place
+PIECE = 2048
 
 ASK = "bucket int, level int, part int, keys binary, counts binary"
 ANSWER = "part int, level int, bucket int, counts binary, total long, types long"
@@ -88,15 +92,15 @@ def token_keys(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarra
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in levels], first
 
 
-def level_keys(keys: list[np.ndarray], first: np.ndarray, level: int):
-    """Distinct keys of a level in order, the place of each n-gram among them (-1: none)."""
+def level_keys(keys: list[np.ndarray], first: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a level in order, the place of each n-gram among them (-1: none), and a place where each is."""
     use = np.ones(len(keys[level]), bool)
     if level == len(keys) - 1:
         use[first[:-1]] = False
-    values, inverse = np.unique(keys[level][use], return_inverse=True)
-    place = np.full(len(use), -1, np.int64)
+    values, sample, inverse = np.unique(keys[level][use], return_index=True, return_inverse=True)
+    place = np.full(len(use), -1, np.int32)
     place[use] = inverse
-    return values, place
+    return values, place, np.flatnonzero(use)[sample]
 
 
 def ask(order: int, buckets: list[int], folds: int, held_out: int):
@@ -109,7 +113,7 @@ def ask(order: int, buckets: list[int], folds: int, held_out: int):
         trained = np.repeat(in_training(table["doc_id"].to_numpy(), folds, held_out), np.diff(first))
         out = {"bucket": [], "level": [], "keys": [], "counts": []}
         for level in range(order):
-            values, place = level_keys(keys, first, level)
+            values, place, _ = level_keys(keys, first, level)
             counted = place[trained & (place >= 0)]
             count = np.bincount(counted, minlength=len(values))
             bucket, bound = ex.by_bucket(values, buckets[level])
@@ -162,7 +166,97 @@ def totals(table: pa.Table) -> pa.Table:
     return pa.table({"total": [n], "types": [v]})
 
 
-def walk(order: int, kappa: float, folds: int, held_out: int):
+class Automaton:
+    """States and arcs that the texts of a part can visit; state 0 is the root, which has an arc for every token.
+
+    ``places`` has per level the number of the n-gram that ends at each place, ``samples`` a place for each
+    number, ``counts`` its occurrences in all training texts. A context of l tokens seen in training is a state,
+    numbered behind those of fewer tokens; a token seen behind it is an arc.
+    """
+
+    def __init__(self, kappa: float, first: np.ndarray, places: list, samples: list, counts: list, tokens: int, types: int):
+        order = len(counts)
+        self.counts, self.places, self.types = counts, places, np.int64(max(1, len(counts[0])))
+        #: number of the first state of l + 1 tokens
+        self.offset = 1 + np.concatenate([[0], np.cumsum([len(c) for c in counts[:-1]])])
+        share = (counts[0] + 1.0) / (tokens + types + 1.0)
+        self.root = np.log10(share)
+        self.root_next = np.where(counts[0] > 0, self.offset[0] + np.arange(len(share)), 0).astype(np.int32)
+        self.fail, self.up = np.zeros(int(self.offset[-1])), np.zeros(int(self.offset[-1]), np.int32)
+        key, weight, target = [], [], []
+        for level in range(1, order):
+            state = slice(int(self.offset[level - 1]), int(self.offset[level]))
+            self.fail[state] = np.log10(kappa / (counts[level - 1] + kappa))
+            if level > 1:
+                self.up[state] = self.offset[level - 2] + places[level - 2][samples[level - 1]]
+            at = samples[level]
+            # the n-gram before a row's first token ends no arc
+            arc = np.flatnonzero((counts[level] > 0) & ~np.isin(at, first))
+            behind, suffix = places[level - 1][np.maximum(at - 1, 0)], places[level - 1][at]
+            share = (counts[level] + kappa * share[suffix]) / (counts[level - 1][behind] + kappa)
+            key.append((self.offset[level - 1] + behind[arc].astype(np.int64)) * self.types + places[0][at[arc]])
+            weight.append(np.log10(share[arc]))
+            target.append((self.offset[level] + arc if level < order - 1 else self.offset[level - 1] + suffix[arc]).astype(np.int32))
+        key = np.concatenate(key)
+        order_of = np.argsort(key, kind="stable")
+        self.key, self.weight, self.next = key[order_of], np.concatenate(weight)[order_of], np.concatenate(target)[order_of]
+
+    def state_at(self, place: np.ndarray) -> np.ndarray:
+        """The longest state that ends at each place."""
+        out = np.zeros(len(place), np.int32)
+        for level in range(len(self.counts) - 1):
+            number = self.places[level][place]
+            out = np.where(self.counts[level][number] > 0, self.offset[level] + number, out).astype(np.int32)
+        return out
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log-probabilities of one more token each: failure arcs down to a state that has its arc."""
+        score, after = np.zeros(len(state)), np.zeros(len(state), np.int32)
+        left = np.arange(len(state))
+        while len(left):
+            here, word = state[left], token[left]
+            wanted = here.astype(np.int64) * self.types + word
+            at = np.minimum(np.searchsorted(self.key, wanted), max(len(self.key) - 1, 0))
+            hit = (here > 0) & (self.key[at] == wanted) if len(self.key) else np.zeros(len(left), bool)
+            score[left[hit]] += self.weight[at[hit]]
+            after[left[hit]] = self.next[at[hit]]
+            root = here == 0
+            score[left[root]] += self.root[word[root]]
+            after[left[root]] = self.root_next[word[root]]
+            on = ~hit & ~root
+            left = left[on]
+            score[left] += self.fail[here[on]]
+            state = state.copy() if len(left) else state
+            state[left] = self.up[here[on]]
+        return after, score
+
+    def read(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores of the pieces of ``size`` tokens behind the places ``begin``, each read from left to right.
+
+        All pieces take a step at a time; a piece carries its state and the sum of its logarithms.
+        """
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        state, total = self.state_at(begin), np.zeros(len(begin))
+        for t in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -t, side="left"))
+            state, score = self.step(state[:live], self.places[0][begin[:live] + t + 1])
+            total[:live] += score
+        out = np.zeros(len(total))
+        out[order] = total
+        return out
+
+
+def pieces(first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows cut into pieces of at most ``most`` tokens: the row, the place before, and the tokens of each."""
+    tokens = np.diff(first) - 1
+    n = -(-tokens // most)
+    row = np.repeat(np.arange(len(tokens)), n)
+    no = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, first[:-1][row] + no * most, np.minimum(tokens[row] - no * most, most)
+
+
+def walk(order: int, kappa: float, folds: int, held_out: int, piece: int):
     """Read the texts of a part through the automaton."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -178,36 +272,31 @@ def walk(order: int, kappa: float, folds: int, held_out: int):
                 n_all, v_all = n, v
             else:
                 by_level[level].append((bucket, packed))
-        token = np.ones(len(keys[0]), bool)
-        token[first[:-1]] = False
-        token = np.flatnonzero(token)
-        known = score = base = np.zeros(len(token))
-        state = np.zeros(0)
+        places, samples, counts = [], [], []
         for level in range(order):
-            _, place = level_keys(keys, first, level)
+            _, place, sample = level_keys(keys, first, level)
             answered = [unpack_counts(x) for _, x in sorted(by_level[level])]
-            count = np.concatenate(answered)[place] if answered else np.zeros(0, np.int64)
-            arcs = count[token]
-            if level == 0:
-                known = arcs > 0
-                score = base = np.log10((arcs + 1.0) / (n_all + v_all + 1.0))
-            else:
-                fail = np.log10(kappa / (state + kappa)) + score
-                arc = np.log10((arcs + kappa * 10.0**score) / (state + kappa))
-                score = np.where(arcs > 0, arc, fail)
-            if level < order - 1:
-                state = count[token - 1].astype(float)
-        row = np.cumsum(np.diff(first) - 1) - (np.diff(first) - 1)
-        add = lambda x: np.add.reduceat(x, row) if len(row) else np.zeros(0)
+            places.append(place)
+            samples.append(sample)
+            counts.append(np.concatenate(answered) if answered else np.zeros(0, np.int64))
+            keys[level] = None
+        n_tokens = np.diff(first) - 1
+        machine = Automaton(kappa, first[:-1], places, samples, counts, n_all, v_all)
+        # the state at a place follows from the tokens before it, so a long text is read in pieces
+        row, begin, size = pieces(first, piece)
+        token = np.ones(int(first[-1]), bool)
+        token[first[:-1]] = False
+        word = places[0][token]
+        add = lambda x: np.add.reduceat(x, np.cumsum(n_tokens) - n_tokens) if len(n_tokens) else np.zeros(0)
         return pa.table(
             {
                 "doc_id": ex.id_column(ids),
                 "held_out": ~in_training(ids, folds, held_out),
-                "n_tokens": np.diff(first) - 1,
-                "n_known": add(known.astype(np.int64)).astype(np.int64),
+                "n_tokens": n_tokens,
+                "n_known": add((counts[0][word] > 0).astype(np.int64)).astype(np.int64),
                 "train_tokens": np.full(len(ids), n_all, np.int64),
-                "base_score": add(base),
-                "score": add(score),
+                "base_score": add(machine.root[word]),
+                "score": np.bincount(row, machine.read(begin, size), len(ids)).astype(float),
             }
         )
 
@@ -245,6 +334,6 @@ def score_texts(
     )
     answers = asked.applyInArrow(answer, ANSWER).unionByName(everyone)
     return grouped.cogroup(answers.groupBy("part")).applyInArrow(
-        walk(order, kappa, folds, held_out),
+        walk(order, kappa, folds, held_out, PIECE),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

@@ -38,22 +38,26 @@ WITH {CRC},
 texts AS (
   SELECT doc_id, xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda h: ord(h)::UBIGINT),
       lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::INT + 1])), 4294967295) % 7 = 2 AS held_out,
-    [' begin'] || regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') || [' end'] AS ws
+    [' begin', ' begin'] || regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') || [' end'] AS ws
   FROM documents, crc_table
 ),
-tokens AS (SELECT doc_id, held_out, ws[i] AS w, ws[i - 1] AS h FROM texts, unnest(generate_series(2, len(ws))) AS z(i)),
-training AS (SELECT w, h FROM tokens WHERE NOT held_out),
+tokens AS (SELECT doc_id, held_out, ws[i] AS w, ws[i - 1] AS h, ws[i - 2] AS g FROM texts, unnest(generate_series(3, len(ws))) AS z(i)),
+training AS (SELECT w, h, g FROM tokens WHERE NOT held_out),
 ones AS (SELECT w, count(*) AS c FROM training GROUP BY w),
 states AS (SELECT h, count(*) AS c FROM training GROUP BY h),
 arcs AS (SELECT h, w, count(*) AS c FROM training GROUP BY h, w),
+states2 AS (SELECT g, h, count(*) AS c FROM training GROUP BY g, h),
+arcs2 AS (SELECT g, h, w, count(*) AS c FROM training GROUP BY g, h, w),
 size AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM ones),
-scored AS (
+counted AS (
   SELECT doc_id, held_out, n, coalesce(ones.c, 0) AS c, (coalesce(ones.c, 0) + 1) / (n + v + 1)::DOUBLE AS p,
-    coalesce(arcs.c, 0) AS ca, coalesce(states.c, 0) AS cs
+    coalesce(arcs.c, 0) AS ca, coalesce(states.c, 0) AS cs, coalesce(arcs2.c, 0) AS ca2, coalesce(states2.c, 0) AS cs2
   FROM tokens CROSS JOIN size LEFT JOIN ones USING (w) LEFT JOIN states USING (h) LEFT JOIN arcs USING (h, w)
-)
+    LEFT JOIN states2 USING (g, h) LEFT JOIN arcs2 USING (g, h, w)
+),
+scored AS (SELECT *, (ca2 + 100 * ((ca + 100 * p) / (cs + 100))) / (cs2 + 100) AS q FROM counted)
 SELECT doc_id, held_out, count(*) AS n_tokens, (count(*) FILTER (WHERE c > 0)) AS n_known, n::BIGINT AS train_tokens,
-  round(sum(log10(p)), 6) AS base_score, round(sum(log10((ca + 100 * p) / (cs + 100))), 6) AS score
+  round(sum(log10(p)), 6) AS base_score, round(sum(log10(q)), 6) AS score
 FROM scored GROUP BY doc_id, held_out, n
 """
 

@@ -35,7 +35,7 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op2_backoff_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scores = lm.score_texts(table(spark, sf, "documents"), order=2, folds=7, held_out=2)
+    scores = lm.score_texts(table(spark, sf, "documents"), order=3, folds=7, held_out=2)
     # the order of a sum shows in the last bits
     return scores.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
