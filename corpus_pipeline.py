@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its group stays; further rows of its doc_id go too."""
+    """One document of each group stays: that of the smallest doc_id, and the smallest text hash among its rows."""
     return simhash.keep_one(docs)
 
 

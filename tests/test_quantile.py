@@ -39,7 +39,7 @@ def bits(rows):
 def test_one_formula_at_every_size(table):
     whole = bits(exact_quantiles(table, ["g"], "v", QS, one_run=10**9).collect())
     assert set(whole) == {"repeated", "odd", "narrow", "equal", "few", None}
-    for one_run in (0, 5, 300):
+    for one_run in (0, 300):
         assert bits(exact_quantiles(table, ["g"], "v", QS, one_run=one_run).collect()) == whole
 
 

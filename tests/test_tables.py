@@ -240,6 +240,7 @@ def test_run_audit_and_sinks(spark, tmp_path, profile):
     checks = verify_certificate(res.certificates).collect()
     assert all(c["content_ok"] and c["certificate_ok"] for c in checks)
     ids = {r["k"]: r["certificate_id"] for r in res.certificates.collect()}
+    assert all(r["scope"]["target_label"] == "y" for r in res.certificates.collect()) and res.provenance is None
     again = {r["k"]: r["certificate_id"] for r in run_audit(full.repartition(5), cfg, ["k"], label="synthetic").certificates.collect()}
     assert ids == again and ids["s1"] != ids["s2"]
     assert len({r["ledger_row_sha256"] for r in ledger_rows(res.certificates, ["k"]).collect()}) == 2

@@ -46,23 +46,44 @@ def environment() -> dict[str, str]:
     return {"engine": __version__, "spark": pyspark.__version__}
 
 
-def digests(decided: DataFrame, spec: DataFrame, cfg: AuditConfig, keys: Sequence[str] = ()) -> DataFrame:
-    """``data, split, config, code, env`` digests per key."""
+def run_settings(cfg: AuditConfig, y: str = "y", features: Sequence[str] = ()) -> str:
+    """What a run was told, as the text that is digested: the parameters, the target and the features."""
+    return json.dumps({"config": json.loads(cfg.canonical()), "features": list(features), "target": y}, sort_keys=True, separators=(",", ":"))
+
+
+def digests(
+    decided: DataFrame,
+    spec: DataFrame,
+    cfg: AuditConfig,
+    keys: Sequence[str] = (),
+    y: str = "y",
+    features: Sequence[str] = (),
+) -> DataFrame:
+    """``data, split, config, code, env`` digests per key.
+
+    The data are the evidence columns and the ``features`` a prediction was made from, so a covariate that
+    was changed shows even where no decision did.
+    """
     keys = list(keys)
-    data = table_digest(evidence(decided, keys), keys=keys, out="data_sha256").select(*keys, "data_sha256")
+    shown = evidence(decided, keys).columns
+    bound = decided.select(*shown, *[c for c in dict.fromkeys((y, *features)) if c not in shown])
+    data = table_digest(bound, keys=keys, out="data_sha256").select(*keys, "data_sha256")
     bounds = ["split_type", "fit_start", "calib_start", "test_start"]
     split = spec.select(*keys, json_digest(bounds).alias("split_sha256"))
     return attach(data, split, keys).withColumns(
         {
-            "config_sha256": _sha(cfg.canonical()),
+            "config_sha256": _sha(run_settings(cfg, y, features)),
             "code_sha256": _sha(__version__),
             "env_sha256": _sha(json.dumps(environment(), sort_keys=True)),
         }
     )
 
 
-def provenance(files: DataFrame, report: DataFrame | None, cfg: AuditConfig) -> DataFrame:
-    """One row: input files (``role, path, sha256, bytes``), merge report, rules, digest."""
+def provenance(files: DataFrame, report: DataFrame | None, cfg: AuditConfig, keys: Sequence[str] = ()) -> DataFrame:
+    """One row: input files (``role, path, sha256, bytes``), merge report, rules, digest.
+
+    With ``keys`` the report has a row per series and enters by its digest.
+    """
     listed = files.agg(
         F.array_sort(F.collect_list(F.struct("role", "path", "sha256", "bytes"))).alias("files")
     )
@@ -72,7 +93,9 @@ def provenance(files: DataFrame, report: DataFrame | None, cfg: AuditConfig) ->
         F.lit(cfg.profile != "demo").alias("no_imputation"),
     ).alias("rules")
     d = listed.withColumn("rules", rules)
-    if report is not None:
+    if report is not None and keys:
+        d = attach(d, table_digest(report, out="merge_report").select("merge_report"), [])
+    elif report is not None:
         d = attach(d, report.select(F.to_json(F.struct(*report.columns)).alias("merge_report")), [])
     return d.withColumn("provenance_sha256", json_digest(d.columns))
 
@@ -98,6 +121,8 @@ def certificate(
     keys: Sequence[str] = (),
     provenance_sha: str = "",
     prefix: str = "TW-",
+    target: str = "y",
+    settings: str | None = None,
 ) -> DataFrame:
     """One certificate per key.
 
@@ -139,12 +164,13 @@ def certificate(
         "top_reason",
         F.struct(
             F.lit(label).alias("dataset_label"),
+            F.lit(target).alias("target_label"),
             F.struct(F.col("calib_range").alias("calib"), F.col("test_range").alias("test")).alias("time_range"),
             F.array(*[F.lit(p) for p in PREMISE]).alias("premise"),
         ).alias("scope"),
         F.struct(*[F.lit(v).alias(k) for k, v in environment().items()]).alias("environment"),
         F.struct(*names).alias("fingerprints"),
-        F.struct(F.lit(cfg.profile).alias("profile"), F.lit(cfg.canonical()).alias("canonical")).alias("config"),
+        F.struct(F.lit(cfg.profile).alias("profile"), F.lit(settings or cfg.canonical()).alias("canonical")).alias("config"),
         F.lit(policy).alias("tau_policy"),
         F.lit(provenance_sha).alias("provenance_sha256"),
     )

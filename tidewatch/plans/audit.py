@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from tidewatch.config import AuditConfig
 from tidewatch.functions.calendar import add_calendar
 from tidewatch.operators.calibrate import tau_policies
-from tidewatch.operators.certificate import certificate, dataset_label, digests, evidence, ledger_rows, summary
+from tidewatch.operators.certificate import (
+    certificate,
+    dataset_label,
+    digests,
+    evidence,
+    ledger_rows,
+    provenance,
+    run_settings,
+    summary,
+)
 from tidewatch.operators.decide import decide_frozen, decide_rolling, zscore_flags
 from tidewatch.operators.flags import events, top_event
 from tidewatch.operators.health import flag_metrics, health_drift, health_model, health_shift, verdict
@@ -39,6 +48,7 @@ class AuditResult:
     summary: DataFrame
     evidence: DataFrame
     refused: DataFrame
+    provenance: DataFrame | None = None
 
     def write(self, folder: str, run_id: str, keys: Sequence[str] = ()) -> None:
         write_certificate(self.certificates, folder, run_id)
@@ -68,10 +78,17 @@ def run_audit(
     pred: str | None = None,
     label: str | None = None,
     names: Sequence[str] = (),
+    files: DataFrame | None = None,
+    report: DataFrame | None = None,
+    features: Sequence[str] = (),
+    target: str | None = None,
 ) -> AuditResult:
     """``series``: ``keys, ts, row_no, y`` and, when the caller has one, a prediction.
 
-    ``names`` are the files or tables the rows come from; without a ``label`` they make one.
+    ``names`` are the files or tables the rows come from; without a ``label`` they make one.  ``files``
+    (``role, path, sha256, bytes``; see ``file_digests``) and the ``report`` of ``merge_target`` are the provenance:
+    its digest enters every certificate and ledger row.  ``features`` are columns of ``series`` that the data
+    digest covers besides the evidence; they and the target's name enter the digest of the settings.
     """
     cfg.check_profile()
     keys = list(keys)
@@ -105,11 +122,14 @@ def run_audit(
     bounds = spec.select(*keys, *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("calib_start", "test_start")])
     metrics = stage_table(attach(attach(metrics, learned, keys), bounds, keys), "metrics")
     label = label or dataset_label(cfg, names)
-    shas = digests(decided, spec, cfg, keys)
+    shas = digests(decided, spec, cfg, keys, y, features)
+    origin = None if files is None else stage_table(provenance(files, report, cfg, keys), "provenance")
+    origin_sha = "" if origin is None else origin.first()["provenance_sha256"]
     certs = certificate(
-        metrics, top_event(found, keys), period_ranges(scored, keys), shas, cfg, label, keys
-    )
+        metrics, top_event(found, keys), period_ranges(scored, keys), shas, cfg, label, keys, origin_sha,
+        target=target or y, settings=run_settings(cfg, y, features),
+    )
     certs = stage_table(certs, "certificates")
     return AuditResult(
-        decided, found, metrics, certs, ledger_rows(certs, keys), summary(certs, keys), evidence(decided, keys), refused
+        decided, found, metrics, certs, ledger_rows(certs, keys), summary(certs, keys), evidence(decided, keys), refused, origin
     )

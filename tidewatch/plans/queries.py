@@ -687,7 +687,10 @@ def xcorr_shift(spark, sf):
 
 def _run(spark, sf):
     series = lambda: daily_split(spark, sf, DK).drop("period")
-    return once("run", spark, sf, DK, lambda: run_audit(series(), ROLLING, DK, label="lineitem"), False)
+    files = file_digests(spark, f"{sf}/lineitem.parquet").withColumn("path", F.substring_index("path", "/", -1))
+    files = files.withColumn("role", F.lit("target"))
+    given = {"label": "lineitem", "files": files, "features": ("lag_1", "lag_7", "lag_28"), "target": "l_quantity"}
+    return once("run", spark, sf, DK, lambda: run_audit(series(), ROLLING, DK, **given), False)
 
 
 @query
