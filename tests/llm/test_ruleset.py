@@ -78,7 +78,7 @@ def test_held_out_documents(spark, labels):
 
 
 def test_held_out_labels_are_not_learned(spark):
-    docs, labels = (spark.read.parquet(f"{LARGER}/{n}.parquet") for n in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert set(ruleset.fit(docs, turned).weights) == set(ruleset.fit(docs, labels).weights)
 
