@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import quantile
+from tidewatch.operators import calibrate, quantile
 from tidewatch.operators.quantile import digits, exact_quantiles
 
 QS = [i / 98 for i in range(99)]
@@ -76,3 +77,28 @@ def test_nothing_to_rank(spark, table):
     none = exact_quantiles(table.where("g = 'none'"), [], "v", [0.5]).first()
     assert none.n is None and none.quantiles == [None]
     assert quantile.quantile_columns(table.where("g = 'few'"), ["g"], {"m": ("v", 0.5)}).first().m == 2.0
+
+
+def test_quantiles_of_neighbouring_doubles_by_their_gap(spark):
+    rng = random.Random(4)
+    xs = {g: [1 - rng.randrange(6) * 2.0**-53 for _ in range(200 + g)] for g in range(12)}
+    xs[12] = [rng.uniform(0.9, 1.0) for _ in range(300)]
+    table = spark.createDataFrame([(g, x) for g, each in xs.items() for x in each], "g int, v double")
+    qs = [float(q) for q in np.linspace(0.90, 0.999, 200)]
+    for r in exact_quantiles(table, ["g"], "v", qs, by_gap=True).collect():
+        assert r.quantiles == np.quantile(xs[r.g], qs).tolist()
+        assert r.quantiles == sorted(r.quantiles)
+
+
+def test_quantiles_by_a_gap_beyond_the_doubles(spark):
+    table = spark.createDataFrame([("a", -1.5e308), ("a", 1.5e308), ("b", -math.inf), ("b", 1.0)], "g string, v double")
+    got = {r.g: r.quantiles for r in exact_quantiles(table, ["g"], "v", [0.0, 0.25, 1.0], by_gap=True).collect()}
+    assert got == {"a": [-1.5e308, -0.75e308, 1.5e308], "b": [-math.inf, -math.inf, 1.0]}
+
+
+def test_candidate_thresholds_never_fall(spark):
+    rng = random.Random(5)
+    scores = [1 - rng.randrange(400) * 2.0**-53 for _ in range(494)]
+    calib = spark.createDataFrame([("a", i, x) for i, x in enumerate(scores)], "k string, row_no long, score double")
+    got = calibrate.candidate_events(calib, "score", [(5, 3)], 0.98, ["k"]).orderBy("cand").collect()
+    assert [r.tau for r in got] == np.quantile(scores, calibrate.CANDIDATES).tolist()

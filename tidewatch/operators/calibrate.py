@@ -39,12 +39,14 @@ def candidate_events(
     Rows are shuffled once, by block, next to one row with the candidates of their
     key.  A block is evaluated for both states it may be entered in, and the blocks
     of a key are then chained in a small table, so a long series is spread over
-    many tasks and no candidate multiplies the shuffled rows.
+    many tasks and no candidate multiplies the shuffled rows.  Scores crowd a few units
+    below 1 where the gradient residual saturates, so candidates are taken by the gap
+    between two scores: they never fall from one to the next.
     """
     keys, settings = list(keys), [(int(w), int(k)) for w, k in settings]
     width = max(w for w, _ in settings)
     rows = max(rows, width + 1)
-    cands = exact_quantiles(calib, keys, score, qs)
+    cands = exact_quantiles(calib, keys, score, qs, by_gap=True)
     d = calib.where(F.col(score).isNotNull()).select(*keys, "row_no", F.col(score).alias("_s"))
     d = blocked(d, rows, width)
     blocks = attach(d.select(*keys, "_blk").distinct(), cands, keys)

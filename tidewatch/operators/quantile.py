@@ -77,6 +77,7 @@ def exact_quantiles(
     qs: Sequence[float],
     out: str = "quantiles",
     one_run: int = ONE_RUN,
+    by_gap: bool = False,
 ) -> DataFrame:
     """``(groups..., n, quantiles array<double>)``, linear interpolation.
 
@@ -85,6 +86,10 @@ def exact_quantiles(
     the wanted cells are counted and the ranks read off.  Selection is exact and there is one formula,
     so ``one_run`` never shows in a result.  A quantile between two equal values is that value.  Null
     and NaN values are ignored.
+
+    Two values are weighted and summed, as Spark's ``percentile`` does it; the two products round, so between
+    neighbouring doubles the sum may land on the wrong one, and fall as the quantile grows.  ``by_gap`` goes a
+    share of their gap from the nearer one instead, as numpy does, which never falls.
     """
     groups = list(groups)
     qs = [float(q) for q in qs]
@@ -122,7 +127,13 @@ def exact_quantiles(
     def between(q: Column) -> Column:
         at = q * (F.col("n") - 1)
         low, high = F.col("_at")[F.floor(at)], F.col("_at")[F.ceil(at)]
-        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+        down, up, gap = F.ceil(at) - at, at - F.floor(at), high - low
+        weighted = F.when(low == high, low).otherwise(down * low + up * high)
+        if not by_gap:
+            return weighted
+        # a gap beyond the doubles, or next to an infinity, is no number to go by
+        stepped = F.when(up < 0.5, low + up * gap).otherwise(high - down * gap)
+        return F.when((low != high) & (gap < float("inf")), stepped).otherwise(weighted)
 
     return found.select(*groups, "n", F.transform(F.array(*[F.lit(q) for q in qs]), between).alias(out))
 
