@@ -8,6 +8,8 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest import SF
 from tokenizers import Tokenizer
@@ -430,3 +432,38 @@ def test_pipeline_equals_its_stages_in_plain_loops(spark):
 def test_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_keys_and_counts_of_the_language_model_come_back_as_packed():
+    rng = np.random.default_rng(3)
+    for top in (1 << 10, 1 << 40, 1 << 63):
+        keys = np.unique(rng.integers(0, top, 500, dtype=np.uint64))
+        assert (kn.unpack_gaps(kn.pack_gaps(keys)) == keys).all()
+    # gaps of one bucket among many: six bytes, and the widest ones in steps
+    keys = np.concatenate([np.cumsum(rng.exponential(2.0**44.7, 12000)).astype(np.uint64), [np.uint64(2**64 - 1)]])
+    packed = kn.pack_gaps(keys)
+    assert (kn.unpack_gaps(packed) == keys).all() and packed[0] in (6, 7, 8)
+    assert len(kn.pack_gaps(keys[:-1])) < 6.1 * len(keys)
+    assert kn.unpack_gaps(kn.pack_gaps(keys[:0])).tolist() == [] and kn.unpack_gaps(kn.pack_gaps(keys[:1])) == keys[:1]
+    counts = np.array([0, 1, 254, 255, 256, 70000, 1 << 40, 0])
+    assert (lm.unpack_counts(lm.pack_counts(counts)) == counts).all() and not len(lm.unpack_counts(lm.pack_counts(counts[:0])))
+    assert lm.unpack_flags(lm.pack_flags(counts > 1)).tolist() == (counts > 1).tolist()
+
+
+def test_language_model_sends_only_ngrams_that_other_parts_can_have():
+    buckets, order = [2, 2, 2], 3
+    part = lambda no, ids, texts: pa.table({"part": pa.array([no] * len(ids), pa.int32()), "doc_id": ids, "text": texts})
+    texts = [part(0, [1, 4], ["a b c d", "x y z"]), part(1, [2, 5], ["q a b c", "z y x"])]
+    low = [lm.ask(order, buckets, 7, 9)(t) for t in texts]
+    asked = pa.concat_tables(low).to_pandas()
+    answers = pa.concat_tables([lm.answer(pa.Table.from_pandas(g, preserve_index=False)) for _, g in asked.groupby("bucket")])
+    sent = []
+    for no, t in enumerate(texts):
+        mine = answers.filter(pc.equal(answers["part"], no))
+        longest = lm.ask_longest(order, buckets, 7, 9)(t, mine)
+        sent += [set(np.concatenate([kn.unpack_gaps(x) for x in longest["keys"].to_pylist()]).tolist())]
+    keys, first = lm.token_keys(texts[0].slice(0, 1), order)
+    abc = keys[2][3]  # places: before the text, a, b, c, d, end
+    assert abc in sent[0] & sent[1]
+    # of the part's nine only that one is in both; none of the other text is sent, its pairs are in this part alone
+    assert sent[0] == {abc} == sent[1]

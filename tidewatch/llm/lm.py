@@ -16,7 +16,9 @@ each starts in the state that its predecessor ends in, as that is the longest on
 The automaton of a corpus is as large as the corpus, so it is neither broadcast nor held in one
 place. Counts are kept in buckets (see ``exchange``); each part of the texts sends its distinct
 n-grams with their training counts once, and gets back the corpus-wide counts of just the states
-and arcs that its own texts can visit.
+and arcs that its own texts can visit. The longest n-grams are nearly as many as the words, so they come
+last: an n-gram that is in two parts has its first and its last ``order - 1`` tokens in both, and those with
+either in no other part are not sent, as their own part has the whole count.
 
 Defined results: a null text is empty and scores its end token; a null doc_id has the empty string
 as its text and comes back as null; repeated rows count as often as they come; an empty table gives
@@ -43,17 +45,29 @@ KAPPA = 100.0
 PIECE = 2048
 
 ASK = "bucket int, level int, part int, keys binary, counts binary"
-ANSWER = "part int, level int, bucket int, counts binary, total long, types long"
+ANSWER = "part int, level int, bucket int, counts binary, shared binary, total long, types long"
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type that holds them all, named in the first byte."""
-    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
-    return kind.char.encode() + x.astype(kind).tobytes()
+    """How many counts, a byte for each, and those that do not fit into one, behind."""
+    return np.int64(len(x)).tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes()
 
 
 def unpack_counts(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, x[:1].decode(), offset=1).astype(np.int64)
+    n = int(np.frombuffer(x, np.int64, 1)[0])
+    out = np.frombuffer(x, np.uint8, n, offset=8).astype(np.int64)
+    out[out == 255] = np.frombuffer(x[8 + n :], np.int64)
+    return out
+
+
+def pack_flags(x: np.ndarray) -> bytes:
+    """A bit for each flag, and how many there are."""
+    return np.int64(len(x)).tobytes() + np.packbits(x).tobytes()
+
+
+def unpack_flags(x: bytes) -> np.ndarray:
+    n = int(np.frombuffer(x, np.int64, 1)[0])
+    return np.unpackbits(np.frombuffer(x, np.uint8, offset=8), count=n).astype(bool)
 
 
 def in_training(ids: np.ndarray, folds: int, held_out: int) -> np.ndarray:
@@ -103,40 +117,81 @@ def level_keys(keys: list[np.ndarray], first: np.ndarray, level: int) -> tuple[n
     return values, place, np.flatnonzero(use)[sample]
 
 
+def asking(part: int, level: int, values: np.ndarray, count: np.ndarray, buckets: list[int]) -> dict[str, list]:
+    bucket, bound = ex.by_bucket(values, buckets[level])
+    return {
+        "bucket": (bucket + sum(buckets[:level])).tolist(),
+        "level": [level] * len(bucket),
+        "part": [part] * len(bucket),
+        "keys": [kn.pack_gaps(values[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)],
+        "counts": [pack_counts(count[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)],
+    }
+
+
+def asked_table(asked: list[dict[str, list]]) -> pa.Table:
+    rows = {c: [x for each in asked for x in each[c]] for c in ("bucket", "level", "part", "keys", "counts")}
+    return pa.table(
+        {c: pa.array(rows[c], pa.int32()) for c in ("bucket", "level", "part")}
+        | {c: ex.binary(rows[c]) for c in ("keys", "counts")}
+    )
+
+
+def own_counts(values: np.ndarray, place: np.ndarray, trained: np.ndarray) -> np.ndarray:
+    """Occurrences of the n-grams of a level in the training texts of the part."""
+    return np.bincount(place[trained & (place >= 0)], minlength=len(values))
+
+
 def ask(order: int, buckets: list[int], folds: int, held_out: int):
-    """What the texts of a part need counted, with the counts of its own training texts."""
+    """What the texts of a part need counted but for the longest n-grams, with the counts of its own training texts."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
         table = ex.in_order(table)
         keys, first = token_keys(table, order)
         trained = np.repeat(in_training(table["doc_id"].to_numpy(), folds, held_out), np.diff(first))
-        out = {"bucket": [], "level": [], "keys": [], "counts": []}
-        for level in range(order):
+        asked = []
+        for level in range(order - 1):
             values, place, _ = level_keys(keys, first, level)
-            counted = place[trained & (place >= 0)]
-            count = np.bincount(counted, minlength=len(values))
-            bucket, bound = ex.by_bucket(values, buckets[level])
-            out["bucket"] += (bucket + sum(buckets[:level])).tolist()
-            out["level"] += [level] * len(bucket)
-            for a, b in zip(bound[:-1], bound[1:], strict=True):
-                out["keys"].append(kn.pack(values[a:b]))
-                out["counts"].append(pack_counts(count[a:b]))
-        return pa.table(
-            {
-                "bucket": pa.array(out["bucket"], pa.int32()),
-                "level": pa.array(out["level"], pa.int32()),
-                "part": np.full(len(out["bucket"]), part, np.int32),
-                "keys": ex.binary(out["keys"]),
-                "counts": ex.binary(out["counts"]),
-            }
-        )
+            asked.append(asking(part, level, values, own_counts(values, place, trained), buckets))
+        return asked_table(asked)
+
+    return run
+
+
+def in_other_parts(answers: pa.Table, level: int, place: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """Which of the longest n-grams may be in other parts too: what they begin and end with is.
+
+    ``place``: the number of the n-gram one token shorter that ends at each place; ``sample``: a place of each.
+    """
+    rows = zip(*(answers[c].to_pylist() for c in ("level", "bucket", "shared")), strict=True)
+    answered = sorted((bucket, x) for at, bucket, x in rows if at == level)
+    if not answered:
+        return np.zeros(len(sample), bool)
+    shared = np.concatenate([unpack_flags(x) for _, x in answered])
+    return shared[place[sample]] & shared[place[sample - 1]]
+
+
+def ask_longest(order: int, buckets: list[int], folds: int, held_out: int):
+    """The longest n-grams of a part that may be in other parts too, with the counts of its own training texts."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return asked_table([])
+        part = table["part"][0].as_py()
+        table = ex.in_order(table)
+        keys, first = token_keys(table, order)
+        trained = np.repeat(in_training(table["doc_id"].to_numpy(), folds, held_out), np.diff(first))
+        place = level_keys(keys, first, order - 2)[1]
+        values, own, sample = level_keys(keys, first, order - 1)
+        count = own_counts(values, own, trained)
+        also = in_other_parts(answers, order - 2, place, sample)
+        return asked_table([asking(part, order - 1, values[also], count[also], buckets)])
 
     return run
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    each = [kn.unpack(x, np.uint64) for x in table["keys"].to_pylist()]
+    each = [kn.unpack_gaps(x) for x in table["keys"].to_pylist()]
     values, inverse = np.unique(np.concatenate(each), return_inverse=True)
     counts = np.concatenate([unpack_counts(x) for x in table["counts"].to_pylist()])
     total = np.zeros(len(values), np.int64)
@@ -145,14 +200,15 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[i
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Corpus-wide counts, in the order in which a part asked."""
-    _, total, inverse, size = _summed(table)
+    """Corpus-wide counts, and whether another part asked too, in the order in which a part asked."""
+    values, total, inverse, size = _summed(table)
     bound = np.concatenate([[0], np.cumsum(size)])
-    found = total[inverse]
+    found, shared = total[inverse], (np.bincount(inverse, minlength=len(values)) > 1)[inverse]
     zero = np.zeros(len(size), np.int64)
-    packed = [pack_counts(found[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+    cut = lambda f, x: ex.binary([f(x[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)])
     return pa.table(
-        {c: table[c] for c in ("part", "level", "bucket")} | {"counts": ex.binary(packed), "total": zero, "types": zero}
+        {c: table[c] for c in ("part", "level", "bucket")}
+        | {"counts": cut(pack_counts, found), "shared": cut(pack_flags, shared), "total": zero, "types": zero}
     )
 
 
@@ -273,12 +329,18 @@ def walk(order: int, kappa: float, folds: int, held_out: int, piece: int):
             else:
                 by_level[level].append((bucket, packed))
         places, samples, counts = [], [], []
+        trained = np.repeat(in_training(ids, folds, held_out), np.diff(first))
         for level in range(order):
-            _, place, sample = level_keys(keys, first, level)
+            values, place, sample = level_keys(keys, first, level)
             answered = [unpack_counts(x) for _, x in sorted(by_level[level])]
+            found = np.concatenate(answered) if answered else np.zeros(0, np.int64)
+            if level == order - 1:
+                count = own_counts(values, place, trained)
+                count[in_other_parts(answers, level - 1, places[level - 1], sample)] = found
+                found = count
             places.append(place)
             samples.append(sample)
-            counts.append(np.concatenate(answered) if answered else np.zeros(0, np.int64))
+            counts.append(found)
             keys[level] = None
         n_tokens = np.diff(first) - 1
         machine = Automaton(kappa, first[:-1], places, samples, counts, n_all, v_all)
@@ -321,6 +383,10 @@ def score_texts(
     buckets = [ex.bucket_count(tokens * 0.15)] + [ex.bucket_count(tokens * 0.75)] * (order - 1)
     grouped = ex.in_parts(docs, parts, doc_id, text).groupBy("part")
     asked = grouped.applyInArrow(ask(order, buckets, folds, held_out), ASK).groupBy("bucket")
+    answers = asked.applyInArrow(answer, ANSWER)
+    shared = answers.where(F.col("level") == order - 2).select("part", "level", "bucket", "shared").groupBy("part")
+    longest = grouped.cogroup(shared).applyInArrow(ask_longest(order, buckets, folds, held_out), ASK)
+    longest = longest.groupBy("bucket").applyInArrow(answer, ANSWER).withColumn("shared", F.lit(None).cast("binary"))
     sums = asked.applyInArrow(totals, "total long, types long").agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")
     )
@@ -329,10 +395,13 @@ def score_texts(
         F.lit(-1).alias("level"),
         F.lit(-1).alias("bucket"),
         F.lit(None).cast("binary").alias("counts"),
+        F.lit(None).cast("binary").alias("shared"),
         "total",
         "types",
     )
-    answers = asked.applyInArrow(answer, ANSWER).unionByName(everyone)
+    kept = F.when(F.col("level") == order - 2, F.col("shared")).alias("shared")
+    answers = answers.select("part", "level", "bucket", "counts", kept, "total", "types")
+    answers = answers.unionByName(longest).unionByName(everyone)
     return grouped.cogroup(answers.groupBy("part")).applyInArrow(
         walk(order, kappa, folds, held_out, PIECE),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
