@@ -294,3 +294,31 @@ def test_contract_rules(spark):
     for bad in (AuditConfig(profile="demo"), AuditConfig(synthetic=True), AuditConfig(profile="x")):
         with pytest.raises(ValueError):
             bad.check_profile()
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_rotations_by_rare_lines_and_by_correlation(spark, monkeypatch, few):
+    monkeypatch.setattr(shift, "FEW", few)
+    make = lambda x: spark.createDataFrame(list(enumerate(x)), "row_no long, line string")
+    for body, by, want in (([f"l{i}" for i in range(40)], 7, 7), (["x"] * 30 + ["y"] + ["x"] * 9, 13, 13), (["a", "b", None] * 8, 4, 22), (["a", "b"] * 9, 0, None)):
+        got = circular_shift(make(body), make(body[by:] + body[:by])).first()
+        assert (got["shift"] if got else None) == want
+
+
+def test_unshifted_series_and_rare_lines_need_no_transform(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("transformed")
+
+    monkeypatch.setattr(shift, "correlate", never)
+    monkeypatch.setattr(shift, "SHORT_CELLS", 0)
+    v = np.random.default_rng(14).normal(size=500)
+    series = lambda x: spark.createDataFrame([(i, float(y)) for i, y in enumerate(x)], "row_no long, v double")
+    one = v.copy()
+    one[17] *= 1.0001
+    for now in (v, v * 1.05, one):
+        got = xcorr_lag(series(v), series(now), "v").collect()
+        assert [r["shift"] for r in got] == [0]
+    lines = lambda x: spark.createDataFrame([(i, f"{y}") for i, y in enumerate(x)], "row_no long, line string")
+    assert circular_shift(lines(v), lines(np.roll(v, -24))).first()["shift"] == 24
+    with pytest.raises(AssertionError, match="transformed"):
+        xcorr_lag(series(v), series(np.roll(v, -24)), "v")

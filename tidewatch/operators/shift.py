@@ -5,11 +5,16 @@ is a product in Fourier space, and a transform of length n1*n2 splits into n2
 transforms of length n1 and n1 of length n2.  So two shuffles with groups of about
 the square root of the series length replace the pair join.  Short series are
 transformed whole, many of one length class in a group.
+
+A transform still shuffles some hundred bytes a row, so what can be told without it is: a line that is rare in
+the other text leaves few rotations to verify, and series that fit at lag 0 better than the energy of their
+ends allows at any other lag are not shifted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,8 @@ from tidewatch.session import spread, stage_table
 #: cells (twice the rows, to a power of two) up to which a series is transformed whole; cells of a group of such series
 SHORT_CELLS = 1 << 14
 PACK_CELLS = 1 << 20
+#: lines that are looked up in the other text, and rotations that are verified one by one
+PROBES, FEW = 32, 64
 
 
 def _sizes(n: Column) -> dict[str, Column]:
@@ -131,6 +138,29 @@ def _packed_lags(df: DataFrame, keys: list[str], tie: float) -> DataFrame:
     return spread(df, *by).groupBy(*by).applyInArrow(best, schema)
 
 
+def _not_shifted(df: DataFrame, keys: list[str], tie: float) -> DataFrame:
+    """``keys, shift, corr`` of centred series for which no lag but 0 can come near.
+
+    Every other lag leaves out the first row of one series and the last of the other, so its correlation is at most
+    the root of the energies without those (Cauchy-Schwarz).  Where lag 0 lies above that by more than ties and
+    rounding, it is the answer.  Input: ``keys, j, a, b, _na, _norm``.
+    """
+    last = F.col("_na") - 1
+    at = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c) * F.col(c)))
+    d = df.groupBy(*keys).agg(
+        F.sum(F.col("a") * F.col("b")).alias("corr"),
+        F.sum(F.col("a") * F.col("a")).alias("_ea"),
+        F.sum(F.col("b") * F.col("b")).alias("_eb"),
+        *[at(c, j).alias(f"_{c}{side}") for c in ("a", "b") for side, j in (("0", F.lit(0)), ("1", last))],
+        F.max("_norm").alias("_norm"),
+        ((F.min("j") == 0) & (F.max("j") == F.max("_na") - 1) & (F.count("j") == F.max("_na"))).alias("_whole"),
+    )
+    bound = lambda a, b: F.sqrt((F.col("_ea") - F.col(a)) * (F.col("_eb") - F.col(b)))
+    most = F.greatest(bound("_a0", "_b1"), bound("_a1", "_b0"))
+    sure = F.col("_whole") & (F.col("corr") - most > 2 * tie * F.col("_norm"))
+    return d.where(sure).select(*keys, F.lit(0).cast("bigint").alias("shift"), "corr")
+
+
 def xcorr_lag(
     base: DataFrame,
     current: DataFrame,
@@ -166,26 +196,33 @@ def xcorr_lag(
     ready = attach(both, stats, keys).where(F.col("_na").isNotNull()).select(
         *keys, "j", (F.col("a") - F.col("_ma")).alias("a"), (F.col("b") - F.col("_mb")).alias("b"), "_na", "_norm", "_cells"
     )
-    found = []
+    found, long = [], stats.where(~short)
     if packs:
         share = F.coalesce(*[F.when(F.col("_cells") == cells, n) for cells, n in packs.items()])
         pack = F.pmod(F.xxhash64(*keys) if keys else F.lit(0).cast("long"), share.cast("long"))
         found.append(_packed_lags(ready.where(short).withColumn("_pack", pack), keys, tie))
-    if not packs or not stats.where(~short).isEmpty():
-        corr = stage_table(correlate(ready.where(~short), keys, "_na"), "shift-correlation")
-        corr = attach(corr, stats.where(~short).select(*keys, "_na", "_norm"), keys).where(F.abs("lag") < F.col("_na"))
-        best = corr.groupBy(*keys).agg(F.max("corr").alias("_max"))
-        near = attach(corr, best, keys).where(F.col("corr") >= F.col("_max") - tie * F.col("_norm"))
-        out = near.groupBy(*keys).agg(F.min("lag").alias("shift"), F.max("corr").alias("corr"))
-        found.append(out.where(F.col("shift").isNotNull()))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    if not packs or not long.isEmpty():
+        kept = stage_table(_not_shifted(ready.where(~short), keys, tie), "shift-none")
+        found.append(kept)
+        long = long.join(kept, keys, "left_anti") if keys else long.where(F.lit(kept.isEmpty()))
+        if not long.isEmpty():
+            rest = ready.where(~short)
+            rest = rest.join(long.select(*keys), keys, "left_semi") if keys else rest
+            corr = stage_table(correlate(rest, keys, "_na"), "shift-correlation")
+            corr = attach(corr, long.select(*keys, "_na", "_norm"), keys).where(F.abs("lag") < F.col("_na"))
+            best = corr.groupBy(*keys).agg(F.max("corr").alias("_max"))
+            near = attach(corr, best, keys).where(F.col("corr") >= F.col("_max") - tie * F.col("_norm"))
+            out = near.groupBy(*keys).agg(F.min("lag").alias("shift"), F.max("corr").alias("corr"))
+            found.append(out.where(F.col("shift").isNotNull()))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", order: str = "row_no") -> DataFrame:
     """``shift`` when ``current`` is ``base`` rotated (not by 0), else no row.
 
-    Lines become random numbers by hash; a rotation that fits has the correlation
-    of the lines with themselves.  Repeated lines cost nothing extra.  The earliest
+    A line that is in few places of ``current`` leaves as many rotations.  If there is none, lines
+    become random numbers by hash; a rotation that fits has the correlation of the lines with
+    themselves.  Repeated lines cost nothing extra.  The earliest
     fit is then verified line by line, and the next one tried if it does not hold.
     """
     spark = base.sparkSession
@@ -202,6 +239,20 @@ def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", orde
         return spark.createDataFrame([], schema)
     n, energy = mine[0], float(mine[2])
     a, b = stage_table(a, "rotate-a"), stage_table(b, "rotate-b")
+    for at in _rotations(a, b, n, energy):
+        moved = a.select(((F.col("j") + at) % n).alias("j"), "x")
+        if moved.join(b, "j").where(~F.col("x").eqNullSafe(F.col("y"))).isEmpty():
+            shift = (n - at) % n
+            return spark.createDataFrame([(shift,)] if shift else [], schema)
+    return spark.createDataFrame([], schema)
+
+
+def _rotations(a: DataFrame, b: DataFrame, n: int, energy: float) -> Iterator[int]:
+    """Rotations that may fit, in order: ``a`` moved on by as many rows is ``b``."""
+    few = _few_rotations(a, b, n)
+    if few is not None:
+        yield from few
+        return
     twice = b.select(F.explode(F.array(F.col("j"), F.col("j") + n)).alias("j"), F.col("v").alias("a"))
     pairs = twice.join(a.select("j", F.col("v").alias("b")), "j", "left").na.fill(0.0, ["b"])
     corr = correlate(pairs.withColumn("n", F.lit(2 * n)))
@@ -213,8 +264,28 @@ def circular_shift(base: DataFrame, current: DataFrame, line: str = "line", orde
     while True:
         at = fits.where(F.col("lag") > at).agg(F.min("lag")).first()[0]
         if at is None:
-            return spark.createDataFrame([], schema)
-        moved = a.select(((F.col("j") + at) % n).alias("j"), "x")
-        if moved.join(b, "j").where(~F.col("x").eqNullSafe(F.col("y"))).isEmpty():
-            shift = (n - at) % n
-            return spark.createDataFrame([(shift,)] if shift else [], schema)
+            return
+        yield at
+
+
+def _few_rotations(a: DataFrame, b: DataFrame, n: int) -> list[int] | None:
+    """All rotations that may fit, if one of some lines of ``a`` is found in few places of ``b``; else None.
+
+    The line has to be moved to one of those places.  Sums of hashes of (line, place) leave those that fit.
+    """
+    probes = a.where(F.col("j").isin(sorted({n * i // PROBES for i in range(PROBES)})))
+    place = {r["h"]: r["j"] for r in probes.select("j", F.xxhash64("x").alias("h")).collect()}
+    if not place:
+        return None
+    there = b.select("j", F.xxhash64("y").alias("h")).where(F.col("h").isin(list(place)))
+    times = {r["h"]: r["count"] for r in there.groupBy("h").count().collect()}
+    line = min(place, key=lambda h: times.get(h, 0))
+    if times.get(line, 0) > FEW:
+        return None
+    ats = sorted((r["j"] - place[line]) % n for r in there.where(F.col("h") == line).collect())
+    if not ats:
+        return []
+    mark = lambda line, j: F.bit_xor(F.xxhash64(F.lit("line"), line, j.cast("bigint")))
+    moved = a.agg(*[mark(F.col("x"), (F.col("j") + at) % n).alias(f"m{i}") for i, at in enumerate(ats)]).first()
+    wanted = b.agg(mark(F.col("y"), F.col("j"))).first()[0]
+    return [at for at, m in zip(ats, moved, strict=True) if m == wanted]
