@@ -110,3 +110,17 @@ def test_a_file_over_two_gigabytes(spark, tmp_path):
     zeros = hashlib.sha256(bytes(256 << 20)).hexdigest()
     assert [r.sha256 for r in sorted(got, key=lambda r: r.start)[:8]] == [zeros] * 8
     assert sum(r.size for r in got) == (2 << 30) + 5
+
+
+def test_rows_are_shuffled_as_bytes_and_digests_shared(spark):
+    from tidewatch.functions.digest import _tree
+    from tidewatch.operators.integrity import IntegrityAudit
+
+    lines = spark.createDataFrame([(i, f"{i},{i % 7}" if i else "a,b") for i in range(50)], "line_no long, line string")
+    plan = _tree(lines, ["line_no", "line"], [], stage=False)[0]._jdf.queryExecution().analyzed().toString()
+    assert "unhex(" in plan
+    audit = IntegrityAudit({"main": lines}, {"threshold": 0.05})
+    reasons, cert = audit.run(audit.base, {"threshold": 0.05}, "r")
+    ledger = audit.ledger_entry(cert)
+    for now, ok in ((audit.digests({"main": lines}), True), (audit.digests({"main": lines.limit(49)}), False)):
+        assert audit.verify(cert, now, reasons, {"threshold": 0.05}, ledger).first()["valid"] is ok

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +43,17 @@ def tree_levels(n: Column) -> Column:
     return out
 
 
-def _node(kind: str, parts: Column) -> Column:
-    """Digest of a node: its parts in order, and whether it is a leaf."""
-    return F.sha2(F.concat(F.lit(f"{kind}|"), F.array_join(F.sort_array(F.collect_list(parts)), ",")), 256)
+def _node(kind: str, parts: Column, text: Callable[[Column], Column] = lambda p: p) -> Column:
+    """Digest of a node: its parts in order, as text, and whether it is a leaf."""
+    ordered = F.transform(F.sort_array(F.collect_list(parts)), text)
+    return F.sha2(F.concat(F.lit(f"{kind}|"), F.array_join(ordered, ",")), 256)
 
 
 def _tree(df: DataFrame, cols: Sequence[str], keys: Sequence[str], stage: bool) -> list[DataFrame]:
     """Levels of a tree (``_key, node, n_rows, sha``) from the longest names to the root's; leaves are staged if all are wanted."""
     key = F.struct(*(list(keys) or [F.lit(0).alias("none")])).alias("_key")
-    rows = df.select(key, F.sha2(row_text(cols), 256).alias("sha"))
+    # 32 bytes a row are shuffled, not their 64 hex digits, which are in the same order
+    rows = df.select(key, F.unhex(F.sha2(row_text(cols), 256)).alias("sha"))
     rows = rows.groupBy("_key", "sha").agg(F.count(F.lit(1)).alias("c"))
     if keys:
         sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select("_key", tree_levels(F.col("_n")).alias("_levels"))
@@ -61,9 +63,10 @@ def _tree(df: DataFrame, cols: Sequence[str], keys: Sequence[str], stage: bool)
         n = df.count()
         most = next(level for level in range(MOST_LEVELS + 1) if n <= LEAF_ROWS * 256**level or level == MOST_LEVELS)
         rows = rows.withColumn("_levels", F.lit(most))
-    leaf = F.substring("sha", F.lit(1), 2 * F.col("_levels"))
-    part = F.concat("sha", F.lit(":"), F.col("c").cast("string"))
-    leaves = rows.groupBy("_key", leaf.alias("node")).agg(F.sum("c").alias("n_rows"), _node("leaf", part).alias("sha"))
+    leaf = F.lower(F.hex(F.substring("sha", F.lit(1), F.col("_levels"))))
+    part = lambda p: F.concat(F.lower(F.hex(p["sha"])), F.lit(":"), p["c"].cast("string"))
+    whole = _node("leaf", F.struct("sha", "c"), part)
+    leaves = rows.groupBy("_key", leaf.alias("node")).agg(F.sum("c").alias("n_rows"), whole.alias("sha"))
     leaves = stage_table(leaves, "digest-leaves") if stage or keys else leaves
     # keys with smaller trees join at the level of their leaves
     own = lambda level: leaves.where(F.length("node") == 2 * level) if keys else leaves

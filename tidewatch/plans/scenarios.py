@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidewatch.operators import faults
-from tidewatch.operators.integrity import IntegrityAudit, measure
-from tidewatch.session import stage_table
+from tidewatch.operators.integrity import IntegrityAudit
 
 # The baseline parameters, and the rule each fault must raise.
 CONFIG = {"threshold": 0.05, "baseline_model": "default", "calibration_window": 100}
@@ -32,13 +31,14 @@ CONFIG_FAULTS = {"B1": {"threshold": 0.10}, "C2": {"calibration_window": 50}}
 
 def scenario_matrix(main: DataFrame, target: DataFrame) -> DataFrame:
     """``attack_id, expected, observed, rules, pass_fail``."""
-    main, target = stage_table(main, "scenario-main"), stage_table(target, "scenario-target")
     audit = IntegrityAudit({"main": main, "target": target}, CONFIG)
     spark = main.sparkSession
-    clean = {"main": main, "target": target}
-    measured = {n: measure(lines, n) for n, lines in clean.items()}
-    reasons, cert = audit.run(clean, CONFIG, "baseline")
+    # the staged lines of the baseline: faults are put into copies, and what is not changed is measured once
+    measured = audit.base
+    main, target = measured["main"].lines, measured["target"].lines
+    reasons, cert = audit.run(measured, CONFIG, "baseline")
     ledger = audit.ledger_entry(cert)
+    clean = audit.digests({"main": main, "target": target})
     valid = audit.verify(cert, clean, reasons, CONFIG, ledger).first()["valid"]
     ok = not reasons.take(1) and valid
     rows = [("baseline", "OK", cert.first()["verdict"], "", "PASS" if ok else "FAIL")]
