@@ -719,7 +719,7 @@ def verify_integrity(spark, sf):
     """A clean run verifies; the same certificate over a changed text does not."""
     main = order_lines(spark, sf)
     audit = IntegrityAudit({"orders": main}, CONFIG)
-    reasons, cert = audit.run({"orders": main}, CONFIG, "clean")
+    reasons, cert = audit.run(audit.base, CONFIG, "clean")
     ledger = audit.ledger_entry(cert)
     out = None
     for name, text in (("clean", main), ("spike", faults.spike(main)), ("cut", faults.truncate(main))):
