@@ -75,12 +75,13 @@ def in_training(ids: np.ndarray, folds: int, held_out: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(t) % folds != held_out for t in text), bool, len(ids))
 
 
-def token_keys(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per level the keys of the n-grams that end at each place, and where rows begin.
+def token_keys(table: pa.Table, order: int, wanted: range | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per level the keys of the n-grams that end at each place, and where rows begin; only ``wanted`` levels have keys.
 
     A row's first place is the state before its first token; it is no token and has no key of the
     highest level. Its last place is the end token.
     """
+    wanted = range(order) if wanted is None else wanted
     hasher, is_word, lower = kn.Hasher(), kn.is_word_byte(), kn.lowered()
     levels: list[list[np.ndarray]] = [[] for _ in range(order)]
     sizes = []
@@ -97,24 +98,36 @@ def token_keys(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarra
         for i in range(order - 2):
             keep[begin[:-1] + i] = False
         at = np.flatnonzero(keep)
-        for level in range(1, order + 1):
-            runs = hasher.run_hash(stream, level)
-            levels[level - 1].append(runs[np.maximum(at - level + 1, 0)])
+        for level in wanted:
+            runs = hasher.run_hash(stream, level + 1)
+            levels[level].append(runs[np.maximum(at - level, 0)])
         sizes.append(n + 2)
     size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in levels], first
+    for level, each in enumerate(levels):
+        # level by level, so that no more than one is there twice
+        levels[level] = np.concatenate(each) if each else np.zeros(0, np.uint64)
+        del each
+    return levels, first
 
 
 def level_keys(keys: list[np.ndarray], first: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a level in order, the place of each n-gram among them (-1: none), and a place where each is."""
-    use = np.ones(len(keys[level]), bool)
-    if level == len(keys) - 1:
-        use[first[:-1]] = False
-    values, sample, inverse = np.unique(keys[level][use], return_index=True, return_inverse=True)
+    """Distinct keys of a level in order, the place of each n-gram among them (-1: none), and a place where each is.
+
+    Takes the keys of the level out of the list.
+    """
+    key, keys[level] = keys[level], None
+    if level < len(keys) - 1:
+        return kn.distinct(key)
+    use = np.ones(len(key), bool)
+    use[first[:-1]] = False
+    key = key[use]
+    values, number, sample = kn.distinct(key)
+    del key
     place = np.full(len(use), -1, np.int32)
-    place[use] = inverse
-    return values, place, np.flatnonzero(use)[sample]
+    place[use] = number
+    del number
+    return values, place, np.flatnonzero(use).astype(np.int32)[sample]
 
 
 def asking(part: int, level: int, values: np.ndarray, count: np.ndarray, buckets: list[int]) -> dict[str, list]:
@@ -145,10 +158,12 @@ def ask(order: int, buckets: list[int], folds: int, held_out: int):
     """What the texts of a part need counted but for the longest n-grams, with the counts of its own training texts."""
 
     def run(table: pa.Table) -> pa.Table:
+        kn.give_back()
         part = table["part"][0].as_py()
         table = ex.in_order(table)
-        keys, first = token_keys(table, order)
+        keys, first = token_keys(table, order, range(order - 1))
         trained = np.repeat(in_training(table["doc_id"].to_numpy(), folds, held_out), np.diff(first))
+        del table
         asked = []
         for level in range(order - 1):
             values, place, _ = level_keys(keys, first, level)
@@ -175,40 +190,50 @@ def ask_longest(order: int, buckets: list[int], folds: int, held_out: int):
     """The longest n-grams of a part that may be in other parts too, with the counts of its own training texts."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        kn.give_back()
         if not len(table):
             return asked_table([])
         part = table["part"][0].as_py()
         table = ex.in_order(table)
-        keys, first = token_keys(table, order)
+        keys, first = token_keys(table, order, range(order - 2, order))
         trained = np.repeat(in_training(table["doc_id"].to_numpy(), folds, held_out), np.diff(first))
+        del table
         place = level_keys(keys, first, order - 2)[1]
         values, own, sample = level_keys(keys, first, order - 1)
         count = own_counts(values, own, trained)
+        del own, trained
         also = in_other_parts(answers, order - 2, place, sample)
+        del place, sample
         return asked_table([asking(part, order - 1, values[also], count[also], buckets)])
 
     return run
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    each = [kn.unpack_gaps(x) for x in table["keys"].to_pylist()]
-    values, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    counts = np.concatenate([unpack_counts(x) for x in table["counts"].to_pylist()])
+    each = [kn.unpack_gaps(x.as_py()) for x in table["keys"]]
+    size, keys = [len(x) for x in each], np.concatenate(each)
+    del each
+    values, inverse, _ = kn.distinct(keys)
     total = np.zeros(len(values), np.int64)
-    np.add.at(total, inverse, counts)
-    return values, total, inverse, [len(x) for x in each]
+    at = 0
+    for n, x in zip(size, table["counts"], strict=True):
+        # a part asks for a key once
+        total[inverse[at : at + n]] += unpack_counts(x.as_py())
+        at += n
+    return values, total, inverse, size
 
 
 def answer(table: pa.Table) -> pa.Table:
     """Corpus-wide counts, and whether another part asked too, in the order in which a part asked."""
+    kn.give_back()
     values, total, inverse, size = _summed(table)
     bound = np.concatenate([[0], np.cumsum(size)])
-    found, shared = total[inverse], (np.bincount(inverse, minlength=len(values)) > 1)[inverse]
+    shared = np.bincount(inverse, minlength=len(values)) > 1
     zero = np.zeros(len(size), np.int64)
-    cut = lambda f, x: ex.binary([f(x[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)])
+    cut = lambda f, x: ex.binary([f(x[inverse[a:b]]) for a, b in zip(bound[:-1], bound[1:], strict=True)])
     return pa.table(
         {c: table[c] for c in ("part", "level", "bucket")}
-        | {"counts": cut(pack_counts, found), "shared": cut(pack_flags, shared), "total": zero, "types": zero}
+        | {"counts": cut(pack_counts, total), "shared": cut(pack_flags, shared), "total": zero, "types": zero}
     )
 
 
@@ -222,6 +247,12 @@ def totals(table: pa.Table) -> pa.Table:
     return pa.table({"total": [n], "types": [v]})
 
 
+def _joined(each: list[np.ndarray]) -> np.ndarray:
+    out = np.concatenate(each)
+    each.clear()
+    return out
+
+
 class Automaton:
     """States and arcs that the texts of a part can visit; state 0 is the root, which has an arc for every token.
 
@@ -239,23 +270,46 @@ class Automaton:
         self.root = np.log10(share)
         self.root_next = np.where(counts[0] > 0, self.offset[0] + np.arange(len(share)), 0).astype(np.int32)
         self.fail, self.up = np.zeros(int(self.offset[-1])), np.zeros(int(self.offset[-1]), np.int32)
+        before = np.zeros(len(places[0]), bool)
+        before[first] = True
         key, weight, target = [], [], []
         for level in range(1, order):
             state = slice(int(self.offset[level - 1]), int(self.offset[level]))
             self.fail[state] = np.log10(kappa / (counts[level - 1] + kappa))
             if level > 1:
                 self.up[state] = self.offset[level - 2] + places[level - 2][samples[level - 1]]
-            at = samples[level]
             # the n-gram before a row's first token ends no arc
-            arc = np.flatnonzero((counts[level] > 0) & ~np.isin(at, first))
-            behind, suffix = places[level - 1][np.maximum(at - 1, 0)], places[level - 1][at]
-            share = (counts[level] + kappa * share[suffix]) / (counts[level - 1][behind] + kappa)
-            key.append((self.offset[level - 1] + behind[arc].astype(np.int64)) * self.types + places[0][at[arc]])
-            weight.append(np.log10(share[arc]))
-            target.append((self.offset[level] + arc if level < order - 1 else self.offset[level - 1] + suffix[arc]).astype(np.int32))
-        key = np.concatenate(key)
-        order_of = np.argsort(key, kind="stable")
-        self.key, self.weight, self.next = key[order_of], np.concatenate(weight)[order_of], np.concatenate(target)[order_of]
+            arc = np.flatnonzero((counts[level] > 0) & ~before[samples[level]]).astype(np.int32)
+            at = samples[level][arc]
+            wanted = places[level - 1][np.maximum(at - 1, 0)].astype(np.int64)
+            wanted += self.offset[level - 1]
+            wanted *= self.types
+            wanted += places[0][at]
+            # states of a level are numbered behind those of the one below, and so are their arcs
+            sort = np.argsort(wanted)
+            key.append(wanted[sort])
+            del wanted
+            arc = arc[sort]
+            del sort
+            if level < order - 1:
+                target.append((self.offset[level] + arc).astype(np.int32))
+                share = self._share(level, samples[level], counts[level], share, kappa)
+                weight.append(np.log10(share[arc]))
+            else:
+                at = samples[level][arc]
+                target.append((self.offset[level - 1] + places[level - 1][at]).astype(np.int32))
+                share = self._share(level, at, counts[level][arc], share, kappa)
+                weight.append(np.log10(share, out=share))
+            del arc, at
+        self.key, self.weight, self.next = _joined(key), _joined(weight), _joined(target)
+
+    def _share(self, level: int, at: np.ndarray, count: np.ndarray, below: np.ndarray, kappa: float) -> np.ndarray:
+        """P(w | h) of the n-grams of a level that end at ``at``, by the shares of those one token shorter."""
+        out = below[self.places[level - 1][at]]
+        out *= kappa
+        out += count
+        behind = self.counts[level - 1][self.places[level - 1][np.maximum(at - 1, 0)]]
+        return np.divide(out, behind + kappa, out=out)
 
     def state_at(self, place: np.ndarray) -> np.ndarray:
         """The longest state that ends at each place."""
@@ -316,9 +370,11 @@ def walk(order: int, kappa: float, folds: int, held_out: int, piece: int):
     """Read the texts of a part through the automaton."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        kn.give_back()
         table = ex.in_order(table)
         ids = table["doc_id"].to_numpy()
         keys, first = token_keys(table, order)
+        del table
         by_level: list[list] = [[] for _ in range(order)]
         n_all = v_all = 0
         for level, bucket, packed, n, v in zip(
@@ -338,12 +394,19 @@ def walk(order: int, kappa: float, folds: int, held_out: int, piece: int):
                 count = own_counts(values, place, trained)
                 count[in_other_parts(answers, level - 1, places[level - 1], sample)] = found
                 found = count
+                del count
             places.append(place)
             samples.append(sample)
             counts.append(found)
-            keys[level] = None
+            del values, place, sample, found, answered
+        del keys, trained, answers, by_level
+        kn.give_back()
         n_tokens = np.diff(first) - 1
         machine = Automaton(kappa, first[:-1], places, samples, counts, n_all, v_all)
+        # only the arcs of the longest n-grams are looked at from here on
+        places[-1] = counts[-1] = None
+        samples.clear()
+        kn.give_back()
         # the state at a place follows from the tokens before it, so a long text is read in pieces
         row, begin, size = pieces(first, piece)
         token = np.ones(int(first[-1]), bool)
