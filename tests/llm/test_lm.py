@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
+from tidewatch.llm import exchange as ex
 from tidewatch.llm import kernel as kn
 from tidewatch.llm import lm
 
@@ -74,3 +76,10 @@ def test_freed_memory_goes_back_between_groups():
     assert held() > before - 60
     assert len(lm.ask(3, [2, 2, 2], 7, 2)(part(0, 3, np.random.default_rng(1))))
     assert held() < before - 90 and len(kept) == 40
+
+
+def test_a_task_has_the_texts_of_one_part(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('a text of number ', id) AS text")
+    out = lm.score_texts(docs, order=3).select("doc_id", F.spark_partition_id().alias("task"))
+    parts = out.withColumn("part", ex.part_of(F.col("doc_id"), 64)).groupBy("task").agg(F.countDistinct("part").alias("n"))
+    assert [r.n for r in parts.collect()] == [1] * 64

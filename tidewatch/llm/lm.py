@@ -444,11 +444,13 @@ def score_texts(
     parts = max(64, -(-total // PART_BYTES))
     tokens = total / 6
     buckets = [ex.bucket_count(tokens * 0.15)] + [ex.bucket_count(tokens * 0.75)] * (order - 1)
-    grouped = ex.in_parts(docs, parts, doc_id, text).groupBy("part")
+    # a part is a partition: dealt by hash, several parts would be sorted and held in one task
+    by_part = lambda df: df.repartitionById(parts, "part").groupBy("part")
+    grouped = by_part(ex.in_parts(docs, parts, doc_id, text))
     asked = grouped.applyInArrow(ask(order, buckets, folds, held_out), ASK).groupBy("bucket")
     answers = asked.applyInArrow(answer, ANSWER)
-    shared = answers.where(F.col("level") == order - 2).select("part", "level", "bucket", "shared").groupBy("part")
-    longest = grouped.cogroup(shared).applyInArrow(ask_longest(order, buckets, folds, held_out), ASK)
+    shared = answers.where(F.col("level") == order - 2).select("part", "level", "bucket", "shared")
+    longest = grouped.cogroup(by_part(shared)).applyInArrow(ask_longest(order, buckets, folds, held_out), ASK)
     longest = longest.groupBy("bucket").applyInArrow(answer, ANSWER).withColumn("shared", F.lit(None).cast("binary"))
     sums = asked.applyInArrow(totals, "total long, types long").agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")
@@ -465,7 +467,7 @@ def score_texts(
     kept = F.when(F.col("level") == order - 2, F.col("shared")).alias("shared")
     answers = answers.select("part", "level", "bucket", "counts", kept, "total", "types")
     answers = answers.unionByName(longest).unionByName(everyone)
-    return grouped.cogroup(answers.groupBy("part")).applyInArrow(
+    return grouped.cogroup(by_part(answers)).applyInArrow(
         walk(order, kappa, folds, held_out, PIECE),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
