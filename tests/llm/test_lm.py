@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidewatch.llm import exchange as ex
@@ -83,3 +84,19 @@ def test_a_task_has_the_texts_of_one_part(spark):
     out = lm.score_texts(docs, order=3).select("doc_id", F.spark_partition_id().alias("task"))
     parts = out.withColumn("part", ex.part_of(F.col("doc_id"), 64)).groupBy("task").agg(F.countDistinct("part").alias("n"))
     assert [r.n for r in parts.collect()] == [1] * 64
+
+
+def test_a_task_has_the_keys_of_one_bucket(spark, monkeypatch, tmp_path):
+    answer = lm.answer
+
+    def noted(table):
+        assert len(set(table["bucket"].to_pylist())) == 1
+        task = TaskContext.get()
+        (tmp_path / f"{task.stageId()}-{task.partitionId()}-{table['bucket'][0]}").touch()
+        return answer(table)
+
+    monkeypatch.setattr(lm, "answer", noted)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('a text of number ', id, ' ', id % 700) AS text")
+    assert lm.score_texts(docs, order=3).count() == 2000
+    tasks = [x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()]
+    assert len(tasks) >= 3 * 24 and len(set(tasks)) == len(tasks)

@@ -130,10 +130,11 @@ def level_keys(keys: list[np.ndarray], first: np.ndarray, level: int) -> tuple[n
     return values, place, np.flatnonzero(use).astype(np.int32)[sample]
 
 
-def asking(part: int, level: int, values: np.ndarray, count: np.ndarray, buckets: list[int]) -> dict[str, list]:
-    bucket, bound = ex.by_bucket(values, buckets[level])
+def asking(part: int, level: int, values: np.ndarray, count: np.ndarray, buckets: int, first: int = 0) -> dict[str, list]:
+    """Keys and counts of a level by bucket, numbered from ``first``."""
+    bucket, bound = ex.by_bucket(values, buckets)
     return {
-        "bucket": (bucket + sum(buckets[:level])).tolist(),
+        "bucket": (bucket + first).tolist(),
         "level": [level] * len(bucket),
         "part": [part] * len(bucket),
         "keys": [kn.pack_gaps(values[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)],
@@ -167,7 +168,8 @@ def ask(order: int, buckets: list[int], folds: int, held_out: int):
         asked = []
         for level in range(order - 1):
             values, place, _ = level_keys(keys, first, level)
-            asked.append(asking(part, level, values, own_counts(values, place, trained), buckets))
+            count = own_counts(values, place, trained)
+            asked.append(asking(part, level, values, count, buckets[level], sum(buckets[:level])))
         return asked_table(asked)
 
     return run
@@ -204,7 +206,7 @@ def ask_longest(order: int, buckets: list[int], folds: int, held_out: int):
         del own, trained
         also = in_other_parts(answers, order - 2, place, sample)
         del place, sample
-        return asked_table([asking(part, order - 1, values[also], count[also], buckets)])
+        return asked_table([asking(part, order - 1, values[also], count[also], buckets[-1])])
 
     return run
 
@@ -247,10 +249,9 @@ def totals(table: pa.Table) -> pa.Table:
     return pa.table({"total": [n], "types": [v]})
 
 
-def _joined(each: list[np.ndarray]) -> np.ndarray:
-    out = np.concatenate(each)
-    each.clear()
-    return out
+def narrow(count: np.ndarray) -> np.ndarray:
+    """In 32 bits, if they hold all."""
+    return count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count
 
 
 class Automaton:
@@ -272,36 +273,39 @@ class Automaton:
         self.fail, self.up = np.zeros(int(self.offset[-1])), np.zeros(int(self.offset[-1]), np.int32)
         before = np.zeros(len(places[0]), bool)
         before[first] = True
-        key, weight, target = [], [], []
+        # the n-gram before a row's first token ends no arc
+        is_arc = [(counts[level] > 0) & ~before[samples[level]] for level in range(1, order)]
+        n = np.concatenate([[0], np.cumsum([np.count_nonzero(x) for x in is_arc])])
+        self.key, self.weight, self.next = np.zeros(n[-1], np.int64), np.zeros(n[-1]), np.zeros(n[-1], np.int32)
+        del before
         for level in range(1, order):
             state = slice(int(self.offset[level - 1]), int(self.offset[level]))
             self.fail[state] = np.log10(kappa / (counts[level - 1] + kappa))
             if level > 1:
                 self.up[state] = self.offset[level - 2] + places[level - 2][samples[level - 1]]
-            # the n-gram before a row's first token ends no arc
-            arc = np.flatnonzero((counts[level] > 0) & ~before[samples[level]]).astype(np.int32)
+            here = slice(int(n[level - 1]), int(n[level]))
+            arc = np.flatnonzero(is_arc[level - 1]).astype(np.int32)
+            is_arc[level - 1] = None
             at = samples[level][arc]
             wanted = places[level - 1][np.maximum(at - 1, 0)].astype(np.int64)
             wanted += self.offset[level - 1]
             wanted *= self.types
             wanted += places[0][at]
             # states of a level are numbered behind those of the one below, and so are their arcs
-            sort = np.argsort(wanted)
-            key.append(wanted[sort])
+            sort = np.argsort(wanted).astype(np.int32)
+            self.key[here] = wanted[sort]
             del wanted
-            arc = arc[sort]
+            arc, at = arc[sort], at[sort]
             del sort
             if level < order - 1:
-                target.append((self.offset[level] + arc).astype(np.int32))
+                self.next[here] = self.offset[level] + arc
                 share = self._share(level, samples[level], counts[level], share, kappa)
-                weight.append(np.log10(share[arc]))
+                self.weight[here] = np.log10(share[arc])
             else:
-                at = samples[level][arc]
-                target.append((self.offset[level - 1] + places[level - 1][at]).astype(np.int32))
-                share = self._share(level, at, counts[level][arc], share, kappa)
-                weight.append(np.log10(share, out=share))
+                self.next[here] = self.offset[level - 1] + places[level - 1][at]
+                self.weight[here] = self._share(level, at, counts[level][arc], share, kappa)
+                np.log10(self.weight[here], out=self.weight[here])
             del arc, at
-        self.key, self.weight, self.next = _joined(key), _joined(weight), _joined(target)
 
     def _share(self, level: int, at: np.ndarray, count: np.ndarray, below: np.ndarray, kappa: float) -> np.ndarray:
         """P(w | h) of the n-grams of a level that end at ``at``, by the shares of those one token shorter."""
@@ -397,7 +401,7 @@ def walk(order: int, kappa: float, folds: int, held_out: int, piece: int):
                 del count
             places.append(place)
             samples.append(sample)
-            counts.append(found)
+            counts.append(narrow(found))
             del values, place, sample, found, answered
         del keys, trained, answers, by_level
         kn.give_back()
@@ -444,14 +448,15 @@ def score_texts(
     parts = max(64, -(-total // PART_BYTES))
     tokens = total / 6
     buckets = [ex.bucket_count(tokens * 0.15)] + [ex.bucket_count(tokens * 0.75)] * (order - 1)
-    # a part is a partition: dealt by hash, several parts would be sorted and held in one task
+    # a part or bucket is a partition: dealt by hash, several would be sorted and held in one task
     by_part = lambda df: df.repartitionById(parts, "part").groupBy("part")
+    by_bucket = lambda df, n: df.repartitionById(n, "bucket").groupBy("bucket")
     grouped = by_part(ex.in_parts(docs, parts, doc_id, text))
-    asked = grouped.applyInArrow(ask(order, buckets, folds, held_out), ASK).groupBy("bucket")
+    asked = by_bucket(grouped.applyInArrow(ask(order, buckets, folds, held_out), ASK), sum(buckets[:-1]))
     answers = asked.applyInArrow(answer, ANSWER)
     shared = answers.where(F.col("level") == order - 2).select("part", "level", "bucket", "shared")
     longest = grouped.cogroup(by_part(shared)).applyInArrow(ask_longest(order, buckets, folds, held_out), ASK)
-    longest = longest.groupBy("bucket").applyInArrow(answer, ANSWER).withColumn("shared", F.lit(None).cast("binary"))
+    longest = by_bucket(longest, buckets[-1]).applyInArrow(answer, ANSWER).withColumn("shared", F.lit(None).cast("binary"))
     sums = asked.applyInArrow(totals, "total long, types long").agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")
     )
